@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality, simhash
+from . import exact_dedup, line_dedup, merkle, packing, pii, quality, simhash
 from .shared import read_table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
@@ -82,8 +91,10 @@ SELECT page_id, host, n::INT AS n_lines, (n - len(k))::INT AS n_dropped, sha256(
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_merkle": op6_merkle,
     "op7_simhash": op7_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
