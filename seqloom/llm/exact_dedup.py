@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, scratch, whole_text, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# The state store keeps its rows on disk, without setting aside disk space that it may not need.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def _digested(docs: DataFrame) -> DataFrame:
@@ -43,8 +46,9 @@ def keyed_state(spark: SparkSession, path: str, batch_bytes: int = 64 << 30) ->
     """
     schema = spark.read.parquet(path).schema
     checkpoint = scratch(spark, "exact-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(_globbed(path))
         state = _digested(stream).groupBy("digest").agg(
@@ -70,10 +74,8 @@ def keyed_state(spark: SparkSession, path: str, batch_bytes: int = 64 << 30) ->
             value[seen].alias("seen"),
         )
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(spark: SparkSession, path: str, batch_bytes: int = 64 << 30) -> DataFrame:
