@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, merkle, packing, pii, quality, simhash
+from . import exact_dedup, line_dedup, merkle, packing, pii, quality, repeats, simhash
 from .shared import read_table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -62,6 +62,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.page_lines(read_table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -96,6 +100,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_merkle": op6_merkle,
     "op7_simhash": op7_simhash,
+    "op9_repeats": op9_repeats,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}

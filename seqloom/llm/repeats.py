@@ -28,17 +28,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import whole_text, written
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
 WINDOW = LENGTH - ANCHOR + 1
 SPAN = 35  # windows in a segment, at most
 BATCH = 8 << 20
-COLLECTION = 60_000
+COLLECTION = 30_000  # segments in a task's arrays, about
 LAST = (1 << 63) - 1
 
 
@@ -48,13 +49,14 @@ def window_names(raw: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     raw = np.ascontiguousarray(raw)
-    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
-    x = words[: len(raw) - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x += words[8 : len(raw) - ANCHOR + 9]
+    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))  # eight bytes from each place on
+    places = len(raw) - ANCHOR + 1
+    x = np.zeros(places, dtype=np.uint64)
+    for at in range(0, ANCHOR, 8):
+        x ^= words[at : at + places]
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
     x *= np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x165667B19E3779F9)
     x ^= x >> np.uint64(32)
     width = 1
     while 2 * width <= WINDOW:
@@ -151,10 +153,11 @@ def _repeated(batches):
 
 
 def _segments(buckets):
-    """Segments of the windows whose names repeat: name, segment, doc_id, tie, start."""
+    """Segments of the windows whose names repeat, each with its document, place and number."""
     def run(batches):
         for batch in batches:
             out = {"name": [], "segment": [], "doc_id": [], "tie": [], "start": []}
+            least: dict[bytes, int] = {}
             for i, tie, text, names in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text")), batch.column("names"), strict=True):
                 raw = text.encode()
                 short = _short(window_names(np.frombuffer(raw, dtype=np.uint8)), buckets)
@@ -167,16 +170,22 @@ def _segments(buckets):
                 starts = np.flatnonzero(at % SPAN == 0)
                 ends = np.r_[starts[1:], len(short)]
                 for a, b in zip(starts[hit[starts]].tolist(), ends[hit[starts]].tolist(), strict=True):
-                    out["segment"].append(raw[a : b + LENGTH - 1])
+                    segment = raw[a : b + LENGTH - 1]
+                    least[segment] = min(i, least.get(segment, LAST))
+                    out["segment"].append(segment)
                     out["start"].append(a)
                 mine = int(hit[starts].sum())
                 out["name"].append(short[starts[hit[starts]]])
                 out["doc_id"] += [i] * mine
                 out["tie"] += [tie] * mine
             names = np.concatenate(out["name"]) if out["name"] else np.zeros(0, np.int64)
+            out["sid"] = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in out["segment"]]
+            # The text of a segment stands once in a batch, with its smallest document there.
+            once = [least.pop(x, None) for x in out["segment"]]
+            out["segment"] = [None if d is None else x for x, d in zip(out["segment"], once, strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "name": pa.array(names), "segment": pa.array(out["segment"], pa.binary()), "doc_id": pa.array(out["doc_id"], pa.int64()),
-                "tie": pa.array(out["tie"], pa.int64()), "start": pa.array(out["start"], pa.int32()),
+                "tie": pa.array(out["tie"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "sid": pa.array(out["sid"], pa.int64()), "least": pa.array(once, pa.int64()),
             })
 
     return run
@@ -253,22 +262,50 @@ def smallest_owners(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return np.split(least[order], np.cumsum(np.bincount(owner, minlength=len(strings)))[:-1])
 
 
-def _answers(batches):
-    """name, sid, least for each distinct segment; a collection ends where a name ends."""
+def _answers(limit):
+    """name, sid, least for each distinct segment. Names come sorted, and a collection ends where a name ends.
+
+    A name that only one segment has needs no collection: its windows stand nowhere else.
+    """
     def solve(rows):
         names, sids, strings, docs = zip(*rows, strict=True)
-        got = smallest_owners(list(strings), np.array(docs, dtype=np.int64))
+        return table(names, sids, smallest_owners(list(strings), np.array(docs, dtype=np.int64)))
+
+    def table(names, sids, got):
         return pa.RecordBatch.from_pydict({"name": pa.array(names, pa.int64()), "sid": pa.array(sids, pa.int64()), "least": pa.array(got, pa.list_(pa.int64()))})
 
-    rows: list = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("name", "sid", "segment", "doc_id")), strict=True):
-            if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
-                yield solve(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield solve(rows)
+    def run(batches):
+        group, rows = [], []
+        for batch in batches:
+            alone = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "sid", "segment", "doc_id")), strict=True):
+                if group and row[0] != group[0][0]:
+                    if len(group) == 1:
+                        alone.append(group[0])
+                    else:
+                        rows += group
+                    group = []
+                    if len(rows) >= limit:
+                        yield solve(rows)
+                        rows = []
+                group.append(row)
+            if alone:
+                yield table([r[0] for r in alone], [r[1] for r in alone], [[r[3]] * (len(r[2]) - LENGTH + 1) for r in alone])
+        rows += group
+        if rows:
+            yield solve(rows)
+
+    return run
+
+
+def _answers_by_window(distinct: DataFrame) -> DataFrame:
+    """The same for names that too many segments share: window by window, combined before they are shuffled."""
+    windows = distinct.select(
+        "name", "sid", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("segment") - LENGTH), lambda i: F.substring("segment", i + 1, F.lit(LENGTH)))).alias("at", "window")
+    )
+    least = windows.groupBy("name", "window").agg(F.min("doc_id").alias("least"))
+    placed = windows.join(least, ["name", "window"]).groupBy("name", "sid").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
+    return placed.select("name", "sid", F.transform("x", lambda r: r["least"]).alias("least"))
 
 
 def _cut(batches):
@@ -276,6 +313,10 @@ def _cut(batches):
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
         for i, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks"), strict=True):
             raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            if not marks.is_valid:
+                for k, v in zip(out, (i, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw.tobytes()), strict=True):
+                    out[k].append(v)
+                continue
             change = np.zeros(len(raw) + 1, dtype=np.int32)
             start = marks.values.field("start").to_numpy(zero_copy_only=False)
             mask = marks.values.field("mask").to_numpy(zero_copy_only=False)
@@ -298,7 +339,7 @@ def _cut(batches):
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def cut_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, buckets: int | None = None, limit: int = COLLECTION) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
     spark = docs.sparkSession
     buckets = buckets or 4 * max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -307,25 +348,23 @@ def cut_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     dealt = named.repartition("key").sortWithinPartitions("key")
     names = dealt.mapInArrow(_repeated, "doc_id long, name long").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     tied = base.withColumn("tie", F.xxhash64("text"))
-    suspects = written(tied.join(names, "doc_id"), "suspects")
-    # Each occurrence of a segment, by the segment's own number; the segments themselves travel once.
-    found = suspects.mapInArrow(_segments(buckets), "name long, segment binary, doc_id long, tie long, start int")
-    found = written(found.withColumn("sid", F.xxhash64("segment")), "segments")
-    distinct = found.groupBy("name", "sid", "segment").agg(F.min("doc_id").alias("doc_id"))
-    distinct = distinct.repartition("name").sortWithinPartitions("name", "sid", "segment")
-    least = written(distinct.mapInArrow(_answers, "name long, sid long, least array<long>"), "least")
+    found = tied.join(names, "doc_id").select("doc_id", "tie", "text", "names").mapInArrow(
+        _segments(buckets), "name long, segment binary, doc_id long, tie long, start int, sid long, least long"
+    )
+    found = written(found, "segments")
+    distinct = found.filter("segment is not null").groupBy("name", "sid", "segment").agg(F.min("least").alias("doc_id"))
+    distinct = written(distinct, "distinct-segments")
+    crowded = written(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("name"), "crowded-names")
+    few = distinct.join(crowded, "name", "left_anti").select("name", "sid", "segment", "doc_id")
+    few = few.repartition("name").sortWithinPartitions("name", "sid", "segment")
+    least = few.mapInArrow(_answers(limit), "name long, sid long, least array<long>")
+    if not crowded.isEmpty():
+        least = least.unionByName(_answers_by_window(distinct.join(crowded, "name", "left_semi")))
+    least = written(least, "least")
     marked = found.select("name", "sid", "doc_id", "tie", "start").join(least, ["name", "sid"])
-    flags = F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.expr("1L")).otherwise(F.expr("0L")))
+    flags = F.transform("least", lambda x: F.when(x < F.col("doc_id"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(F.reverse(flags), F.lit(0).cast("long"), lambda s, x: s * 2 + x)
     marks = marked.select("doc_id", "tie", F.struct("start", mask.alias("mask")).alias("mark")).filter("mark.mask <> 0")
     marks = marks.groupBy("doc_id", "tie").agg(F.collect_list("mark").alias("marks"))
-    ready = suspects.select("doc_id", "tie", "text").join(marks, ["doc_id", "tie"]).select("doc_id", "text", "marks")
-    cut = ready.mapInArrow(_cut, CUT)
-    whole = tied.join(marks.select("doc_id", "tie"), ["doc_id", "tie"], "left_anti")
-    raw = F.col("text").cast("binary")
-    zero = F.lit(0).cast("long")
-    whole = whole.select(
-        "doc_id", F.length(raw).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
-        F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept"),
-    )
-    return cut.unionByName(whole).withColumn("doc_id", F.when(F.col("doc_id") == LAST, None).otherwise(F.col("doc_id")))
+    cut = tied.join(marks, ["doc_id", "tie"], "left").select("doc_id", "text", "marks").mapInArrow(_cut, CUT)
+    return cut.withColumn("doc_id", F.when(F.col("doc_id") == LAST, None).otherwise(F.col("doc_id")))
