@@ -6,8 +6,8 @@ linked; documents are grouped by the connected components of those links.
 BK-trees: a child hangs under its parent at the edge of their Hamming distance, and a query at
 distance d follows only edges from d - radius to d + radius. One tree over everything grows with
 the corpus, and so would its broadcast. The trees are therefore sharded: the fingerprint is cut into
-``BLOCKS`` blocks, and within the radius at least two blocks agree, so every pair of neighbours
-shares one of the ten two-block routes. A shard tree holds the distinct fingerprints of a route
+``BLOCKS`` blocks, and within the radius at least ``AGREE`` of them agree, so every pair of neighbours
+shares one of the ten two-block routes (or, for other radii, of the choices of ``agree`` blocks). A shard tree holds the distinct fingerprints of a route
 value, at most ``SHARD`` of them, and goes only to the task whose queries share the route. Larger
 routes are dealt over several shards, and their queries visit each of them. That is exact and
 nothing is dropped.
@@ -30,26 +30,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text, written
+from .shared import ascii_lower, whole_text, written
 
 RADIUS = 3
-BLOCKS = (13, 13, 13, 13, 12)
+BLOCKS, AGREE = 5, 2
 SHARD = 4096
 SEED = 42
 PIECE = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash of the word shingles of ``text``; ASCII letters are lower-cased."""
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """XXH64 of the word shingles of ``text``, ASCII letters lower-cased; a shorter text is one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined, width = b" ".join(words), min(shingle, len(words))
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)]
-    hashes = np.array(hashes, dtype=">u8")
+    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)]
+
+
+def fingerprint(text: str, shingle: int = 3, distinct: bool = False) -> int:
+    """SimHash of the word shingles of ``text``, each as often as it stands or, if ``distinct``, once."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
+    hashes = np.array(list(set(hashes)) if distinct else hashes, dtype=">u8")
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), PIECE):
         part = hashes[i : i + PIECE]
@@ -57,12 +64,12 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
 
     def run(batches):
         for batch in batches:
-            got = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            got = np.array([fingerprint(t, shingle, distinct) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -101,8 +108,8 @@ class BKTree:
 
 
 def shard_links(tree_values: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """Spanning links among the tree's values and the queries near them: (value, smallest of its group)."""
-    tree, parent = BKTree(), {}
+    """Links within the radius that span the groups of the tree's values and the queries near them."""
+    tree, parent, found = BKTree(), {}, []
 
     def root(x):
         while parent.setdefault(x, x) != x:
@@ -114,26 +121,33 @@ def shard_links(tree_values: list[int], queries: list[int], radius: int) -> list
             a, b = root(tree.values[at]), root(value)
             if a != b:
                 parent[max(a, b)] = min(a, b)
+                found.append((tree.values[at], value))
         if len(tree.values) < len(tree_values):
             tree.add(value)
-    return [(x, root(x)) for x in parent if root(x) != x]
+    return found
 
 
-def _routes(fp, blocks=BLOCKS):
-    """One long per pair of blocks: the pair's number, then the bits of both."""
-    at, parts = 0, []
-    for bits in blocks:
-        parts.append(F.shiftrightunsigned(fp, at).bitwiseAND((1 << bits) - 1))
-        at += bits
+def _routes(fp, blocks, agree):
+    """One long per choice of ``agree`` blocks: the choice's number, then the bits of its blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
-    for n, (i, j) in enumerate(combinations(range(len(blocks)), 2)):
-        keys.append(F.lit(n << 32).cast("long") + F.shiftleft(parts[i], 16) + parts[j])
+    for n, chosen in enumerate(combinations(range(blocks), agree)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            bits = edges[i + 1] - edges[i]
+            key = F.shiftleft(key, bits) + F.shiftrightunsigned(fp, edges[i]).bitwiseAND((1 << bits) - 1)
+        keys.append(key)
     return F.array(*keys)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints in column ``fp`` within the radius."""
-    routed = fps.select("fp", F.explode(_routes(F.col("fp"))).alias("route"))
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, blocks: int = BLOCKS, agree: int = AGREE) -> DataFrame:
+    """Links (a, b) within the radius that connect the distinct fingerprints in column ``fp``.
+
+    Exact as long as ``blocks - radius >= agree``: that many blocks of two neighbours are equal at least.
+    """
+    if blocks - radius < agree:
+        raise ValueError("too few blocks for this radius")
+    routed = fps.select("fp", F.explode(_routes(F.col("fp"), blocks, agree)).alias("route"))
     large = routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
     large = written(large.select("route", F.ceil(F.col("n") / shard).cast("int").alias("shards")), "large-routes")
     dealt = routed.join(large, "route", "left").withColumn("home", F.pmod(F.xxhash64("fp"), F.coalesce("shards", F.lit(1))).cast("int"))
@@ -206,3 +220,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sha
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = written(joined.join(smallest, "root").select("fp", "component_id"), "components")
     return table.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+SIMILARITY = 0.8
+WORDS = 5
+
+
+def _word_sets(shingle):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "words"])
+
+    return run
+
+
+def _alike(similarity):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = 6, blocks: int = 9, agree: int = 3) -> DataFrame:
+    """doc_id, component_id by links of the given Jaccard similarity over word shingles, or more.
+
+    A SimHash of ``words``-word shingles lies far apart even for similar texts of a few hundred words, so the
+    BK-trees search the SimHash of the distinct words, in a wider radius, and every link found is then checked
+    on the texts' shingle sets. Texts equal after lower-casing A-Z are one text from the start. ``doc_id``
+    must not be null; rows of equal id are in one group.
+    """
+    table = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    digest = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
+    hashed = fingerprints(table, 1, True)
+    texts = written(table.select("doc_id", digest.alias("digest")), "text-digests")
+    least = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    one = written(least.join(hashed, "doc_id").dropDuplicates(["digest"]), "distinct-texts")
+    heads = written(one.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
+    same = one.join(heads, "fp").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    found = written(links(heads.select("fp"), radius, blocks=blocks, agree=agree).distinct(), "fingerprint-links")
+    near = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    pairs = same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
+    pairs = written(pairs, "text-pairs")
+    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = table.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_word_sets(words), "doc_id long, words binary")
+    sets = written(sets, "word-sets")
+    checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
+    roots = components(checked.mapInArrow(_alike(similarity), "a long, b long"))
+    rooted = one.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
+    named = written(rooted.join(smallest, "root").select("digest", "component_id"), "text-components")
+    return texts.join(named, "digest").select("doc_id", "component_id")
