@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, merkle, packing, pii, quality, repeats, simhash
+from . import exact_dedup, licences, line_dedup, merkle, packing, pieces, pii, quality, repeats, simhash
 from .shared import read_table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary(PIECE_MODEL)
+    out = pieces.decode(pieces.encode(read_table(spark, sf_dir, "documents"), model), model)
+    return out.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.scored(docs, read_table(spark, sf_dir, "labels"))
@@ -62,6 +68,32 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _op8_sql() -> str:
+    known = ", ".join(f"('{s}', {n})" for n, s in licences.SENTENCES.items())
+    rules = ", ".join(f"('{name}', ',{','.join(map(str, run))},', {licences.LICENCES.index(name)})" for name, run in licences.RULES)
+    return rf"""
+WITH known(s, n) AS (VALUES {known}), rules(name, run, place) AS (VALUES {rules}),
+k AS (SELECT map_from_entries(list((s, n))) AS m FROM known),
+cut AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.!?]+[ 	
+]+|[.!?]+$|
+', chr(1), 'g'), '[^a-z0-9]+', ' ', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l
+  FROM documents
+), numbered AS (
+  SELECT doc_id, len(l) AS n_sentences, list_transform(l, lambda x: coalesce(m[x], 0)) AS n FROM cut, k
+), sequences AS (SELECT *, ',' || array_to_string(n, ',') || ',' AS q FROM numbered)
+SELECT doc_id, n_sentences::INT AS n_sentences, array_to_string(list_filter(n, lambda x: x <> 0), ',') AS known,
+  coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM (SELECT DISTINCT name, place FROM rules WHERE contains(q, run))), '') AS licences
+FROM sequences
+"""
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -94,13 +126,15 @@ SELECT page_id, host, n::INT AS n_lines, (n - len(k))::INT AS n_dropped, sha256(
 """
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_merkle": op6_merkle,
     "op7_simhash": op7_simhash,
+    "op8_licences": op8_licences,
     "op9_repeats": op9_repeats,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_licences": _op8_sql(), "op10_line_dedup": OP10_SQL}
