@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text, written
+from .shared import tidy, whole_text, written
 
 LENGTH = 50
 ANCHOR = 24
@@ -311,8 +311,12 @@ def _answers_by_window(distinct: DataFrame) -> DataFrame:
 def _cut(batches):
     for batch in batches:
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for i, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks"), strict=True):
+        for i, text, marks, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), batch.column("marks"), batch.column("copy").to_pylist(), strict=True):
             raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            if copy and len(raw) >= LENGTH:
+                for k, v in zip(out, (i, len(raw), len(raw), 1, hashlib.sha256(b"").hexdigest(), b""), strict=True):
+                    out[k].append(v)
+                continue
             if not marks.is_valid:
                 for k, v in zip(out, (i, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw.tobytes()), strict=True):
                     out[k].append(v)
@@ -348,12 +352,20 @@ def cut_repeats(docs: DataFrame, buckets: int | None = None, limit: int = COLLEC
     dealt = named.repartition("key").sortWithinPartitions("key")
     names = dealt.mapInArrow(_repeated, "doc_id long, name long").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     tied = base.withColumn("tie", F.xxhash64("text"))
-    found = tied.join(names, "doc_id").select("doc_id", "tie", "text", "names").mapInArrow(
+    # A later copy of a whole text goes as a whole; its windows need no search.
+    digests = written(tied.select("doc_id", "tie", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digests")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = written(digests.join(firsts, "digest").filter("doc_id > first").select("doc_id", "tie").distinct(), "copies")
+    names = names.join(copies.groupBy("doc_id").agg(F.collect_set("tie").alias("copied")), "doc_id", "left")
+    first = tied.join(names, "doc_id").filter(~F.coalesce(F.array_contains("copied", F.col("tie")), F.lit(False)))
+    found = first.select("doc_id", "tie", "text", "names").mapInArrow(
         _segments(buckets), "name long, segment binary, doc_id long, tie long, start int, sid long, least long"
     )
     found = written(found, "segments")
+    tidy(spark, digests)
     distinct = found.filter("segment is not null").groupBy("name", "sid", "segment").agg(F.min("least").alias("doc_id"))
     distinct = written(distinct, "distinct-segments")
+    tidy(spark)
     crowded = written(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("name"), "crowded-names")
     few = distinct.join(crowded, "name", "left_anti").select("name", "sid", "segment", "doc_id")
     few = few.repartition("name").sortWithinPartitions("name", "sid", "segment")
@@ -361,10 +373,13 @@ def cut_repeats(docs: DataFrame, buckets: int | None = None, limit: int = COLLEC
     if not crowded.isEmpty():
         least = least.unionByName(_answers_by_window(distinct.join(crowded, "name", "left_semi")))
     least = written(least, "least")
+    tidy(spark, distinct, crowded)
     marked = found.select("name", "sid", "doc_id", "tie", "start").join(least, ["name", "sid"])
     flags = F.transform("least", lambda x: F.when(x < F.col("doc_id"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(F.reverse(flags), F.lit(0).cast("long"), lambda s, x: s * 2 + x)
     marks = marked.select("doc_id", "tie", F.struct("start", mask.alias("mask")).alias("mark")).filter("mark.mask <> 0")
     marks = marks.groupBy("doc_id", "tie").agg(F.collect_list("mark").alias("marks"))
-    cut = tied.join(marks, ["doc_id", "tie"], "left").select("doc_id", "text", "marks").mapInArrow(_cut, CUT)
+    marks = written(marks.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True), "marks")
+    tidy(spark, found, least)
+    cut = tied.join(marks, ["doc_id", "tie"], "left").select("doc_id", "text", "marks", "copy").mapInArrow(_cut, CUT)
     return cut.withColumn("doc_id", F.when(F.col("doc_id") == LAST, None).otherwise(F.col("doc_id")))

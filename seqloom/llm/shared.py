@@ -44,6 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that are no longer read, and let Spark drop the shuffle files of finished steps.
+
+    Spark removes shuffle files when the driver's garbage collector finds their step unreachable; long
+    operators ask for that between steps, so that disk holds one step's files and not the sum of all.
+    """
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts without other letters take the faster built-in."""
     plain = F.octet_length(text) == F.length(text)
