@@ -2,5 +2,624 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqloom.functions import alphabet as A
+from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep, sampling, sequences, stats, variants
+from seqloom.operators import scores as S
+from seqloom.plans import bindings as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+    """Register a query and its SQL; ``views`` are put in front of the SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            head = B.with_views(*views) if views else ""
+            body = sql.strip()
+            if head and body.upper().startswith("WITH "):
+                body = ", " + body[5:]
+            ORACLES[name] = f"{head}{' ' if head and not body.startswith(',') else ''}{body}"
+        return f
+
+    return add
+
+
+# --- intervals -----------------------------------------------------------------------------
+
+_COVERED = """
+WITH p AS (SELECT w.id, w.qs, w.qe, f.feature, greatest(f.fs, w.qs) AS s, greatest(least(f.fe, w.qe), greatest(f.fs, w.qs) + 1) AS e
+  FROM win w JOIN feat f ON w.chrom = f.chrom AND f.fs < w.qe AND f.fe > w.qs),
+r AS (SELECT *, greatest(0, e - greatest(s, coalesce(max(e) OVER (PARTITION BY id, feature ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s))) AS new FROM p),
+c AS (SELECT id, feature, sum(new)::BIGINT AS covered FROM r GROUP BY ALL)
+"""
+
+
+@query("interval_labels", _COVERED + """
+SELECT w.id, n.feature, coalesce(c.covered, 0) AS covered,
+  (coalesce(c.covered, 0) > greatest(trunc(n.threshold * (w.qe - w.qs)::FLOAT - 1::FLOAT)::INT, 0))::INT AS label
+FROM win w CROSS JOIN names n LEFT JOIN c ON c.id = w.id AND c.feature = n.feature""", ("feat", "win", "names"))
+def interval_labels(spark, d):
+    return intervals.label(B.win(spark, d), B.feat(spark, d), B.names(spark, d), ["id"])
+
+
+@query("interval_presence", "SELECT DISTINCT w.id, f.feature, 1 AS present FROM win w JOIN feat f ON w.chrom = f.chrom AND f.fs < w.qe AND f.fe > w.qs", ("feat", "win"))
+def interval_presence(spark, d):
+    pairs = intervals.overlaps(B.win(spark, d), B.feat(spark, d))
+    return pairs.groupBy("id", "feature").agg(F.max(F.lit(1)).alias("present"))
+
+
+@query("interval_any_positive", """
+SELECT DISTINCT w.id FROM win w JOIN feat f ON w.chrom = f.chrom AND f.fs < w.qe AND f.fe > w.qs JOIN names n ON n.feature = f.feature
+WHERE least(f.fe, w.qe) - greatest(f.fs, w.qs) > greatest(trunc((w.qe - w.qs) * n.threshold::DOUBLE - 1)::INT, 0)""", ("feat", "win", "names"))
+def interval_any_positive(spark, d):
+    return intervals.any_positive(B.win(spark, d), B.feat(spark, d), B.names(spark, d), ["id"])
+
+
+@query("interval_stranded", """
+SELECT w.id, f.part, f.strand, f.fs FROM (SELECT *, CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM win) w
+JOIN feat f ON w.chrom = f.chrom AND w.strand = f.strand AND f.fs < w.qe AND f.fe > w.qs""", ("feat", "win"))
+def interval_stranded(spark, d):
+    w = B.win(spark, d).withColumn("strand", F.when(F.col("id") % 2 == 0, "+").otherwise("-"))
+    return intervals.overlaps(w, B.feat(spark, d), stranded=True).select("id", "part", "strand", "fs")
+
+
+@query("interval_target_mean", """
+WITH p AS (SELECT w.id, f.part % (SELECT count(*) FROM embeddings) AS ix FROM win w JOIN feat f ON w.chrom = f.chrom AND f.fs < w.qe AND f.fe > w.qs),
+t AS (SELECT vec_id AS ix, pos, embedding[pos + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest([0, 1, 2]) AS pos)),
+m AS (SELECT id, pos, avg(value) AS mean FROM p JOIN t USING (ix) GROUP BY ALL)
+SELECT w.id, q.pos, round(coalesce(m.mean, 'nan'::DOUBLE), 6) AS mean FROM win w CROSS JOIN (SELECT unnest([0, 1, 2]) AS pos) q LEFT JOIN m ON m.id = w.id AND m.pos = q.pos""", ("feat", "win"))
+def interval_target_mean(spark, d):
+    e = B.read(spark, d, "embeddings")
+    f = B.feat(spark, d).withColumn("ix", F.pmod("part", F.lit(e.count())))
+    t = e.select(F.col("vec_id").alias("ix"), F.slice("embedding", 1, 3).alias("values"))
+    return intervals.target_means(B.win(spark, d), f, t, ["id"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("blacklist_anti", """
+SELECT id, chrom, qs, qe FROM win w WHERE NOT EXISTS (SELECT 1 FROM feat f WHERE f.feature = 'AF' AND w.chrom = f.chrom AND f.fs < w.qe AND f.fe > w.qs)""", ("feat", "win"))
+def blacklist_anti(spark, d):
+    return intervals.without_overlap(B.win(spark, d), B.feat(spark, d).filter("feature = 'AF'"))
+
+
+@query("interval_merge", """
+WITH r AS (SELECT chrom, fs, fe, coalesce((fs > max(fe) OVER (PARTITION BY chrom ORDER BY fs, fe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS new FROM feat),
+i AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY fs, fe ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT chrom, min(fs) AS start, max(fe) AS "end" FROM i GROUP BY chrom, island""", ("feat",))
+def interval_merge(spark, d):
+    return intervals.merge(B.feat(spark, d).select("chrom", F.col("fs").alias("start"), F.col("fe").alias("end")))
+
+
+@query("interval_merge_sessions", """
+WITH e AS (SELECT user_id AS chrom, epoch(date_trunc('second', ts))::BIGINT AS s, epoch(date_trunc('second', ts))::BIGINT + ceil(value)::BIGINT AS e FROM events),
+r AS (SELECT *, coalesce((s > max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS new FROM e),
+i AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT chrom, min(s) AS start, max(e) AS "end" FROM i GROUP BY chrom, island""")
+def interval_merge_sessions(spark, d):
+    start = F.unix_timestamp(F.date_trunc("second", "ts"))
+    e = B.read(spark, d, "events").select(F.col("user_id").alias("chrom"), start.alias("start"), (start + F.ceil("value")).alias("end"))
+    return intervals.merge(e)
+
+
+@query("nearest_interval", """
+WITH v AS (SELECT id, chrom, qs + 100 AS pos FROM win), g AS (SELECT DISTINCT chrom, fs, fe, part AS gene FROM feat),
+o AS (SELECT DISTINCT v.id, g.gene, 0 AS distance, true AS overlapping FROM v JOIN g ON v.chrom = g.chrom AND g.fs <= v.pos AND g.fe > v.pos),
+c AS (SELECT v.id, g.gene, CASE WHEN g.fe <= v.pos THEN v.pos - g.fe ELSE g.fs - v.pos END AS distance FROM v JOIN g ON v.chrom = g.chrom WHERE v.id NOT IN (SELECT id FROM o)),
+n AS (SELECT *, min(distance) OVER (PARTITION BY id) AS least FROM c)
+SELECT id, gene, distance, false AS overlapping FROM n WHERE distance = least GROUP BY ALL UNION ALL SELECT id, gene, distance, overlapping FROM o""", ("feat", "win"))
+def nearest_interval(spark, d):
+    points = B.win(spark, d).select("id", "chrom", (F.col("qs") + 100).alias("pos"))
+    genes = B.feat(spark, d).select("chrom", "fs", "fe", F.col("part").alias("gene")).distinct()
+    return intervals.nearest(points, genes, ["id"]).select("id", "gene", F.col("distance").cast("long").alias("distance"), "overlapping").distinct()
+
+
+# --- sequences -----------------------------------------------------------------------------
+
+_WINDOWS = "w AS (SELECT name, (name * 37) % 150 - 10 AS start, (name * 37) % 150 + 30 AS \"end\", CASE WHEN name % 3 = 0 THEN '-' ELSE '+' END AS strand FROM seq)"
+_RC = "reverse(translate({0}, 'ACGTNacgtn', 'TGCANTGCAN'))"
+
+
+def _windows(df):
+    start = (F.col("name") * 37) % 150 - 10
+    return df.select("name", start.alias("start"), (start + 40).alias("end"), F.when(F.col("name") % 3 == 0, "-").otherwise("+").alias("strand"))
+
+
+@query("seq_window", f"""WITH {_WINDOWS} SELECT w.name, w.start, w."end", w.strand,
+CASE WHEN w.start < length(seq) AND w.start >= 0 AND w."end" <= length(seq) THEN
+  CASE WHEN strand = '-' THEN {_RC.format('substr(seq, w.start + 1, 40)')} ELSE substr(seq, w.start + 1, 40) END ELSE '' END AS seq FROM w JOIN seq USING (name)""", ("seq",))
+def seq_window(spark, d):
+    s = B.seq(spark, d)
+    return sequences.fetch(_windows(s), s)
+
+
+@query("seq_window_padded", f"""WITH {_WINDOWS}, x AS (SELECT w.*, length(seq) AS n, substr(seq, greatest(w.start, 0) + 1, greatest(least(w."end", length(seq)) - greatest(w.start, 0), 0)) AS part FROM w JOIN seq USING (name))
+SELECT name, start, "end", strand, CASE WHEN start < n AND "end" > 0 THEN repeat('N', greatest(-start, 0)::INT) || CASE WHEN strand = '-' THEN {_RC.format('part')} ELSE part END || repeat('N', greatest("end" - n, 0)::INT) ELSE '' END AS seq FROM x""", ("seq",))
+def seq_window_padded(spark, d):
+    s = B.seq(spark, d)
+    return sequences.fetch(_windows(s), s, padded=True)
+
+
+@query("seq_window_chunked", ORACLES["seq_window"])
+def seq_window_chunked(spark, d):
+    s = B.seq(spark, d)
+    return sequences.fetch_chunked(_windows(s), sequences.chunked(s, 64, chunk=128), chunk=128)
+
+
+@query("seq_catalogue", "SELECT name, length(seq) AS length FROM seq", ("seq",))
+def seq_catalogue(spark, d):
+    return sequences.catalogue(B.seq(spark, d))
+
+
+@query("seq_pad_truncate", """SELECT name, CASE WHEN n < 120 THEN upper(repeat('N', (120 - n) // 2) || seq || repeat('N', 120 - n - (120 - n) // 2))
+WHEN n > 120 THEN upper(substr(seq, (n - 120) // 2 + 1, 120)) ELSE seq END AS seq FROM (SELECT name, seq, length(seq)::INT AS n FROM dense)""", ("dense",))
+def seq_pad_truncate(spark, d):
+    return B.dense(spark, d).select("name", A.pad_or_truncate(F.col("seq"), 120).alias("seq"))
+
+
+@query("reverse_complement", f"SELECT name, {_RC.format('seq')} AS rc FROM dense", ("dense",))
+def reverse_complement(spark, d):
+    return B.dense(spark, d).select("name", A.reverse_complement(F.col("seq")).alias("rc"))
+
+
+_FIRST = "s AS (SELECT name, upper(substr(seq, 1, 30)) AS q FROM seq), p AS (SELECT name, q, unnest(range(length(q))) AS pos FROM s)"
+
+
+@query("one_hot_long", f"""WITH {_FIRST}, b AS (SELECT unnest(range(4)) AS ix)
+SELECT name, pos::INT AS pos, ix::INT AS ix, CASE WHEN instr('ACGT', substr(q, pos + 1, 1)) = 0 THEN 0.25 WHEN instr('ACGT', substr(q, pos + 1, 1)) = ix + 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM p, b""", ("seq",))
+def one_hot_long(spark, d):
+    e = B.seq(spark, d).select("name", F.posexplode(A.one_hot(F.substring("seq", 1, 30))).alias("pos", "row"))
+    return e.select("name", "pos", F.posexplode("row").alias("ix", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@query("decode", "SELECT name, substr(seq, 1, 60) AS seq FROM seq", ("seq",))
+def decode(spark, d):
+    return B.seq(spark, d).select("name", A.decode(A.one_hot(F.substring("seq", 1, 60))).alias("seq"))
+
+
+@query("rc_encoding", f"SELECT name, {_RC.format('substr(seq, 1, 60)')} AS rc FROM seq", ("seq",))
+def rc_encoding(spark, d):
+    return B.seq(spark, d).select("name", A.decode(A.reverse_complement_encoding(A.one_hot(F.substring("seq", 1, 60)))).alias("rc"))
+
+
+@query("unknown_flag", """SELECT name, contains(substr(seq, 1, 12), 'N') AS contains_unk,
+round(1 - length(regexp_replace(substr(seq, 1, 200), '[^ACGTacgt]', '', 'g')) / nullif(length(substr(seq, 1, 200)), 0)::DOUBLE, 6) AS share FROM seq""", ("seq",))
+def unknown_flag(spark, d):
+    s = B.seq(spark, d)
+    return s.select("name", A.has_unknown(F.substring("seq", 1, 12)).alias("contains_unk"), F.round(A.ambiguous_share(F.substring("seq", 1, 200)), 6).alias("share"))
+
+
+@query("candidate_filters", """SELECT name FROM dense WHERE length(seq) >= 100 AND name::VARCHAR NOT LIKE '%7%'
+AND 1 - length(regexp_replace(substr(seq, 1, 100), '[^ACGTacgt]', '', 'g')) / 100.0 <= 0.30""", ("dense",))
+def candidate_filters(spark, d):
+    s = B.dense(spark, d).filter(F.length("seq") >= 100).filter(~sampling.excluded(F.col("name").cast("string"), ["7"]))
+    return s.filter(A.ambiguous_share(F.substring("seq", 1, 100)) <= 0.30).select("name")
+
+
+@query("bits_pack_unpack", """WITH s AS (SELECT name, substr(seq, 1, 37) AS q FROM dense WHERE length(seq) > 0),
+b AS (SELECT name, unnest(range((length(q) + 7) // 8)) AS ix, q FROM s)
+SELECT name, ix::INT AS ix, list_sum(list_transform(range(8), lambda k: CASE WHEN upper(substr(q, (ix * 8 + k + 1)::BIGINT, 1)) IN ('A', 'C') THEN 2 ** (7 - k) ELSE 0 END))::INT AS byte, true AS same FROM b""", ("dense",))
+def bits_pack_unpack(spark, d):
+    s = B.dense(spark, d).filter(F.length("seq") > 0)
+    bits = F.transform(A.symbols(F.upper(F.substring("seq", 1, 37))), lambda c: c.isin("A", "C").cast("int"))
+    packed = s.select("name", bits.alias("bits")).withColumn("packed", A.pack_bits(F.col("bits")))
+    packed = packed.withColumn("same", A.unpack_bits(F.col("packed"), F.size("bits")) == F.col("bits"))
+    return packed.select("name", "same", F.posexplode("packed").alias("ix", "byte"))
+
+
+@query("center_crop", """SELECT name, array_to_string(list_slice(l, len(l) // 2 - 11 + 2 + 1, len(l) // 2 - 11 + 2 + 21), '') AS seq
+FROM (SELECT name, string_split(substr(seq, 1, 100), '') AS l FROM seq WHERE length(seq) >= 100)""", ("seq",))
+def center_crop(spark, d):
+    s = B.seq(spark, d).filter(F.length("seq") >= 100)
+    return s.select("name", F.array_join(A.center_crop(A.symbols(F.substring("seq", 1, 100)), 21, 2), "").alias("seq"))
+
+
+@query("window_geometry", """SELECT id, qs + 100 - 50 AS even_start, qs + 100 + 50 AS even_end, qs + 100 - 51 AS odd_predict_start, qs + 100 + 50 AS odd_predict_end,
+qs + floor((qe - qs) / 2)::BIGINT - 25 AS mid_start, qs + floor((qe - qs) / 2)::BIGINT + 26 AS mid_end FROM win""", ("win",))
+def window_geometry(spark, d):
+    w = B.win(spark, d)
+    a, b = sequences.around(F.col("qs") + 100, 100)
+    p, q = sequences.around_prediction(F.col("qs") + 100, 101)
+    m, n = sequences.from_midpoint(F.col("qs"), F.col("qe"), 51)
+    return w.select("id", a.alias("even_start"), b.alias("even_end"), p.alias("odd_predict_start"), q.alias("odd_predict_end"), m.alias("mid_start"), n.alias("mid_end"))
+
+
+# --- sampling ------------------------------------------------------------------------------
+
+@query("chrom_split", "SELECT id, CASE WHEN chrom IN (1, 2, 3) THEN 'validate' WHEN chrom IN (3, 4) THEN 'test' ELSE 'train' END AS split FROM win", ("win",))
+def chrom_split(spark, d):
+    return sampling.split_by_chromosome(B.win(spark, d), F.col("chrom"), [1, 2, 3], [3, 4]).select("id", "split")
+
+
+@query("proportion_split", """WITH r AS (SELECT id, row_number() OVER (ORDER BY (id * 48271 + 1337) % 2147483647, id) AS k, count(*) OVER () AS n FROM win)
+SELECT id, CASE WHEN k <= floor(n * 0.1) THEN 'validate' WHEN k <= floor(n * 0.1) + floor(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""", ("win",))
+def proportion_split(spark, d):
+    return sampling.split_by_proportion(B.win(spark, d), F.col("id"), B.SEED, 0.1, 0.2).select("id", "split")
+
+
+@query("weighted_draws", """WITH l AS (SELECT p_partkey AS part, p_size::BIGINT AS len, p_partkey % 1024 AS block FROM part WHERE p_size > 0),
+c AS (SELECT *, sum(len) OVER (ORDER BY block, part ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM l), t AS (SELECT max(e) AS total FROM c),
+d AS (SELECT i AS draw_id, (((i * 48271 + 1337) % 2147483647) * 2147483647 + ((i + 1) * 48271 + 1337 + 7919) % 2147483647) % total AS spot,
+  CASE WHEN ((i * 48271 + 1337 + 15838) % 2147483647) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT unnest(range(5000)) AS i), t)
+SELECT draw_id, part, spot - (e - len) AS "offset", strand FROM d JOIN c ON d.spot >= c.e - c.len AND d.spot < c.e""")
+def weighted_draws(spark, d):
+    parts = B.read(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size")
+    return sampling.weighted_draws(parts, "part", F.col("p_size"), 5000, B.SEED)
+
+
+@query("interval_weights", "SELECT p_partkey AS part, round(p_size / sum(p_size) OVER (), 12) AS weight FROM part")
+def interval_weights(spark, d):
+    parts = B.read(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size")
+    return sampling.weights(parts, F.col("p_size")).select("part", F.round("weight", 12).alias("weight"))
+
+
+@query("sample_bed_rows", _COVERED + """, n AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS ix FROM (SELECT DISTINCT feature FROM feat)),
+l AS (SELECT w.id, w.chrom, w.qs, w.qe, n.ix FROM win w JOIN c USING (id) JOIN n USING (feature) WHERE c.covered > 99)
+SELECT id, chrom, qs, qe, string_agg(ix::VARCHAR, ';' ORDER BY ix) AS positives FROM l GROUP BY ALL""", ("feat", "win"))
+def sample_bed_rows(spark, d):
+    w = B.win(spark, d)
+    labelled = intervals.label(w, B.feat(spark, d), B.names(spark, d), ["id"])
+    dense = labelled.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "label"))), lambda x: x["label"]).alias("labels"))
+    rows = dense.filter(F.exists("labels", lambda x: x > 0))  # P6
+    return w.join(rows, "id").select("id", "chrom", "qs", "qe", A.positives(F.col("labels")).alias("positives"))
+
+
+@query("multi_hot", """SELECT o_orderkey AS id, pos::INT AS pos, (pos IN (o_custkey % 6, o_orderkey % 6))::INT AS value FROM orders, (SELECT unnest(range(6)) AS pos)""")
+def multi_hot(spark, d):
+    o = B.read(spark, d, "orders")
+    listed = F.concat_ws(";", (F.col("o_custkey") % 6).cast("string"), (F.col("o_orderkey") % 6).cast("string"))
+    return o.select(F.col("o_orderkey").alias("id"), F.posexplode(A.multi_hot(listed, 6)).alias("pos", "value"))
+
+
+@query("batches", "SELECT doc_id AS name, doc_id // 64 AS batch_id FROM documents")
+def batches(spark, d):
+    s = B.read(spark, d, "documents").select(F.col("doc_id").alias("name"))
+    return sampling.batches(s, F.col("name"), 64)
+
+
+@query("cyclic_read", "SELECT t AS turn, p_partkey AS part FROM (SELECT unnest(range(7000)) AS t), part WHERE p_partkey = t % (SELECT count(*) FROM part)")
+def cyclic_read(spark, d):
+    p = B.read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_partkey").alias("position"))
+    return sampling.cyclic(p, "position", 7000, p.count()).select("turn", "part")
+
+
+# --- mutagenesis and variants ------------------------------------------------------------------
+
+_ISM = """s AS (SELECT name, substr(seq, 1, 20) AS seq FROM dense WHERE length(seq) >= 20), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS alt),
+m AS (SELECT name, seq, pos, substr(seq, (pos + 1)::BIGINT, 1) AS ref, alt FROM s, (SELECT unnest(range(20)) AS pos), b WHERE substr(seq, (pos + 1)::BIGINT, 1) <> alt)"""
+
+
+def _short(spark, d, n=20):
+    return B.dense(spark, d).filter(F.length("seq") >= n).select("name", F.substring("seq", 1, n).alias("seq"))
+
+
+@query("ism_single", f"WITH {_ISM} SELECT name, pos::VARCHAR AS pos, ref, alt, substr(seq, 1, pos::BIGINT) || alt || substr(seq, (pos + 2)::BIGINT) AS mutated FROM m", ("dense",))
+def ism_single(spark, d):
+    m = mutagenesis.mutations(_short(spark, d))
+    part = lambda p: mutagenesis.mutation_id(F.col("muts"), p).alias(p)
+    return m.select("name", part("pos"), part("ref"), part("alt"), mutagenesis.mutate(F.col("seq"), F.col("muts")).alias("mutated"))
+
+
+@query("ism_double", """WITH s AS (SELECT name, substr(seq, 1, 6) AS seq FROM dense WHERE length(seq) >= 6), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS alt), r AS (SELECT unnest(range(6)) AS pos),
+m AS (SELECT name, seq, pos, substr(seq, (pos + 1)::BIGINT, 1) AS ref, alt FROM s, r, b WHERE substr(seq, (pos + 1)::BIGINT, 1) <> alt)
+SELECT x.name, x.pos || ';' || y.pos AS pos, x.ref || ';' || y.ref AS ref, x.alt || ';' || y.alt AS alt,
+substr(x.seq, 1, x.pos::BIGINT) || x.alt || substr(x.seq, (x.pos + 2)::BIGINT, (y.pos - x.pos - 1)::BIGINT) || y.alt || substr(x.seq, (y.pos + 2)::BIGINT) AS mutated FROM m x JOIN m y ON x.name = y.name AND x.pos < y.pos""", ("dense",))
+def ism_double(spark, d):
+    m = mutagenesis.mutations(_short(spark, d, 6), n=2)
+    part = lambda p: mutagenesis.mutation_id(F.col("muts"), p).alias(p)
+    return m.select("name", part("pos"), part("ref"), part("alt"), mutagenesis.mutate(F.col("seq"), F.col("muts")).alias("mutated"))
+
+
+def _ism_scores(spark, d):
+    m = mutagenesis.mutations(_short(spark, d).withColumn("seq", F.upper("seq")))
+    one = m.select("name", F.col("muts")[0]["pos"].alias("pos"), F.col("muts")[0]["ref"].alias("ref"), F.col("muts")[0]["alt"].alias("alt"))
+    return one.withColumn("score", F.round(((F.col("pos") + 1) * (F.instr(F.lit("ACGT"), F.col("alt")) + 1) % 7) / 7.0, 6))
+
+
+_ISM_UP = _ISM.replace("substr(seq, 1, 20) AS seq", "upper(substr(seq, 1, 20)) AS seq")
+_ISM_SCORE = "round(((pos + 1) * (instr('ACGT', alt) + 1) % 7) / 7.0::DOUBLE, 6)"
+
+
+@query("ism_matrix", f"""WITH {_ISM_UP} SELECT name, pos::INT AS pos, alt AS base, {_ISM_SCORE} AS score FROM m
+UNION ALL SELECT DISTINCT name, pos::INT, ref, 0.5::DOUBLE FROM m""", ("dense",))
+def ism_matrix(spark, d):
+    return mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5)
+
+
+@query("ism_reference", "SELECT name, upper(substr(seq, 1, 20)) AS seq, true AS consistent FROM dense WHERE length(seq) >= 20", ("dense",))
+def ism_reference(spark, d):
+    return mutagenesis.reference_sequence(_ism_scores(spark, d), "name")
+
+
+_MATRIX = f"WITH {_ISM_UP}, x AS (SELECT name, pos, alt AS base, {_ISM_SCORE} AS score FROM m UNION ALL SELECT DISTINCT name, pos, ref, 0.5::DOUBLE FROM m)"
+
+
+@query("rescale_scores", _MATRIX + """, y AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM x WINDOW w AS (PARTITION BY name, pos)),
+z AS (SELECT *, sum(score - lo) OVER (PARTITION BY name, pos) AS t FROM y)
+SELECT name, pos::INT AS pos, base, round((score - lo) / nullif(t, 0) * (hi - lo), 6) AS score FROM z""", ("dense",))
+def rescale_scores(spark, d):
+    m = mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5)
+    return interpret.rescale(m, ["name"], "max_effect", "max_effect").withColumn("score", F.round("score", 6))
+
+
+@query("rescale_probability", _MATRIX + """ SELECT name, pos::INT AS pos, base, round(score / nullif(sum(score) OVER (PARTITION BY name, pos), 0) / nullif(sum(score) OVER (PARTITION BY name, pos), 0), 6) AS score FROM x""", ("dense",))
+def rescale_probability(spark, d):
+    m = mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5)
+    return interpret.rescale(m, ["name"], "probability", "probability").withColumn("score", F.round("score", 6))
+
+
+@query("logo_offsets", _MATRIX + """ SELECT name, pos::INT AS pos, base, score - 0.4 AS score, round(coalesce(sum(score - 0.4) OVER (PARTITION BY name, pos, sign(score - 0.4) ORDER BY abs(score - 0.4), base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS "offset" FROM x""", ("dense",))
+def logo_offsets(spark, d):
+    m = mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5).withColumn("score", F.col("score") - 0.4)
+    return interpret.logo_offsets(m, ["name"]).withColumn("offset", F.round("offset", 6))
+
+
+@query("heatmap_rows", _MATRIX + " SELECT name, pos::INT AS pos, base, score, (4 - instr('ACGT', base))::INT AS row FROM x", ("dense",))
+def heatmap_rows(spark, d):
+    return interpret.heatmap_order(mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5), "ACGT")
+
+
+def _variant_rows(spark, d):
+    li = B.read(spark, d, "lineitem")
+    pick = lambda c, k: F.substring(F.lit("ACGTACGT"), (F.col(c) % 8 + 1).cast("int"), F.lit(k))
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("variant"),
+        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("CHR"), F.col("l_suppkey"))).when(F.col("l_linenumber") == 2, "MT").otherwise(F.col("l_suppkey").cast("string")).alias("chrom"),
+        F.col("l_partkey").alias("pos"),
+        F.when(F.col("l_quantity") > 45, "-").otherwise(pick("l_partkey", 1)).alias("ref"),
+        F.when(F.col("l_quantity") > 40, F.concat_ws(",", pick("l_suppkey", 1), pick("l_orderkey", 2))).when(F.col("l_quantity") < 5, ".").otherwise(pick("l_orderkey", 1)).alias("alt"),
+    )
+
+
+@query("vcf_normalise", """WITH v AS (SELECT l_orderkey || '-' || l_linenumber AS variant,
+ CASE WHEN l_linenumber = 1 THEN 'CHR' || l_suppkey WHEN l_linenumber = 2 THEN 'MT' ELSE l_suppkey::VARCHAR END AS chrom, l_partkey AS pos,
+ CASE WHEN l_quantity > 45 THEN '' ELSE substr('ACGTACGT', l_partkey % 8 + 1, 1) END AS ref,
+ CASE WHEN l_quantity > 40 THEN substr('ACGTACGT', l_suppkey % 8 + 1, 1) || ',' || substr('ACGTACGT', l_orderkey % 8 + 1, 2) WHEN l_quantity < 5 THEN '.' ELSE substr('ACGTACGT', l_orderkey % 8 + 1, 1) END AS alt FROM lineitem),
+c AS (SELECT *, CASE WHEN starts_with(chrom, 'CHR') THEN 'chr' || substr(chrom, 4) ELSE chrom END AS c1 FROM v), e AS (SELECT *, CASE WHEN starts_with(c1, 'chr') THEN c1 ELSE 'chr' || c1 END AS c2 FROM c),
+a AS (SELECT *, string_split(replace(alt, '.', ','), ',') AS l FROM e)
+SELECT variant, CASE WHEN c2 IN ('MT', 'chrMT') THEN 'chrM' ELSE c2 END AS chrom, pos, ref, ix::INT AS alt_ix, l[ix + 1] AS alt FROM (SELECT *, unnest(range(len(l))) AS ix FROM a)""")
+def vcf_normalise(spark, d):
+    return variants.exploded(_variant_rows(spark, d)).withColumn("chrom", variants.chromosome(F.col("chrom"), True))
+
+
+def _snvs(spark, d):
+    li = B.read(spark, d, "lineitem").filter("l_linenumber <= 2")
+    n = B.read(spark, d, "documents").count()
+    base = lambda c: F.substring(F.lit("ACGTACGT"), (F.col(c) % 8 + 1).cast("int"), F.lit(1))
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("variant"), (F.col("l_partkey") % n).alias("chrom"), (40 + F.col("l_orderkey") % 60).cast("int").alias("pos"),
+        base("l_partkey").alias("ref"),
+        F.when(F.col("l_quantity") > 35, F.concat(base("l_suppkey"), base("l_orderkey"))).when(F.col("l_quantity") < 15, "*").otherwise(base("l_orderkey")).alias("alt"),
+        F.when(F.col("l_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"),
+    )
+
+
+@query("variant_ref_alt", """WITH v AS (SELECT l_orderkey || '-' || l_linenumber AS variant, l_partkey % (SELECT count(*) FROM documents) AS chrom, (40 + l_orderkey % 60)::INT AS pos,
+ substr('ACGTACGT', l_partkey % 8 + 1, 1) AS ref, CASE WHEN l_quantity > 35 THEN substr('ACGTACGT', l_suppkey % 8 + 1, 1) || substr('ACGTACGT', l_orderkey % 8 + 1, 1) WHEN l_quantity < 15 THEN '*' ELSE substr('ACGTACGT', l_orderkey % 8 + 1, 1) END AS alt,
+ CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM lineitem WHERE l_linenumber <= 2),
+w AS (SELECT v.*, seq AS whole, substr(seq, pos - 10 + 1, 20) AS win FROM v JOIN seq ON chrom = name WHERE pos - 10 >= 0 AND pos + 10 <= length(seq)),
+a AS (SELECT *, CASE WHEN alt = '*' THEN substr(whole, pos + 1 - 10 + 1, 10) || substr(whole, pos + 3, 10)
+  WHEN length(alt) = 1 THEN substr(win, 1, 9) || alt || substr(win, 11) ELSE substr(substr(win, 1, 9) || alt || substr(win, 11), 1, 20) END AS alt_seq,
+  substr(win, 1, 9) || ref || substr(win, 11) AS ref_seq FROM w)
+SELECT variant, chrom, pos, alt, ref, strand, CASE WHEN strand = '-' THEN reverse(translate(ref_seq, 'ACGTN', 'TGCAN')) ELSE ref_seq END AS ref_seq,
+ CASE WHEN strand = '-' THEN reverse(translate(alt_seq, 'ACGTN', 'TGCAN')) ELSE alt_seq END AS alt_seq, substr(win, 10, 1) = ref AS ref_match, contains(win, 'N') AS contains_unk FROM a""", ("seq",))
+def variant_ref_alt(spark, d):
+    s = B.seq(spark, d)
+    return variants.windows(_snvs(spark, d), s, 20)
+
+
+@query("variant_order", """SELECT id, chrom, pos, row_number() OVER (ORDER BY CASE WHEN chrom IN ('chrX') THEN 23 WHEN chrom = 'chrY' THEN 24 WHEN chrom = 'chrM' THEN 25 WHEN try_cast(substr(chrom, 4) AS INT) BETWEEN 1 AND 22 THEN substr(chrom, 4)::INT ELSE 26 END, chrom, pos, id) AS place
+FROM (SELECT id, qs AS pos, 'chr' || CASE chrom % 30 WHEN 23 THEN 'X' WHEN 24 THEN 'Y' WHEN 25 THEN 'M' ELSE (chrom % 30)::VARCHAR END AS chrom FROM win)""", ("win",))
+def variant_order(spark, d):
+    k = F.col("chrom") % 30
+    name = F.when(k == 23, "X").when(k == 24, "Y").when(k == 25, "M").otherwise(k.cast("string"))
+    v = B.win(spark, d).select("id", F.col("qs").alias("pos"), F.concat(F.lit("chr"), name).alias("chrom"))
+    order = Window.orderBy(interpret.chromosome_key(F.col("chrom")), "chrom", "pos", "id")
+    return v.withColumn("place", F.row_number().over(order))
+
+
+# --- scores ----------------------------------------------------------------------------------
+
+@query("diff_scores", "SELECT id, feature, round(alt - ref, 6) AS score FROM ref_alt", ("ref_alt",))
+def diff_scores(spark, d):
+    return B.ref_alt(spark, d).select("id", "feature", F.round(S.difference(F.col("ref"), F.col("alt")), 6).alias("score"))
+
+
+@query("abs_diff", "SELECT id, feature, round(abs(alt - ref), 6) AS score FROM ref_alt", ("ref_alt",))
+def abs_diff(spark, d):
+    return B.ref_alt(spark, d).select("id", "feature", F.round(S.absolute_difference(F.col("ref"), F.col("alt")), 6).alias("score"))
+
+
+@query("logit_scores", """WITH c AS (SELECT id, feature, CASE WHEN ref = 0 THEN 1e-24 WHEN ref >= 1 THEN 0.999999 ELSE ref END AS r, CASE WHEN alt = 0 THEN 1e-24 WHEN alt >= 1 THEN 0.999999 ELSE alt END AS a FROM ref_alt)
+SELECT id, feature, round(ln(a / (1 - a)) - ln(r / (1 - r)), 6) AS score FROM c""", ("ref_alt",))
+def logit_scores(spark, d):
+    return B.ref_alt(spark, d).select("id", "feature", F.round(S.logit_difference(F.col("ref"), F.col("alt")), 6).alias("score"))
+
+
+@query("strand_mean", "SELECT id, feature, round((ref + alt) / 2, 6) AS score FROM ref_alt", ("ref_alt",))
+def strand_mean(spark, d):
+    return B.ref_alt(spark, d).select("id", "feature", F.round(S.both_strands(F.col("ref"), F.col("alt")), 6).alias("score"))
+
+
+@query("strand_max", "SELECT id, feature, greatest(ref, alt) AS score FROM ref_alt", ("ref_alt",))
+def strand_max(spark, d):
+    return B.ref_alt(spark, d).select("id", "feature", S.both_strands(F.col("ref"), F.col("alt"), "max").alias("score"))
+
+
+@query("ensemble", "SELECT vec_id AS id, pos::INT AS pos, CASE WHEN pos < 3 THEN embedding[pos + 1] ELSE embedding[pos + 8] END::DOUBLE AS score FROM embeddings, (SELECT unnest(range(6)) AS pos)")
+def ensemble(spark, d):
+    e = B.read(spark, d, "embeddings")
+    both = A.ensemble(F.slice("embedding", 1, 3), F.slice("embedding", 11, 3))
+    return e.select(F.col("vec_id").alias("id"), F.posexplode(both).alias("pos", "score")).withColumn("score", F.col("score").cast("double"))
+
+
+@query("max_difference", "SELECT id, round(max(abs(alt - ref)), 6) AS score FROM ref_alt GROUP BY id", ("ref_alt",))
+def max_difference(spark, d):
+    together = B.ref_alt(spark, d).groupBy("id").agg(F.collect_list(F.abs(F.col("alt") - F.col("ref"))).alias("v"))
+    return together.select("id", F.round(interpret.largest_difference(F.col("v")), 6).alias("score"))
+
+
+# --- metrics and statistics ------------------------------------------------------------------------
+
+_LEVELS = """WITH g AS (SELECT feature, score, sum(target)::BIGINT AS p, count(*) AS n FROM scores GROUP BY ALL),
+l AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY feature) AS P, sum(n) OVER (PARTITION BY feature) AS N FROM (SELECT feature, score, p, n FROM g) WINDOW w AS (PARTITION BY feature ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+_LEVELS = _LEVELS.replace("AS P,", "AS tot_p,").replace("AS N FROM (SELECT", "AS tot FROM (SELECT")
+
+
+_AUC = """WITH a AS (SELECT feature, (sum(CASE WHEN target = 1 THEN r END) - n1 * (n1 + 1) / 2) / (n1 * n0) AS auc FROM (
+ SELECT feature, target, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2 AS r,
+ sum(target) OVER (PARTITION BY feature) AS n1, sum(1 - target) OVER (PARTITION BY feature) AS n0 FROM scores) GROUP BY feature, n1, n0)"""
+
+
+@query("roc_auc", _AUC + " SELECT feature, round(auc, 6) AS roc_auc FROM a", ("scores",))
+def roc_auc(spark, d):
+    return metrics.roc_auc(B.scores(spark, d)).withColumn("roc_auc", F.round("roc_auc", 6))
+
+
+@query("average_precision", _LEVELS + " SELECT feature, round(sum(p * tp / seen) / max(tot_p), 6) AS average_precision FROM l GROUP BY feature", ("scores",))
+def average_precision(spark, d):
+    return metrics.average_precision(B.scores(spark, d)).withColumn("average_precision", F.round("average_precision", 6))
+
+
+@query("roc_points", _LEVELS + " SELECT feature, score AS threshold, round((seen - tp) / (tot - tot_p), 6) AS fpr, round(tp / tot_p, 6) AS tpr FROM l", ("scores",))
+def roc_points(spark, d):
+    return metrics.roc_points(B.scores(spark, d)).withColumns({"fpr": F.round("fpr", 6), "tpr": F.round("tpr", 6)})
+
+
+@query("pr_points", _LEVELS + " SELECT feature, score AS threshold, round(tp / seen, 6) AS precision, round(tp / tot_p, 6) AS recall FROM l", ("scores",))
+def pr_points(spark, d):
+    return metrics.precision_recall_points(B.scores(spark, d)).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
+@query("pearson", "SELECT feature, round(corr(target, score), 6) AS pearson FROM scores GROUP BY feature", ("scores",))
+def pearson(spark, d):
+    return metrics.pearson(B.scores(spark, d)).withColumn("pearson", F.round("pearson", 6))
+
+
+@query("spearman", """SELECT feature, round(corr(a, b), 6) AS spearman FROM (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2 AS a,
+ rank() OVER (PARTITION BY feature ORDER BY target) + (count(*) OVER (PARTITION BY feature, target) - 1) / 2 AS b FROM scores) GROUP BY feature""", ("scores",))
+def spearman(spark, d):
+    return metrics.spearman(B.scores(spark, d)).withColumn("spearman", F.round("spearman", 6))
+
+
+@query("r2", "SELECT feature, round(1 - sum((target - score) ** 2) / (var_pop(target) * count(*)), 6) AS r2 FROM scores GROUP BY feature", ("scores",))
+def r2(spark, d):
+    return metrics.r_squared(B.scores(spark, d)).withColumn("r2", F.round("r2", 6))
+
+
+@query("bce_loss", "SELECT feature, round(avg(-(target * greatest(ln(greatest(score, 1e-300)), -100) + (1 - target) * greatest(ln(greatest(1 - score, 1e-300)), -100))), 6) AS bce FROM scores GROUP BY feature", ("scores",))
+def bce_loss(spark, d):
+    return metrics.cross_entropy(B.scores(spark, d)).withColumn("bce", F.round("bce", 6))
+
+
+@query("mse_loss", "SELECT feature, round(avg((target - score) ** 2), 6) AS mse FROM scores GROUP BY feature", ("scores",))
+def mse_loss(spark, d):
+    return metrics.squared_error(B.scores(spark, d)).withColumn("mse", F.round("mse", 6))
+
+
+@query("batch_loss", "SELECT round(avg(m), 6) AS loss FROM (SELECT id // 64 AS b, avg((target - score) ** 2) AS m FROM scores GROUP BY b)", ("scores",))
+def batch_loss(spark, d):
+    s = sampling.batches(B.scores(spark, d), F.col("id"), 64)
+    return metrics.mean_batch_loss(s, "batch_id", F.pow(F.col("target") - F.col("score"), F.lit(2))).withColumn("loss", F.round("loss", 6))
+
+
+@query("macro_avg", _AUC + " SELECT round(avg(auc), 6) AS roc_auc FROM a", ("scores",))
+def macro_avg(spark, d):
+    return metrics.macro_average(metrics.roc_auc(B.scores(spark, d)), "roc_auc").withColumn("roc_auc", F.round("roc_auc", 6))
+
+
+@query("count_positives", "SELECT feature, sum(target)::BIGINT AS positives FROM scores GROUP BY feature", ("scores",))
+def count_positives(spark, d):
+    return metrics.positives(B.scores(spark, d))
+
+
+@query("rank_sum_stat", """WITH r AS (SELECT feature, target, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2 AS r FROM scores)
+SELECT feature, sum(CASE WHEN target = 1 THEN r END) - sum(target) * (sum(target) + 1) / 2 AS u FROM r GROUP BY feature""", ("scores",))
+def rank_sum_stat(spark, d):
+    s = B.scores(spark, d).withColumn("group", F.col("target") == 1)
+    return stats.rank_sum(s, "feature", "score", "group").select("feature", "u")
+
+
+@query("rank_sum_p")
+def rank_sum_p(spark, d):
+    s = B.scores(spark, d).withColumn("group", F.col("target") == 1)
+    return stats.false_discovery(stats.upper_tail(stats.rank_sum(s, "feature", "score", "group")), "p")
+
+
+@query("bh_fdr", """WITH p AS (SELECT id, score AS p, count(*) OVER () AS m FROM scores WHERE feature = 'f0'), r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p)
+SELECT id, p, round(least(min(p * m / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING), 1.0), 6) AS q FROM r""", ("scores",))
+def bh_fdr(spark, d):
+    p = B.scores(spark, d).filter("feature = 'f0'").select("id", F.col("score").alias("p"))
+    return stats.false_discovery(p, "p").withColumn("q", F.round("q", 6))
+
+
+@query("normal_scores")
+def normal_scores(spark, d):
+    return stats.normal_scores(B.scores(spark, d).select("feature", "id", "score"), "feature", "score")
+
+
+@query("mean_ci", "SELECT feature, round(avg(score), 6) AS mean, round(stddev_samp(score) / sqrt(count(*)), 6) AS sem, count(*) AS n FROM scores GROUP BY feature", ("scores",))
+def mean_ci(spark, d):
+    m = stats.mean_interval(B.scores(spark, d), "feature", "score")
+    return m.select("feature", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")
+
+
+@query("percentile_keep", "SELECT id, feature, score FROM scores WHERE score >= (SELECT quantile_cont(score, 0.9) FROM scores)", ("scores",))
+def percentile_keep(spark, d):
+    return stats.keep_above_percentile(B.scores(spark, d).select("id", "feature", "score"), "score", 0.9)
+
+
+# --- preparation ---------------------------------------------------------------------------------
+
+@query("union_profiles", "SELECT p_name AS feature, p_size AS size, 'part' AS source FROM part UNION ALL SELECT event_type, user_id, 'event' FROM events")
+def union_profiles(spark, d):
+    a = B.read(spark, d, "part").select(F.col("p_name").alias("feature"), F.col("p_size").cast("long").alias("size"), F.lit("part").alias("source"))
+    b = B.read(spark, d, "events").select(F.col("event_type").alias("feature"), F.col("user_id").alias("size"), F.lit("event").alias("source"))
+    return prep.union_profiles(a, b)
+
+
+@query("dup_feature_names", """SELECT p_partkey AS file, p_name AS feature, CASE WHEN k > 0 THEN p_name || '.' || k ELSE p_name END AS name
+FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k FROM part)""")
+def dup_feature_names(spark, d):
+    return prep.numbered_duplicates(B.read(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_name").alias("feature")))
+
+
+@query("distinct_features", "SELECT DISTINCT l_returnflag || l_linestatus AS feature FROM lineitem")
+def distinct_features(spark, d):
+    return prep.distinct_features(B.feat(spark, d))
+
+
+@query("tf_semi_join", "SELECT part, feature, fs FROM feat WHERE part IN (SELECT p_partkey FROM part WHERE p_type NOT SIMILAR TO '^H[0-9].*' AND p_type <> 'ECONOMY')", ("feat",))
+def tf_semi_join(spark, d):
+    factors = B.read(spark, d, "part").filter(prep.is_factor(F.col("p_type")) & (F.col("p_type") != "ECONOMY")).select(F.col("p_partkey").alias("part"))
+    return prep.of_features(B.feat(spark, d), factors, "part").select("part", "feature", "fs")
+
+
+@query("topn_split", """SELECT o_orderkey AS id, CASE WHEN k <= 100 THEN 'test' ELSE 'train' END AS split FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 1000""")
+def topn_split(spark, d):
+    return prep.top_split(B.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), "o_totalprice", "id", 1000, 100).select("id", "split")
+
+
+@query("zscore_by_train", """SELECT o_orderkey AS id, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0)) / (SELECT stddev_pop(o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0), 6) AS z FROM orders""")
+def zscore_by_train(spark, d):
+    o = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    return prep.standardised(o, "o_totalprice", F.col("id") % 5 != 0).select("id", F.round("z", 6).alias("z"))
+
+
+@query("ordered_features", "SELECT id, feature, score, CASE feature WHEN 'f2' THEN 0 ELSE 1 END AS feature_ix FROM scores WHERE feature IN ('f2', 'f0')", ("scores",))
+def ordered_features(spark, d):
+    s = prep.ordered_features(B.scores(spark, d).select("id", "feature", "score"), ["f2", "f0", "unknown"])
+    return s.withColumn("feature_ix", F.when(F.col("feature") == "f2", 0).otherwise(1))
+
+
+@query("feature_parts", "SELECT p_partkey AS id, p_brand AS cell, p_type AS target, p_name AS treatment FROM part")
+def feature_parts(spark, d):
+    p = B.read(spark, d, "part")
+    parts = prep.feature_parts(F.concat_ws("|", "p_brand", "p_type", "p_name"))
+    return p.select(F.col("p_partkey").alias("id"), *[c.alias(k) for k, c in parts.items()])
