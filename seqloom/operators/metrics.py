@@ -155,5 +155,5 @@ class Metrics:
 
 def performance_text(per_feature: DataFrame, metrics: list[str]) -> DataFrame:
     """K7: four decimals, ``NA`` for undefined."""
-    text = lambda c: F.coalesce(F.when(~F.isnan(c), F.format_string("%.4f", F.col(c))), F.lit("NA")).alias(c)
+    text = lambda c: F.coalesce(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.4f", F.col(c))), F.lit("NA")).alias(c)
     return per_feature.select("feature", *[text(m) for m in metrics])

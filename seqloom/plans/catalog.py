@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from seqloom.functions import alphabet as A
 from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep, sampling, sequences, stats, variants
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
+from seqloom.plans import training
+from seqloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -623,3 +626,28 @@ def feature_parts(spark, d):
     p = B.read(spark, d, "part")
     parts = prep.feature_parts(F.concat_ws("|", "p_brand", "p_type", "p_name"))
     return p.select(F.col("p_partkey").alias("id"), *[c.alias(k) for k, c in parts.items()])
+
+
+# --- files, training, streams ----------------------------------------------------------------------
+
+@query("windowed_counts", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type AS key, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, d):
+    return live.windowed_counts(B.read(spark, d, "events"), "ts", F.col("event_type"))
+
+
+@query("logistic_training")
+def logistic_training(spark, d):
+    e = B.read(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"), (F.col("label") < 5).cast("int").alias("target"))
+    model = training.Logistic([0.0] * 8)
+    losses = training.train(e, model, 5, training.PlateauRate(1.0))
+    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
+
+
+@query("convolution_scores")
+def convolution_scores(spark, d):
+    """Predictions of a small built-in model for reference and alternative windows, and their differences."""
+    filters = np.random.default_rng(B.SEED).normal(size=(3, 4, 6))
+    scorer = S.convolution_scorer(filters, np.zeros(3))
+    v = variants.windows(_snvs(spark, d), B.seq(spark, d), 20)
+    both = S.predict(S.predict(v, scorer, "ref_seq", "ref_scores"), scorer, "alt_seq", "alt_scores")
+    return both.select("variant", S.vector(F.col("ref_scores"), F.col("alt_scores"), "diffs").alias("diffs"))
