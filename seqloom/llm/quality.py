@@ -82,19 +82,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "terms"])
 
     picked = _texts(docs).join(F.broadcast(known), "doc_id").mapInArrow(shares, "doc_id long, quality double, terms binary")
-    rows = sorted(picked.collect(), key=lambda r: (r.doc_id, r.quality, bytes(r.terms)))[: 2 * sample]
+    rows = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in picked.collect()), key=lambda r: r)[: 2 * sample]
     if not rows:
         return {"empty": 0.5}
-    x = np.stack([np.frombuffer(r.terms, dtype=np.float16) for r in rows]).astype(np.float32)
-    y = np.array([r.quality for r in rows], dtype=np.float32)
+    y = np.array([r[1] for r in rows], dtype=np.float32)
+    x = np.empty((len(rows), TERMS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r[2], dtype=np.float16)
     weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     weight[-2:] *= 2
     x *= weight
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    projection = np.ascontiguousarray(vectors[:, ::-1][:, : min(rank, len(rows))]).astype(np.float32)
+    projection = _right_vectors(x, min(rank, len(rows)))
     return {"empty": float(y.mean()), "weight": weight, "projection": projection, "known": _unit(x @ projection), "y": y}
 
 
+def _right_vectors(x: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration from a fixed start: memory stays near that of ``x``."""
+    start = np.random.default_rng(0).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
+    basis = np.linalg.qr(start)[0]
+    for _ in range(6):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    turn = np.linalg.svd(x @ basis, full_matrices=False)[2]
+    return np.ascontiguousarray(basis @ turn.T[:, :rank])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
