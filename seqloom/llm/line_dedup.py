@@ -38,7 +38,7 @@ def url_host(url: Column) -> Column:
 def drop_boilerplate(
     pages: DataFrame, host: Column, lines: Column, salt: Column, max_ratio: float = 0.2, min_pages: int = 5
 ) -> DataFrame:
-    """All columns of ``pages`` plus ``_kept`` (lines that stay) and ``_lines`` (all lines).
+    """``_row`` (all columns of ``pages``), ``_host``, ``_lines`` and ``_kept``, the lines that stay.
 
     ``lines`` is an array of strings, ``salt`` any column that spreads the pages of a host.
     """
@@ -58,14 +58,14 @@ def drop_boilerplate(
     kept = F.when(F.col("_often").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: ~F.array_contains("_often", F.md5(x.cast("binary"))))
     )
-    return joined.select("_row.*", kept.alias("_kept"), "_lines", "_host")
+    return joined.select("_row", "_host", "_lines", kept.alias("_kept"))
 
 
 def page_lines(pages: DataFrame, **options) -> DataFrame:
     """Raw web pages: page_id, host, n_lines, n_dropped, text."""
     out = drop_boilerplate(pages.select("page_id", "url", "html"), url_host(F.col("url")), html_lines(F.col("html")), F.col("page_id"), **options)
     return out.select(
-        "page_id",
+        F.col("_row.page_id").alias("page_id"),
         F.col("_host").alias("host"),
         F.size("_lines").alias("n_lines"),
         (F.size("_lines") - F.size("_kept")).alias("n_dropped"),
@@ -77,6 +77,8 @@ def document_lines(docs: DataFrame, **options) -> DataFrame:
     """Documents by source, without boilerplate lines; the columns and rows stay, n_chars follows the text."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     out = drop_boilerplate(docs, F.col("source"), lines, F.xxhash64("doc_id", F.length("text")), **options)
-    text = F.when(F.size("_kept") == F.size("_lines"), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    out = out.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    text = F.when(F.size("_kept") == F.size("_lines"), F.col("_row.text")).otherwise(F.array_join("_kept", "\n"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

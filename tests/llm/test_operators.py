@@ -1,0 +1,311 @@
+"""Each training-data operator against a brute-force version, with the defined edge cases."""
+
+import hashlib
+import random
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from seqloom.llm import exact_dedup, licences, line_dedup, merkle, packing, pieces, pii, quality, queries, repeats, simhash
+
+ODD = [
+    None, "", " ", "\n\n\n", "a", "Aa aA", "aa AA", "a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8.9 0001.2.3.4 256.1.1.1", "😀 é a@b.co 4381893557741609 4381 8935 5774 1609",
+    "9" * 6000, "1 " * 3000, "a" * 20000, "+1 (743) 555-3824+44 20 7946 0958", "don't we've I'M 's", "…“q” 👍🏽 İstanbul ΣΑΣ ﬁ", "a\x00b\x1cc\x85d", "▁x  y　z", "ab" * 900,
+    "word " * 800, "x" * 49, "x" * 50, "x" * 51, "é" * 60, "é" * 60,
+]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    syllables = ["the", "ing", "er", "tion", "an", "Of", "ü", "ch."]
+    made = ["".join(rng.choice(syllables) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randrange(5, 300))) for _ in range(60)]
+    near = [t.replace("tion", "noit", 1) for t in made[:20]]
+    spliced = [made[i] + made[i + 1][:200] for i in range(10)]
+    return ODD + made + made[:10] + near + spliced + ["Mail a.b@mail1.example.com or +1 (523) 555-1055."]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 7 % 1009, t, "en", f"s{i % 3}", 0, "extra", "clash") for i, t in enumerate(texts)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `fp` string, `_host` string"
+    return spark.createDataFrame(rows, kind)
+
+
+@pytest.fixture(scope="module")
+def by_id(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
+def lower(t):
+    return t.encode().lower().decode()
+
+
+def test_exact_dedup(spark, docs, by_id, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    docs.repartition(5).write.parquet(path)
+    groups = {}
+    for i, t in by_id.items():
+        groups.setdefault(lower(t), []).append(i)
+    for size in (1, 1 << 36):  # a file per micro-batch, and all in one
+        got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(spark, path, size).collect()}
+        assert len(got) == len(by_id)
+        for i, t in by_id.items():
+            g = groups[lower(t)]
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(g), len(g), i == max(g))
+            assert got[i]["text_sha256"] == hashlib.sha256(lower(t).encode()).hexdigest()
+
+
+def test_exact_dedup_collisions_are_told_apart(spark, docs, by_id, tmp_path, monkeypatch):
+    path = str(tmp_path / "documents.parquet")
+    docs.write.parquet(path)
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(F.concat(F.hex(F.length(c)), F.lit("x")), 1, 1))
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(spark, path).collect()}
+    groups = {}
+    for i, t in by_id.items():
+        groups.setdefault(lower(t), []).append(i)
+    assert len(got) == len(by_id)
+    for i, t in by_id.items():
+        g = groups[lower(t)]
+        assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(g), len(g), i == max(g)), t[:30]
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 16 <= len(digits) <= 19 and luhn(digits)) or (kind == "phone" and 8 <= len(digits) <= 15):
+                yield kind, m.start(), m.end()
+
+
+def test_pii_base_spans(docs, by_id):
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(docs)).collect()}
+    assert len(got) == len(by_id)
+    for i, t in by_id.items():
+        spans = [f"{k}:{a}:{b}" for k, a, b in base_spans(t)]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest(), t[:40]
+        assert set(spans) <= set(got[i]["spans"].split(",")) or not spans
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(s.startswith(k) for s in spans) for k in BASE]
+
+
+def test_pii_masking(spark):
+    d = spark.createDataFrame([(1, "write a.b@c.com 10.0.0.1 now", 0), (2, None, 0), (3, "nothing", 0)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.masked(d).collect()}
+    assert got == {1: ("write <email> <ip> now", 22), 2: (None, None), 3: ("nothing", 7)}
+
+
+def test_reliabilities_prefer_the_labeler_that_agrees():
+    counts = {(0, (1, 1, 1)): 80.0, (0, (-1, -1, -1)): 60.0, (0, (1, 1, -1)): 20.0, (0, (-1, -1, 1)): 20.0}
+    post = pii.reliabilities(counts)
+    assert post[0, (1, 1, -1)] > 0.5 > post[0, (-1, -1, 1)]
+    weights = pii.span_classifier(counts, post)
+    assert weights[0, 0, 1] > weights.get((0, 2, 1), 0)
+
+
+def test_merkle(docs, by_id):
+    got = {r["doc_id"]: r for r in merkle.fingerprints(docs, buckets=7).collect()}
+    ids = sorted(by_id, reverse=True)
+    prints = {}
+    for n, i in enumerate(ids):
+        t, after = by_id[i], by_id[ids[(n + 1) % len(ids)]]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[i]["n_chars"] == len(t)
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i]["near_next"] <= 1 and 0 <= got[i]["near_edited"] <= 1
+        prints.setdefault(t, set()).add(got[i]["fingerprint"])
+        assert (got[i]["near_edited"] == 1.0) or edited != t
+    assert all(len(v) == 1 for v in prints.values()) and len({x for v in prints.values() for x in v}) == len(prints)
+
+
+def test_merkle_locates_edits(spark):
+    d = spark.createDataFrame([("a\nb\n\nc\nd", "a\nX\n\nc\nd\ne")], "a string, b string")
+    got = d.select(merkle.differing(merkle.fingerprint(F.col("b")), merkle.fingerprint(F.col("a"))).alias("x")).first()["x"]
+    assert [(r["section"], r["paragraph"]) for r in got] == [(0, 1), (1, 2)]
+
+
+def naive_fingerprint(text, n=3):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", lower(text)) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def naive_components(nodes, linked):
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("shard", [3, 4096])
+def test_simhash(docs, by_id, shard):
+    fps = {i: naive_fingerprint(t) for i, t in by_id.items()}
+    linked = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    want = naive_components(fps, linked)
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs, shard=shard).collect()}
+    assert {i: r["fp"] % (1 << 64) for i, r in got.items()} == fps
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
+def test_bk_tree_finds_what_a_scan_finds():
+    rng = random.Random(3)
+    values = list({rng.getrandbits(64) & ~(rng.getrandbits(64) & rng.getrandbits(64)) & 0xFFF0F0FF for _ in range(400)})
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for q in values[:50]:
+        for radius in (0, 3, 6):
+            assert sorted(tree.values[i] for i in tree.near(q, radius)) == sorted(v for v in values if (v ^ q).bit_count() <= radius)
+
+
+def test_long_chains_of_links_are_one_component(spark):
+    edges = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.range(100, 103).selectExpr("id as a", "id as b"))
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
+def test_similar_groups_are_checked(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = [*words[:60], "changed", *words[61:]]
+    shuffled = words[60:] + words[:60][::-1]
+    d = spark.createDataFrame([(5, " ".join(words)), (7, " ".join(near)), (9, " ".join(shuffled)), (8, " ".join(words).upper()), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d).collect()}
+    assert got == {5: 5, 7: 5, 8: 5, 9: 9, 3: 3}
+
+
+def naive_repeats(by_id):
+    first = {}
+    for i in sorted(by_id):
+        b = by_id[i].encode()
+        for j in range(len(b) - 49):
+            first.setdefault(b[j : j + 50], i)
+    for i, t in by_id.items():
+        b = t.encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - 49):
+            if first[b[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        yield i, (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("limit", [3, repeats.COLLECTION])
+def test_repeats(docs, by_id, limit):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.cut_repeats(docs, limit=limit).drop("kept").collect()}
+    assert got == dict(naive_repeats(by_id))
+
+
+def test_collection_transform_is_a_sorted_list_of_suffixes():
+    rng = random.Random(2)
+    for _ in range(20):
+        strings = list({bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))})
+        owner, length, lcp = repeats.collection(strings)
+        got = [strings[o][len(strings[o]) - int(n) :] for o, n in zip(owner, length, strict=True)]
+        assert got == sorted(s[k:] for s in strings for k in range(len(s) + 1))
+        for a, b, n in zip(got, got[1:], lcp[1:], strict=False):
+            assert a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
+
+
+def test_packing(docs, by_id):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(queries.WORD_VOCABULARY)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rows = packing.pack_documents(docs, path, capacity=512, with_ids=True, rounds=20).collect()
+    ids = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == len(ids.setdefault(r["doc_id"], [])) and r["length"] == len(r["ids"]) <= 512
+        ids[r["doc_id"]] += r["ids"]
+    assert ids == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in by_id.items()}
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(sequences) <= 1.03 * sum(len(x) for x in ids.values()) / 512 + 1
+
+
+def test_patterns_use_every_piece_once():
+    rng = random.Random(4)
+    histogram = {rng.randrange(1, 4097): rng.randrange(1, 400) for _ in range(300)}
+    used = {}
+    for lengths, times in packing.patterns(histogram, rounds=30):
+        assert sum(lengths) <= 4096 and times > 0
+        for n in lengths:
+            used[n] = used.get(n, 0) + times
+    assert used == histogram
+
+
+def test_pieces_equal_the_library(docs, by_id):
+    import sentencepiece
+
+    path = queries.vocabulary(queries.PIECE_MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = pieces.decode(pieces.encode(docs, path), path).collect()
+    assert len(got) == len(by_id)
+    for r in got:
+        assert r["ids"] == library.encode(by_id[r["doc_id"]])
+        assert r["text"] == by_id[r["doc_id"]].replace("▁", " ")
+
+
+def test_quality_votes(spark):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["the", "other", "nation", "reading", "is"]) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(["the***", "na%%%", "re$$$", "&&&is"]) for _ in range(60))
+    rows = [(i, bad() if i % 5 == 0 else good(), "x") for i in range(300)] + [(300, None, "x"), (301, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(300)] + [(301, None)], "doc_id long, quality int")
+    got = {r["id"]: r["score"] for r in quality.scored(d, labels).select(F.col("row.doc_id").alias("id"), "score").collect()}
+    assert all((got[i] >= 0.7) == (i % 5 != 0) for i in range(300))
+    assert got[300] == got[301] and 0.5 < got[300] < 1
+    none = quality.scored(d, labels.filter("false"))
+    assert {r["score"] for r in none.select("score").collect()} == {0.5}
+
+
+def test_line_dedup(spark):
+    rows = [(i, "big", f"head\nline {i}\n\nhead", 9, "x") for i in range(10)] + [(20, "small", "head\nalone", 9, "x"), (21, None, None, 9, "x"), (22, None, "", 9, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars int, `_host` string")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.document_lines(d).collect()}
+    assert got[3] == ("line 3\n", 7) and got[20] == ("head\nalone", 10) and got[21] == (None, None) and got[22] == ("", 0)
+    page = spark.createDataFrame([(1, "http://A.b/c", "<p>One<script>x</script> two</p><div>three")], "page_id long, url string, html string")
+    assert tuple(line_dedup.page_lines(page).first()) == (1, "a.b", 2, 0, "One two\nthree")
+
+
+def test_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    rows = [(1, mit), (2, "x. Licensed under the Apache License, Version 2.0. Released under the MIT License.\n"), (3, None), (4, "not released under the MIT license"), (5, "\n".join(reversed(mit.split("\n\n"))))]
+    got = {r["doc_id"]: (r["licences"], r["known"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", "3,4,5"), 2: ("mit,apache-2.0", "10,1"), 3: ("", ""), 4: ("", ""), 5: ("", "5,4,3")}
+
+
+def test_empty_tables(spark, docs, tmp_path):
+    none = docs.filter("false")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    path = str(tmp_path / "documents.parquet")
+    none.write.parquet(path)
+    results = [
+        exact_dedup.exact_dedup(spark, path), pii.find(none), pii.masked(none), merkle.fingerprints(none), simhash.near_duplicates(none), simhash.similar_groups(none), repeats.cut_repeats(none),
+        packing.pack_documents(none, queries.vocabulary(queries.WORD_VOCABULARY), rounds=5), pieces.encode(none, queries.vocabulary(queries.PIECE_MODEL)),
+        quality.scored(none, labels), line_dedup.document_lines(none), licences.scan(none),
+    ]
+    assert [r.count() for r in results] == [0] * len(results)
