@@ -25,6 +25,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -200,11 +201,17 @@ class WordIds:
         return [np.append(x, np.uint32(END_ID)) for x in np.split(ids, cuts[:-1])]
 
 
+@lru_cache(maxsize=2)
+def words_of(path: str) -> WordIds:
+    """A worker's tokenizer: its cache serves all tasks that the worker runs."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches):
-        words = WordIds(tokenizer_path)
+        words = words_of(tokenizer_path)
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id")
             group, size = [], 0

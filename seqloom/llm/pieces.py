@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The batch's text is cut at its word starts (no piece reaches over one), and each distinct part enters
+The batch's text is cut where no piece reaches over: at word starts, and before marks that no piece has
+after a letter. Each distinct part enters
 a concatenated index once. The index is ordered by its suffixes, to the depth of the longest piece;
 every piece is looked up by binary search, which gives the range of suffixes that begin with it, that is
 its occurrences. These edges are sorted by position and relaxed from left to right.
@@ -17,6 +18,7 @@ U+2581 in a text decodes to a space, as in the original.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,10 +30,10 @@ from .packing import Numbers
 from .shared import whole_text
 
 SPACE = "▁"
-PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-BLOCK = 1_000_000  # characters of distinct parts in one index, about
-GROUP = 6_000_000  # characters of text encoded together, about
-CACHED_PARTS = 250_000
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+BLOCK = 400_000  # characters of distinct parts in one index, about
+GROUP = 3_000_000  # characters of text encoded together, about
+CACHED_PARTS = 400_000
 CACHED_IDS = 8_000_000
 
 
@@ -66,6 +68,11 @@ class Model:
             if mine:
                 letters = np.array([[ord(c) for c in self.names[k]] for k in mine], dtype=np.int64)
                 self.by_length[n] = (letters, self.ids[mine])
+        # Marks that no piece has right after a letter: a part can end before them too.
+        letter = re.compile(f"[{LETTERS}]")
+        after = {b for x in self.id_of for a, b in zip(x, x[1:], strict=False) if letter.match(a)}
+        apart = "".join(re.escape(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\n" if c not in after)
+        self.part = re.compile(f"{SPACE}*[{LETTERS}]+(?=[{SPACE}{apart}]|$)|{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pairs = np.zeros(0, dtype=np.int64)
         self.pair_ok = np.zeros(0, dtype=bool)
 
@@ -148,8 +155,8 @@ def occurrences(codes: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> tup
     return search(False), search(True)
 
 
-def encode_parts(model: Model, parts: list[str]) -> list[np.ndarray]:
-    """The ids of distinct parts."""
+def encode_parts(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct parts: how many each has, and all in a row."""
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     letters = np.frombuffer("".join(p + "\0" for p in parts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
     firsts = np.cumsum(sizes + 1) - sizes - 1
@@ -200,7 +207,7 @@ def encode_parts(model: Model, parts: list[str]) -> list[np.ndarray]:
         at[open_] -= back[here]
         open_ = open_[at[open_] > firsts[open_]]
     if not owners:
-        return [np.zeros(0, np.int64) for _ in parts]
+        return np.zeros(len(parts), np.int64), np.zeros(0, np.int64)
     owner, place, ids = map(np.concatenate, (owners, places, found))
     by = np.lexsort((place, owner))
     owner, ids = owner[by], ids[by]
@@ -208,7 +215,7 @@ def encode_parts(model: Model, parts: list[str]) -> list[np.ndarray]:
         spelled = [[int(model.byte_id[x]) for x in chr(-i - 1).encode()] if i < 0 else [i] for i in ids.tolist()]
         owner = np.repeat(owner, [len(x) for x in spelled])
         ids = np.array(list(chain.from_iterable(spelled)), dtype=np.int64)
-    return np.split(ids, np.cumsum(np.bincount(owner, minlength=len(parts)))[:-1])
+    return np.bincount(owner, minlength=len(parts)), ids
 
 
 class Encoder:
@@ -223,23 +230,22 @@ class Encoder:
         self.sizes = self.starts = self.flat = np.zeros(0, np.int64)
 
     def _learn(self, parts: list[str]) -> None:
-        got, block, size = [], [], 0
-        for part in parts:
+        sizes, flat, block, size = [self.sizes], [self.flat], [], 0
+        for n, part in enumerate(parts):
             block.append(part)
             size += len(part) + 1
-            if size > BLOCK:
-                got += encode_parts(self.model, block)
+            if size > BLOCK or n == len(parts) - 1:
+                counts, ids = encode_parts(self.model, block)
+                sizes.append(counts)
+                flat.append(ids)
                 block, size = [], 0
-        if block:
-            got += encode_parts(self.model, block)
-        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in got], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, *got])
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > CACHED_PARTS or len(self.flat) > CACHED_IDS:
             self.clear()
-        parts = [PART.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        parts = [self.model.part.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         count = [len(p) for p in parts]
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(count))
         if self.place.new:
@@ -251,16 +257,22 @@ class Encoder:
         return np.split(ids, np.r_[0, ends][np.cumsum(count)][:-1]) if texts else []
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: its model and caches serve all tasks that the worker runs."""
+    return Encoder(Model(path))
+
+
 def decode_ids(model: Model, ids) -> str:
     text = b"".join([model.bytes_of[i] for i in ids]).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids."""
+def encode(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids and, if asked for, the text that the ids decode to."""
 
     def run(batches):
-        encoder = Encoder(Model(model_path))
+        encoder = encoder_of(model_path)
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id")
             first, size = 0, 0
@@ -270,17 +282,21 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                     got = encoder.encode(texts[first : at + 1])
                     flat = np.concatenate([*got, np.zeros(0, np.int64)]).astype(np.int32)
                     ends = np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([keys.slice(first, at + 1 - first), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+                    out = {"doc_id": keys.slice(first, at + 1 - first), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+                    if decoded:
+                        out["text"] = pa.array([decode_ids(encoder.model, x.tolist()) for x in got], pa.string())
+                    yield pa.RecordBatch.from_pydict(out)
                     first, size = at + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    kind = "doc_id long, ids array<int>" + ", text string" * decoded
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, kind)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, text. Null ids decode to the empty text."""
 
     def run(batches):
-        model = Model(model_path)
+        model = encoder_of(model_path).model
         for batch in batches:
             text = [decode_ids(model, x or ()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(text, pa.string())], ["doc_id", "ids", "text"])

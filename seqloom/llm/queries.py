@@ -21,7 +21,7 @@ def vocabulary(name: str) -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary(PIECE_MODEL)
-    out = pieces.decode(pieces.encode(read_table(spark, sf_dir, "documents"), model), model)
+    out = pieces.encode(read_table(spark, sf_dir, "documents"), model, decoded=True)
     return out.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
