@@ -11,7 +11,8 @@ rounds as the longest document has bytes); the work is dealt out so that it only
    that stand in two documents or more come back to their documents,
 2. runs of windows of such a name are cut out as segments of at most ``LENGTH + SPAN - 1`` bytes; equal
    segments are combined, with their smallest document, before they are shuffled by name,
-3. each task builds the transform and the common prefixes of its segments column by column; neighbours with a common prefix of
+3. each task builds the transform and the common prefixes of its segments column by column (from the
+   first column that can start a window); neighbours with a common prefix of
    ``LENGTH`` bytes or more are equal windows, and each window learns its smallest document,
 4. the segments' answers go back to the documents, which are cut.
 
@@ -191,61 +192,77 @@ def _segments(buckets):
     return run
 
 
-def collection(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of a collection in order: string, length, and prefix in common with the one before.
+def collection(strings: list[bytes], width: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of at least ``width - 1`` symbols in order: string, length, and prefix in common with the one before (at most ``width``).
 
-    Column by column: a round puts the next symbol (from the end) before the suffix that each string
-    inserted last. Where the new suffix goes follows from the symbols of the transform; its common prefixes follow
-    from the least common prefix between the two rows that its neighbours extend.
+    Each string's last ``width - 1`` symbols are entered first, sorted at once: suffixes that short hold no
+    window. From there on, column by column, a round puts the next symbol before the suffix that each string inserted
+    last. How many inserted suffixes stand before the new one follows from the symbols of the transform, how many
+    of the first ones from a binary search; common prefixes are updated at the new rows and the rows after them.
     """
-    m = len(strings)
+    m, seed = len(strings), width - 1
     size = np.array([len(s) for s in strings], dtype=np.int64)
     most = int(size.max())
-    column = np.zeros((most + 1, m), dtype=np.uint16)  # column j: the symbols j places from the end, 0 past the start
-    for i, s in enumerate(strings):
-        column[: len(s), i] = np.frombuffer(s, dtype=np.uint8)[::-1]
-        column[: len(s), i] += 1
-    order_of_symbols = np.unique(column)
-    column = np.searchsorted(order_of_symbols, column).astype(np.uint8 if len(order_of_symbols) < 256 else np.uint16)
-    owner, length = np.arange(m, dtype=np.int32), np.zeros(m, dtype=np.uint8)
-    bwt, lcp = column[0].copy(), np.zeros(m, dtype=np.uint8)
-    place, live = np.arange(m), np.arange(m)
-    for j in range(1, most + 1):
+    flat = np.frombuffer(b"".join(s.ljust(most, b"\0") for s in strings), dtype=np.uint8).reshape(m, most)
+    symbols = np.zeros((m, most + 1), dtype=np.uint8)  # from 1 on, in order; 0 past the end. UTF-8 has fewer than 255 different bytes
+    inside = np.arange(most) < size[:, None]
+    symbols[:, :most][inside] = np.searchsorted(np.unique(flat[inside]), flat[inside]) + 1
+    last = symbols.shape[1] * np.arange(m)
+    every = symbols.reshape(-1)
+
+    def keys(owner, length, n=seed):
+        """The first n symbols of suffixes, as fixed-length strings (no symbol is 0, so they compare as such)."""
+        at = (last + size)[owner] - length
+        return np.ascontiguousarray(every[at[:, None] + np.arange(n)])
+
+    def before(owner, length):
+        """The symbol before a suffix; 0 at a string's start."""
+        at = size[owner] - length - 1
+        return np.where(at >= 0, every[last[owner] + np.maximum(at, 0)], 0).astype(np.uint8)
+
+    def common(a, b):
+        """Prefix in common of pairs of rows (owner, length), up to ``width``; the shorter one ends it."""
+        x, y = keys(*a, width), keys(*b, width)
+        differ = (x != y) | (x == 0)
+        return np.where(differ.any(axis=1), differ.argmax(axis=1), width).astype(np.uint8)
+
+    everyone = np.arange(m)
+    first = keys(everyone, np.full(m, seed)).view(f"S{seed}").ravel()
+    owner = np.argsort(first, kind="stable")
+    first = first[owner]
+    length = np.full(m, seed, dtype=np.int64)
+    lcp = np.zeros(m, dtype=np.uint8)
+    lcp[1:] = common((owner[:-1], length[:-1]), (owner[1:], length[1:]))
+    bwt = before(owner, length)
+    place = np.empty(m, dtype=np.int64)
+    place[owner] = everyone
+    live = everyone
+    for j in range(seed + 1, most + 1):
         active = size[live] >= j
         live, place = live[active], place[active]
         order = np.argsort(bwt, kind="stable")
-        zeros = int((bwt == 0).sum())
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        target = rank[place]  # in the order of symbols; the first ``zeros`` are no suffixes
-        by = np.argsort(target)
-        live, target = live[by], target[by]
-        # Common prefixes with the row before and the row after, where these begin with the same symbol.
-        pairs = np.unique(np.r_[target, target + 1])
-        pairs = pairs[(pairs > zeros) & (pairs < len(order))]
-        same = bwt[order[pairs]] == bwt[order[pairs - 1]]
-        low, high = order[pairs - 1][same] + 1, order[pairs][same] + 1
-        value = np.zeros(len(pairs), dtype=np.uint8)
-        down = np.argsort(-low)
-        if len(down):
-            bounds = np.empty(2 * len(down), dtype=np.int64)
-            bounds[0::2], bounds[1::2] = low[down], high[down]
-            value[np.flatnonzero(same)[down]] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), bounds)[::2] + 1
-        index = m + target - zeros  # rows of the new order
+        inserted = rank[place] - int((bwt == 0).sum())  # inserted suffixes before the new one, new ones among them
+        by = np.argsort(inserted)
+        live, inserted = live[by], inserted[by]
+        length_now = np.full(len(live), j, dtype=np.int64)
+        index = inserted + np.searchsorted(first, keys(live, length_now).view(f"S{seed}").ravel(), side="right")
         total = len(bwt) + len(live)
         fresh = np.zeros(total, dtype=bool)
         fresh[index] = True
         old = ~fresh
 
-        def merged(values, new, kind, fresh=fresh, old=old, total=total):
-            out = np.empty(total, dtype=kind)
+        def merged(values, new, fresh=fresh, old=old, total=total):
+            out = np.empty(total, dtype=values.dtype)
             out[old], out[fresh] = values, new
             return out
 
-        bwt = merged(bwt, column[j][live], column.dtype)
-        lcp = merged(lcp, 0, np.uint8)
-        owner, length = merged(owner, live, np.int32), merged(length, j, np.uint8)
-        lcp[m + pairs - zeros] = value
+        bwt, lcp = merged(bwt, before(live, length_now)), merged(lcp, 0)
+        owner, length = merged(owner, live), merged(length, j)
+        changed = np.unique(np.r_[index, index + 1])
+        changed = changed[(changed > 0) & (changed < total)]
+        lcp[changed] = common((owner[changed - 1], length[changed - 1]), (owner[changed], length[changed]))
         place = index
     return owner, length, lcp
 
@@ -257,7 +274,7 @@ def smallest_owners(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     starts = np.flatnonzero(lcp < LENGTH)
     least = np.minimum.reduceat(docs[owner], starts)
     least = np.repeat(least, np.diff(np.r_[starts, len(lcp)]))
-    owner, length, least = owner[wide], length[wide].astype(np.int64), least[wide]
+    owner, length, least = owner[wide], length[wide], least[wide]
     order = np.lexsort((-length, owner))
     return np.split(least[order], np.cumsum(np.bincount(owner, minlength=len(strings)))[:-1])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
 
@@ -40,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +56,7 @@ def tidy(spark: SparkSession, *tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()  # what Python still holds keeps its step reachable
     jvm.System.gc()
 
 

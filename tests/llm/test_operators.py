@@ -212,13 +212,14 @@ def test_repeats(docs, by_id, limit):
 
 def test_collection_transform_is_a_sorted_list_of_suffixes():
     rng = random.Random(2)
-    for _ in range(20):
-        strings = list({bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))})
-        owner, length, lcp = repeats.collection(strings)
-        got = [strings[o][len(strings[o]) - int(n) :] for o, n in zip(owner, length, strict=True)]
-        assert got == sorted(s[k:] for s in strings for k in range(len(s) + 1))
-        for a, b, n in zip(got, got[1:], lcp[1:], strict=False):
-            assert a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
+    for width in (2, 3, 5):
+        for _ in range(20):
+            strings = list({bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(width, 12))) for _ in range(rng.randrange(1, 12))})
+            owner, length, lcp = repeats.collection(strings, width)
+            got = [strings[o][len(strings[o]) - int(n) :] for o, n in zip(owner, length, strict=True)]
+            assert got == sorted(s[k:] for s in strings for k in range(len(s) - width + 2))
+            for a, b, n in zip(got, got[1:], lcp[1:], strict=False):
+                assert a[:n] == b[:n] and (n == min(width, len(a), len(b)) or a[n] != b[n])
 
 
 def test_packing(docs, by_id):
