@@ -65,16 +65,19 @@ def convolution_scorer(filters: np.ndarray, bias: np.ndarray, symbols: str = "AC
         lookup[ord(s)] = lookup[ord(s.lower())] = np.eye(n)[i]
 
     def score(seqs: pd.Series) -> pd.Series:
-        out = []
-        for seq in seqs:
-            rows = lookup[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)]
-            if len(rows) < width:
-                out.append(np.full(features, 0.5))
-                continue
-            views = np.lib.stride_tricks.sliding_window_view(rows, (width, n))[:, 0]
-            best = np.einsum("pwn,fnw->pf", views, filters).max(axis=0) + bias
-            out.append(1 / (1 + np.exp(-best)))
-        return pd.Series(out)
+        out = pd.Series([None] * len(seqs), index=seqs.index, dtype=object)
+        for size, group in seqs.groupby(seqs.str.len()):
+            got = np.full((len(group), features), 0.5)
+            for at in range(0, len(group) if size >= width else 0, 256):
+                part = group.iloc[at : at + 256]
+                raw = np.frombuffer("".join(part).encode("ascii", "replace"), dtype=np.uint8)
+                rows = lookup[raw.reshape(len(part), int(size))]
+                views = np.lib.stride_tricks.sliding_window_view(rows, width, axis=1)  # part, place, symbol, width
+                best = np.tensordot(views, filters, axes=([2, 3], [1, 2])).max(axis=1) + bias
+                got[at : at + 256] = 1 / (1 + np.exp(-best))
+            for i, values in zip(group.index, got, strict=True):
+                out.at[i] = values
+        return out
 
     return score
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.alphabet import DNA, reverse_complement
-from seqloom.operators.sequences import around_prediction, fetch
+from seqloom.operators.sequences import CHUNK, around_prediction, chunked, in_bounds
 
 
 def chromosome(name: Column, add_chr: bool | Column = False) -> Column:
@@ -38,21 +38,33 @@ def _half(n: Column) -> Column:
     return F.floor(n / 2).cast("int")
 
 
-def windows(variants: DataFrame, sequences: DataFrame, length: int) -> DataFrame:
+def windows(variants: DataFrame, sequences: DataFrame, length: int, chunk: int = CHUNK) -> DataFrame:
     """Variants (chrom, pos, ref, alt, strand) with ref_seq, alt_seq, ref_match and contains_unk.
 
     The window's centre is pos + len(ref) // 2. Substitutions and insertions are spliced into the window and the latter
     truncated to its centre; deletions are rebuilt from the reference sequence, cut at pos + 1; an
     alternative longer than the window is truncated alone. The given reference allele then overrides the
     reference window, and the strand comes last. Variants outside the bounds are left out.
+
+    Sequences are read as overlapping chunks, each wide enough for a variant's surroundings: a variant meets one
+    chunk by an equi-join, and never carries a whole chromosome.
     """
+    longest = variants.agg(F.max(F.length("ref"))).first()[0] or 0
+    reach = length + longest + 2
     n_ref, n_alt = F.length("ref"), F.length("alt_clean")
     rows = variants.withColumn("alt_clean", F.when(F.col("alt").isin("*", "-"), "").otherwise(F.upper("alt"))).withColumn("ref", F.upper("ref"))
-    center = F.col("pos") + _half(n_ref)
-    start, end = around_prediction(center, length)
-    plus = rows.withColumn("name", F.col("chrom")).withColumn("start", start).withColumn("end", end).withColumn("_strand", F.col("strand")).withColumn("strand", F.lit("+"))
-    got = fetch(plus, sequences.select("name", "seq")).filter(F.col("seq") != "").withColumnRenamed("seq", "window")
-    got = got.join(sequences.select("name", F.col("seq").alias("_whole")), "name")
+    start, end = around_prediction(F.col("pos") + _half(n_ref), length)
+    rows = rows.withColumn("name", F.col("chrom")).withColumn("start", start).withColumn("end", end)
+    rows = rows.withColumn("chunk_no", F.floor(F.greatest(F.col("start") - reach, F.lit(0)) / chunk).cast("int"))
+    chunks = chunked(sequences.select("name", "seq"), 3 * reach + length, chunk).withColumnRenamed("length", "_length")
+    got = rows.join(chunks, ["name", "chunk_no"]).filter(in_bounds(F.col("start"), F.col("end"), F.col("_length")))
+
+    def stretch(a, b):
+        """The reference from a to b, clipped to the sequence."""
+        a = F.greatest(a, F.lit(0))
+        return F.substring("piece", a - F.col("chunk_start") + 1, F.greatest(b - a, F.lit(0)))
+
+    got = got.withColumn("window", stretch(F.col("start"), F.col("end")))
     # Where the reference allele starts in the window.
     middle = F.lit(length // 2 - (1 - length % 2))
     at = middle - _half(n_ref)
@@ -62,10 +74,8 @@ def windows(variants: DataFrame, sequences: DataFrame, length: int) -> DataFrame
     # A deletion: as much as is missing comes from the flanks, the odd symbol from the right.
     need_left = _half(F.lit(length) - n_alt)
     need_right = F.lit(length) - n_alt - need_left
-    left_from = F.greatest(F.col("pos") + 1 - need_left, F.lit(0))
-    left = F.substring("_whole", left_from + 1, F.col("pos") + 1 - left_from)
-    right = F.substring("_whole", F.col("pos") + 1 + n_ref + 1, need_right)
-    deleted = F.concat(left, F.col("alt_clean"), right)
+    cut = F.col("pos") + 1
+    deleted = F.concat(stretch(cut - need_left, cut), F.col("alt_clean"), stretch(cut + n_ref, cut + n_ref + need_right))
     long_alt = F.substring("alt_clean", _half(n_alt - length) + 1, F.lit(length))
     alt_seq = F.when(n_alt > length, long_alt).when(n_alt == n_ref, spliced).when(n_alt > n_ref, inserted).otherwise(deleted)
     # Does the sequence hold the given reference?
@@ -73,6 +83,6 @@ def windows(variants: DataFrame, sequences: DataFrame, length: int) -> DataFrame
     given = F.when(n_ref < length, F.col("ref")).otherwise(F.substring("ref", _half(n_ref - length) + 1, F.lit(length)))
     override = F.when(n_ref < length, F.concat(F.substring("window", F.lit(1), at), F.col("ref"), F.substring("window", at + n_ref + 1, F.lit(length)))).otherwise(given)
     made = got.withColumn("alt_seq", alt_seq).withColumn("ref_match", _canonical(here) == _canonical(given)).withColumn("ref_seq", F.upper(override))
-    turned = [F.when(F.col("_strand") == "-", reverse_complement(_canonical(F.col(c)), DNA)).otherwise(F.upper(c)).alias(c) for c in ("ref_seq", "alt_seq")]
+    turned = [F.when(F.col("strand") == "-", reverse_complement(_canonical(F.col(c)), DNA)).otherwise(F.upper(c)).alias(c) for c in ("ref_seq", "alt_seq")]
     keep = [c for c in variants.columns if c not in ("strand", "ref")]
-    return made.select(*keep, "ref", F.col("_strand").alias("strand"), *turned, "ref_match", F.contains("window", F.lit("N")).alias("contains_unk"))
+    return made.select(*keep, "ref", "strand", *turned, "ref_match", F.contains("window", F.lit("N")).alias("contains_unk"))
