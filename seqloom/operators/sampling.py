@@ -6,10 +6,14 @@ No partition order and no generator state enters a draw, so results repeat on an
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.search import interval_number
+
 MODULUS = 2147483647
 VALIDATE_SIZE, TEST_SIZE = 32_000, 640_000  # T16
 LEAST_WEIGHT = 1e-10
@@ -83,23 +87,21 @@ def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed:
     A draw is a number below the total length; the interval it falls into is found in two steps, by block of
     intervals (few) and within the block, so neither side is multiplied by the other.
     """
-    from math import isqrt
-
     lengths = intervals.select(key, length.cast("long").alias("_length")).filter("_length > 0")
     lengths = lengths.withColumn("_block", F.pmod(F.col(key), F.lit(blocks)).cast("int"))
-    per_block = lengths.groupBy("_block").agg(F.sum("_length").alias("_block_length"))
-    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)  # one row per block
-    per_block = per_block.withColumn("_block_end", F.sum("_block_length").over(upto))
+    sums = {r["_block"]: r["n"] for r in lengths.groupBy("_block").agg(F.sum("_length").alias("n")).collect()}  # one row per block
+    order = sorted(sums)
+    ends = list(accumulate(sums[b] for b in order))
+    spark = intervals.sparkSession
+    kind = "_number int, _block int, _block_start long, _block_length long"
+    per_block = spark.createDataFrame([(i, b, ends[i] - sums[b], sums[b]) for i, b in enumerate(order)], kind)
     inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     placed = lengths.withColumn("_end", F.sum("_length").over(inside)).withColumn("_start", F.col("_end") - F.col("_length"))
     grain = max(1, isqrt(n))
-    total = per_block.agg(F.max("_block_end").alias("_total"))
-    draws = placed.sparkSession.range(n).withColumnRenamed("id", "draw_id").crossJoin(F.broadcast(total))
     # Two congruences make one number of up to 62 bits, so that totals above 2^31 are covered evenly.
-    wide = draw(F.col("draw_id"), seed) * MODULUS + draw(F.col("draw_id") + 1, seed, 1)
-    draws = draws.withColumn("_at", F.pmod(wide, F.col("_total")))
-    blocks_of = per_block.withColumn("_block_start", F.col("_block_end") - F.col("_block_length"))
-    found = draws.join(F.broadcast(blocks_of), (F.col("_at") >= F.col("_block_start")) & (F.col("_at") < F.col("_block_end")))
+    wide = draw(F.col("id"), seed) * MODULUS + draw(F.col("id") + 1, seed, 1)
+    draws = spark.range(n if ends else 0).withColumn("_at", F.pmod(wide, F.lit(ends[-1] if ends else 1))).withColumnRenamed("id", "draw_id")
+    found = draws.withColumn("_number", interval_number(F.col("_at"), ends)).join(F.broadcast(per_block), "_number")
     found = found.withColumn("_in_block", F.col("_at") - F.col("_block_start"))
     # Within the block, intervals and draws meet by coarse cells of the block's length.
     cell = F.greatest((F.col("_block_length") / grain).cast("long"), F.lit(1))
