@@ -56,7 +56,9 @@ def tidy(spark: SparkSession, *tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()  # what Python still holds keeps its step reachable
+    # What Python still holds keeps its step reachable, and so does the session's latest job.
+    gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
     jvm.System.gc()
 
 
