@@ -269,7 +269,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     pairs = same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
     pairs = written(pairs, "text-pairs")
     members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = table.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_word_sets(words), "doc_id long, words binary")
+    sets = table.hint("merge").join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_word_sets(words), "doc_id long, words binary")
     sets = written(sets, "word-sets")
     checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
     roots = components(checked.mapInArrow(_alike(similarity), "a long, b long"))
