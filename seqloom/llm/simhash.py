@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, whole_text, written
+from .shared import ascii_lower, tidy, whole_text, written
 
 RADIUS = 3
 BLOCKS, AGREE = 5, 2
@@ -265,14 +265,17 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     heads = written(one.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
     same = one.join(heads, "fp").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     found = written(links(heads.select("fp"), radius, blocks=blocks, agree=agree).distinct(), "fingerprint-links")
+    tidy(docs.sparkSession)
     near = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     pairs = same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
     pairs = written(pairs, "text-pairs")
     members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = table.hint("merge").join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_word_sets(words), "doc_id long, words binary")
     sets = written(sets, "word-sets")
+    tidy(docs.sparkSession)
     checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
     roots = components(checked.mapInArrow(_alike(similarity), "a long, b long"))
+    tidy(docs.sparkSession, pairs, sets, found)
     rooted = one.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
     named = written(rooted.join(smallest, "root").select("digest", "component_id"), "text-components")
