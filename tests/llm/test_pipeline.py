@@ -35,3 +35,11 @@ def test_registered():
 
     assert set(corpus_pipeline.QUERIES) <= set(__spark_entry__.queries())
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_duplicates_keep_rows_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (4, text), (2, text.upper()), (3, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(None, text), (None, text), (2, text.upper()), (3, None), (None, None)], key=str)
