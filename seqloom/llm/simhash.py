@@ -224,6 +224,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sha
 
 SIMILARITY = 0.8
 WORDS = 5
+DEAL = 256
+# Shingles that many groups share go last in the order of prefixes. Any order finds every pair; this one keeps the join
+# small, so it may rest on a part of the groups and on a bounded list.
+ORDER_PART, ORDER_COUNT, ORDER_LIST = 8, 8, 200_000
 
 
 def _word_sets(shingle):
@@ -248,12 +252,94 @@ def _alike(similarity):
     return run
 
 
+def _checked(table: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have the similarity, written."""
+    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = table.hint("merge").join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_word_sets(words), "doc_id long, words binary")
+    sets = written(sets, "word-sets")
+    tidy(table.sparkSession)
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
+    alike = written(both.mapInArrow(_alike(similarity), "a long, b long"), "alike")
+    tidy(table.sparkSession, sets)
+    return alike
+
+
+def _prefixes(similarity, shingle, last):
+    def run(batches):
+        late = last.value
+        for batch in batches:
+            keys, sizes, shorts = [], [], []
+            for t in batch.column("text").to_pylist():
+                all_keys = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).view(np.int64)
+                n = len(all_keys)
+                moved = np.isin(all_keys, late)
+                # The longer set of a pair shares at least ``similarity`` of its shingles, so one of them is among the first ones.
+                long = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                ordered = np.concatenate([all_keys[~moved], all_keys[moved]])[:long]
+                keys.append(ordered if n else np.zeros(1, dtype=np.int64))
+                sizes.append(n)
+                shorts.append(n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1)
+            arrays = [batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(shorts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "keys", "size", "short"])
+
+    return run
+
+
+def _shingle_rows(shingle):
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                keys = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+
+    return run
+
+
+def prefix_pairs(table: DataFrame, groups: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Every pair (a, b) of ids from different groups that can have the similarity, written; ``groups`` holds node and root.
+
+    Two sets of the similarity share a shingle among the first of both in any common order (prefix filter): of the longer
+    set 1 - s of its shingles, of the shorter one 1 - 2s / (1 + s). What stands after the shared shingle bounds the overlap.
+    Shingles found in one group only are no keys, and a key with many texts is dealt over pairs of blocks.
+    """
+    spark = table.sparkSession
+    heads = groups.filter("node = root").filter(F.pmod(F.xxhash64("node"), F.lit(ORDER_PART)) == 0).select(F.col("node").alias("doc_id"))
+    counts = table.select("doc_id", "text").join(heads, "doc_id", "left_semi").mapInArrow(_shingle_rows(words), "key long").groupBy("key").count()
+    common = counts.filter(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "key").limit(ORDER_LIST)
+    last = spark.sparkContext.broadcast(np.array([r["key"] for r in common.select("key").collect()], dtype=np.int64))
+    firsts = table.mapInArrow(_prefixes(similarity, words, last), "doc_id long, keys array<long>, size int, short int")
+    firsts = firsts.withColumnRenamed("doc_id", "node").join(groups, "node").dropDuplicates(["node"])
+    rows = firsts.select("node", "root", "size", "short", F.posexplode("keys").alias("pos", "key"))
+    rows = written(rows.select("key", "node", "root", "size", "pos", (F.col("pos") < F.col("short")).alias("early")), "prefixes")
+    tidy(spark)
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
+    shared = shared.select("key", F.ceil(F.col("n") / DEAL).cast("int").alias("parts"))
+    dealt = rows.join(shared, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", "node", "root", "size", "pos", "early", "home", F.least("home", "part").alias("lo"), F.greatest("home", "part").alias("hi"))
+    dealt = written(dealt, "shared-prefixes")
+    tidy(spark, rows)
+    x = dealt.filter("home = lo").select("key", "lo", "hi", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "pos", "early")])
+    y = dealt.filter("home = hi").select("key", "lo", "hi", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "size", "pos", "early")])
+    met = x.join(y, ["key", "lo", "hi"]).filter("x_root <> y_root and (lo < hi or x_node < y_node)")
+    total, rest = F.col("x_size") + F.col("y_size"), F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))
+    met = met.filter(F.least("x_size", "y_size") + 1e-6 >= similarity * F.greatest("x_size", "y_size"))
+    met = met.filter((1 + similarity) * rest + 1e-6 >= similarity * total)
+    met = met.filter(F.when(F.struct("x_size", "x_node") < F.struct("y_size", "y_node"), F.col("x_early")).otherwise(F.col("y_early")))
+    pairs = written(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "prefix-pairs")
+    tidy(spark, dealt)
+    last.destroy()
+    return pairs
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = 6, blocks: int = 9, agree: int = 3) -> DataFrame:
     """doc_id, component_id by links of the given Jaccard similarity over word shingles, or more.
 
     A SimHash of ``words``-word shingles lies far apart even for similar texts of a few hundred words, so the
     BK-trees search the SimHash of the distinct words, in a wider radius, and every link found is then checked
-    on the texts' shingle sets. Texts equal after lower-casing A-Z are one text from the start. ``doc_id``
+    on the texts' shingle sets. That joins most groups, not all: links are thinned before the check, and some pairs lie
+    outside the radius. So an exact join (``prefix_pairs``) then finds every pair whose texts are not yet in one
+    checked group, and these are checked too. Texts equal after lower-casing A-Z are one text from the start. ``doc_id``
     must not be null; rows of equal id are in one group.
     """
     table = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
@@ -269,14 +355,17 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     near = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     pairs = same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
     pairs = written(pairs, "text-pairs")
-    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = table.hint("merge").join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_word_sets(words), "doc_id long, words binary")
-    sets = written(sets, "word-sets")
-    tidy(docs.sparkSession)
-    checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
-    roots = components(checked.mapInArrow(_alike(similarity), "a long, b long"))
-    tidy(docs.sparkSession, pairs, sets, found)
-    rooted = one.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
+    roots = components(_checked(table, pairs, similarity, words))
+    tidy(docs.sparkSession, pairs, found)
+    nodes = one.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
+    nodes = written(nodes, "checked-groups")
+    groups = nodes.select("node", "root").distinct()
+    pairs = prefix_pairs(table, groups, similarity, words)
+    late = _checked(table, pairs, similarity, words)
+    late = late.join(groups.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(groups.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+    joined = components(late.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    tidy(docs.sparkSession, pairs)
+    rooted = nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("digest", "node", F.coalesce("top", "root").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
     named = written(rooted.join(smallest, "root").select("digest", "component_id"), "text-components")
     return texts.join(named, "digest").select("doc_id", "component_id")

@@ -188,6 +188,48 @@ def test_similar_groups_are_checked(spark):
     assert got == {5: 5, 7: 5, 8: 5, 9: 9, 3: 3}
 
 
+def shingle_sets(rows):
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in rows}
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def naive_groups(sets):
+    """The smallest id that links of Jaccard 0.8 or more reach."""
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and jaccard(sets[a], sets[b]) >= 0.8 and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    return group
+
+
+def found_groups(spark, rows):
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d).collect()}
+
+
+def test_similar_groups_of_one_fingerprint(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, words[::-1]), (2, words), (3, [*words[:100], *words[110:], *words[100:110]]), (4, words[60:] + words[:60][::-1])]
+    assert len({simhash.fingerprint(" ".join(w), 1, True) for _, w in rows}) == 1
+    assert found_groups(spark, rows) == naive_groups(shingle_sets(rows)) == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_similar_groups_with_a_bridging_text(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, [*words[:60], f"new{i}", *words[61:]]) for i in range(1, 9)]
+    prints = {i: simhash.fingerprint(" ".join(w), 1, True) for i, w in rows}
+    # The text that comes first in the trees is within the radius of all others, but has its words the other way round.
+    first = min(prints, key=lambda i: (prints[i] + 2**63) % 2**64)
+    rows = [(i, w[::-1] if i == first else w) for i, w in rows]
+    assert sum((prints[first] ^ p).bit_count() <= 6 for p in prints.values()) > 3
+    assert found_groups(spark, rows) == naive_groups(shingle_sets(rows))
+
+
 def naive_repeats(by_id):
     first = {}
     for i in sorted(by_id):
