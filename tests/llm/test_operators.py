@@ -230,6 +230,38 @@ def test_similar_groups_with_a_bridging_text(spark):
     assert found_groups(spark, rows) == naive_groups(shingle_sets(rows))
 
 
+def edited_texts():
+    """By length of text and kind of edit: a text, and one edited as far as a similarity of 0.8 allows or a word further."""
+    rows, kinds = [], {}
+    for n in (60, 150, 600, 2500):
+        for kind in ("appended", "replaced", "cut", "scattered"):
+            for side in ("over", "under"):
+                i = len(rows) + 1
+                words = [f"{i}x{k}" for k in range(n)]
+                m = {"appended": (n - 4) // 4, "replaced": (n - 40) // 9, "cut": n // 5 - 8, "scattered": (n - 4) // 45}[kind] + (side == "under")
+                new = [f"{i}y{k}" for k in range(m)]
+                if kind == "appended":
+                    other = words + new
+                elif kind == "replaced":
+                    other = words[: n // 3] + new + words[n // 3 + m :]
+                elif kind == "cut":
+                    other = words[: n // 3] + words[n // 3 + m :]
+                else:
+                    other = [new[k // (n // m)] if k % (n // m) == 5 and k // (n // m) < m else w for k, w in enumerate(words)]
+                rows += [(i, words), (i + 1, other)]
+                kinds[i] = (n, kind, side)
+    return rows, kinds
+
+
+def test_similar_groups_find_every_pair_by_length_and_edit(spark):
+    rows, kinds = edited_texts()
+    sets = shingle_sets(rows)
+    assert all((jaccard(sets[i], sets[i + 1]) >= 0.8) == (side == "over") for i, (_, _, side) in kinds.items())
+    prints = {i: simhash.fingerprint(" ".join(w), 1, True) for i, w in rows}
+    assert any((prints[i] ^ prints[i + 1]).bit_count() > 6 for i in kinds if jaccard(sets[i], sets[i + 1]) >= 0.8)
+    assert found_groups(spark, rows) == naive_groups(sets)
+
+
 def naive_repeats(by_id):
     first = {}
     for i in sorted(by_id):
