@@ -42,9 +42,9 @@ MORE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9.-])",
 }
-# Cheap tests that a text can hold a base span or a further candidate of the kind at all.
+# Cheap tests that a text can hold a base span or a further candidate of the kind at all; an empty one asks for a digit.
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-MORE_HINT = {"email": "at", "ip": ":", "card": "", "phone": "-"}
+MORE_HINT = {"email": "at", "ip": ":", "card": "", "phone": ""}
 
 # Gazetteers and context words.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu")

@@ -106,6 +106,16 @@ def test_pii_masking(spark):
     assert got == {1: ("write <email> <ip> now", 22), 2: (None, None), 3: ("nothing", 7)}
 
 
+def test_pii_phones_do_not_depend_on_other_hyphens(spark):
+    phones = ["(212) 555 1234", "(212)555.1234", "212.555.1234", "212 555 1234", "(212) 555-1234", "212-555-1234"]
+    rows = [(i, f"Call {p} now") for i, p in enumerate(phones)] + [(10 + i, f"Call {p} now - please") for i, p in enumerate(phones)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["c"] if pii.KINDS[s["kind"]] == "phone"] for r in d.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert found == {i: [(5, 5 + len(phones[i % 10]))] for i, _ in rows}
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(d).collect()}
+    assert all(masked[10 + i] == masked[i] + " - please" for i in range(len(phones)))
+
+
 def test_reliabilities_prefer_the_labeler_that_agrees():
     counts = {(0, (1, 1, 1)): 80.0, (0, (-1, -1, -1)): 60.0, (0, (1, 1, -1)): 20.0, (0, (-1, -1, 1)): 20.0}
     post = pii.reliabilities(counts)
