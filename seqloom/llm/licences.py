@@ -61,21 +61,44 @@ LICENCES = tuple(dict.fromkeys(name for name, _ in RULES))
 def sentences(text: Column) -> Column:
     """Normalised sentences in order, without empty ones. A sentence ends at a line's end, or at . ! ? before white space."""
     ends = F.regexp_replace(ascii_lower(text), r"[.!?]+[ \t\r\n]+|[.!?]+$|\n", "\u0001")
+    return _pieces(ends)
+
+
+def _pieces(ends: Column) -> Column:
     words = F.regexp_replace(ends, "[^a-z0-9\u0001]+", " ")
     return F.filter(F.transform(F.split(words, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def numbers(text: Column) -> Column:
+def unwrapped_sentences(text: Column) -> Column:
+    """Normalised sentences of hard-wrapped text: a line's end is a space, except at an empty line or after a colon.
+
+    Comment marks, bullets and list numbers at the start of a line go, and a web address joins the line that leads to it.
+    """
+    plain = F.regexp_replace(F.regexp_replace(ascii_lower(text), r"\r\n?", "\n"), r"(?m)^[ \t]*+(?:(?:/\*+|\*+/?|//+|#+|;+|--?|\u2022|>)(?=[ \t\n]|$))?[ \t]*+", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?m)[ \t]++$", ""), r"(^|[.:;!?]\n|\n\n)\(?[0-9]{1,2}[.)][ \t]+", "$1")
+    plain = F.regexp_replace(plain, r"\bat:?\n+(?=https?://)", "at ")
+    return _pieces(F.regexp_replace(plain, r"[.!?]+[ \t\n]+|[.!?]+$|:\n|\n\n+", "\u0001"))
+
+
+def numbers(found: Column) -> Column:
     """The number of each sentence: known ones theirs, others 0."""
     known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(n)) for n, s in SENTENCES.items()))
-    return F.transform(sentences(text), lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0)))
+    return F.transform(found, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, known (their numbers in order), licences (in rule order, comma-joined)."""
-    numbered = docs.select(F.col("doc_id").cast("long"), numbers(whole_text()).alias("n"))
-    # One sequence per document, as text; a run of unknown sentences separates what stands around it.
-    table = numbered.select("doc_id", F.size("n").alias("n_sentences"), F.filter("n", lambda x: x != 0).alias("k"), F.concat(F.lit(","), F.array_join("n", ","), F.lit(",")).alias("sequence"))
+    """doc_id, n_sentences, known (their numbers in order), licences (in rule order, comma-joined).
+
+    Sentences and known ones are those of the reading by lines; a licence counts if a rule fits that reading or the unwrapped one.
+    """
+    numbered = docs.select(F.col("doc_id").cast("long"), numbers(sentences(whole_text())).alias("n"), numbers(unwrapped_sentences(whole_text())).alias("u"))
+
+    # Each reading is one sequence per document, as text; a run of unknown sentences separates what stands around it.
+    def sequence(n):
+        return F.concat(F.lit(","), F.array_join(n, ","), F.lit(","))
+
+    both = F.concat(sequence("n"), F.lit(";"), sequence("u"))
+    table = numbered.select("doc_id", F.size("n").alias("n_sentences"), F.filter("n", lambda x: x != 0).alias("k"), both.alias("sequence"))
 
     def has(run):
         return F.contains(F.col("sequence"), F.lit("," + ",".join(map(str, run)) + ","))

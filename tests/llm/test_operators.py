@@ -383,6 +383,72 @@ def test_licences(spark):
     assert got == {1: ("mit", "3,4,5"), 2: ("mit,apache-2.0", "10,1"), 3: ("", ""), 4: ("", ""), 5: ("", "5,4,3")}
 
 
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licences_in_their_published_wrapped_form(spark):
+    commented = "/*\n" + "".join(f" * {line}\n".replace("  \n", "\n") for line in APACHE.split("\n")) + " */"
+    expected = {
+        MIT: "mit", APACHE: "apache-2.0", commented: "apache-2.0", GPL: "gpl-3.0", GPL.replace("version 3", "version 2"): "gpl-2.0",
+        BSD: "bsd-2-clause", BSD3: "bsd-3-clause,bsd-2-clause", BSD3.replace("\n\n", "\n"): "bsd-3-clause,bsd-2-clause",
+        BSD3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("\n", "\r\n"): "bsd-3-clause,bsd-2-clause",
+        "Some\nLicensed under the MIT License\nwords": "mit", "not released\nunder the MIT license": "",
+    }
+    d = spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(d).collect()}
+    assert got == dict(enumerate(expected.values()))
+
+
 def test_empty_tables(spark, docs, tmp_path):
     none = docs.filter("false")
     labels = spark.createDataFrame([], "doc_id long, quality int")
