@@ -15,33 +15,51 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null text counts as empty; repeated rows and rows without an id are judged like others; an empty table gives no rows.
+    """
     docs = docs.select(*COLUMNS)
     scored = quality.scored(docs, shared.read_table(spark, sf_dir, "labels"))
     return scored.filter(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than a fifth of their source's documents have go; no document goes."""
+    """Lines that more than a fifth of their source's documents have go; no document goes.
+
+    Rows without a source form one source; null and empty texts and very long ones stay documents; repeated rows all count.
+    """
     return line_dedup.document_lines(docs.select(*COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once; rows without an id all stay."""
+    """Of each group of near duplicates one document stays: that with the smallest (id, text digest).
+
+    Different texts with one id are different documents. Of rows with equal id and text the least (by the other columns) stays.
+    Null text counts as empty, rows without an id all stay, an empty table gives no rows, very long texts are read whole.
+    """
     docs = docs.select(*COLUMNS)
-    named = docs.filter("doc_id is not null")
-    groups = simhash.similar_groups(named).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = named.hint("merge").join(groups, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null").withColumn("_digest", simhash.text_digest())
+    groups = simhash.similar_groups(named.select("doc_id", "text")).filter("keep").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_least"))
+    kept = named.hint("merge").join(groups, "_digest").filter("doc_id = _least")
+    # Rows of one text that even share their id are rare; only those are compared column by column.
+    rows = named.groupBy("_digest", "doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest", "doc_id")
+    rows = shared.written(rows, "repeated-rows")
+    unnamed = docs.filter("doc_id is null")
+    if rows.isEmpty():
+        return kept.select(*COLUMNS).unionByName(unnamed)
+    single = kept.join(rows, ["_digest", "doc_id"], "left_anti").select(*COLUMNS)
+    least = kept.join(rows, ["_digest", "doc_id"], "left_semi").groupBy("_digest").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return single.unionByName(least).unionByName(unnamed)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data becomes its kind in angle brackets."""
+    """Every span of personal data becomes its kind in angle brackets; no row goes, null text stays null."""
     return pii.masked(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: its ids, its sequence and its place there."""
+    """One row per piece: its ids, its sequence and its place there; null text is one piece with the end id alone."""
     return packing.pack_documents(docs, queries.vocabulary(queries.WORD_VOCABULARY), with_ids=True)
 
 

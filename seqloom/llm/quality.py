@@ -8,7 +8,9 @@ then compared with all labelled vectors by exact cosine products in blocks, and
 neighbours vote, weighted by similarity.
 
 Defined cases: null text counts as empty; a text whose vector is zero gets the sample's mean label;
-without labelled rows every score is 0.5; ties among neighbours break by sample order; extra columns are ignored.
+without labelled rows every score is 0.5; ties among neighbours break by sample order; very long texts are read whole, a
+slice of the batch at a time; a labelled row of the sample has itself among its neighbours; an empty table gives no rows;
+repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text
+from .shared import slices, small_batches, whole_text
 
 SAMPLE = 3000  # labelled rows that the classifier is fitted on, at most
 RANK = 64
@@ -64,25 +66,28 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def in_training(doc_id) -> F.Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
+    """Whether a row's label may be learnt from; a row without an id has no label and is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> dict:
     """The model: weights, projection, labelled vectors and labels, all of bounded size.
 
-    Labels come only from rows of the training part, the ``sample`` first ones by a hash of the id.
+    Labels come only from rows of the training part, the ``sample`` first ones by a hash of the id. Of several
+    texts with one id the least counts, so that at most ``sample`` rows reach the driver.
     """
     known = labels.filter(F.col("quality").isNotNull() & in_training(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long"), F.col("quality").cast("double"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
-    def shares(batches):
-        for batch in batches:
-            rows = [x.tobytes() for x in term_shares(batch.column("text").to_pylist()).astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "terms"])
+    @F.arrow_udf("binary")
+    def shares(text: pa.Array) -> pa.Array:
+        return pa.array([x.tobytes() for _, part in slices(text) for x in term_shares(part).astype(np.float16)], pa.binary())
 
-    picked = _texts(docs).join(F.broadcast(known), "doc_id").mapInArrow(shares, "doc_id long, quality double, terms binary")
-    rows = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in picked.collect()), key=lambda r: r)[: 2 * sample]
+    # ``known`` has at most ``sample`` rows of two numbers.
+    picked = _texts(docs).join(F.broadcast(known.dropDuplicates()), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    picked = picked.select("doc_id", "quality", shares("text").alias("terms"))
+    rows = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in picked.collect()), key=lambda r: r)
     if not rows:
         return {"empty": 0.5}
     y = np.array([r[1] for r in rows], dtype=np.float32)
@@ -131,15 +136,15 @@ def votes(model: dict, texts: list[str], neighbours: int = NEIGHBOURS) -> np.nda
 
 
 def scored(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """doc_id, score, text and the other columns of ``docs``; fitted on ``training`` (default: docs)."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(training if training is not None else docs, labels))
-    schema = docs.select(F.struct(*docs.columns).alias("row"))
-
-    def run(batches):
-        for batch in batches:
-            got = votes(model.value, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(got)], ["row", "score"])
-
-    kind = schema.schema["row"].dataType.simpleString()
-    return docs.select(F.struct(*docs.columns).alias("row"), whole_text().alias("text")).mapInArrow(run, f"row {kind}, score double")
+    """``row`` (all columns of ``docs``) and score; fitted on ``training`` (default: docs).
+
+    Only the text goes to Python; the other columns stay where they are.
+    """
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(training if training is not None else docs, labels))
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(votes(model.value, part) for _, part in slices(text))]))
+
+    return docs.select(F.struct(*docs.columns).alias("row"), score(whole_text()).alias("score"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, tidy, whole_text, written
+from .shared import ascii_lower, slices, small_batches, tidy, whole_text, written
 
 RADIUS = 3
 BLOCKS, AGREE = 5, 2
@@ -66,13 +66,14 @@ def fingerprint(text: str, shingle: int = 3, distinct: bool = False) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
+    small_batches(docs.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            got = np.array([fingerprint(t, shingle, distinct) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+    @F.arrow_udf("long")
+    def of(text: pa.Array) -> pa.Array:
+        got = [fingerprint(t, shingle, distinct) for _, part in slices(text) for t in part]
+        return pa.array(np.array(got, dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), of(whole_text()).alias("fp"))
 
 
 class BKTree:
@@ -225,100 +226,148 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sha
 SIMILARITY = 0.8
 WORDS = 5
 DEAL = 256
-# Shingles that many groups share go last in the order of prefixes. Any order finds every pair; this one keeps the join
-# small, so it may rest on a part of the groups and on a bounded list.
-ORDER_PART, ORDER_COUNT, ORDER_LIST = 8, 8, 200_000
-
+# Shingles that many texts share go last in the order of prefixes. Any order finds every pair; this one keeps the join
+# small, so it may rest on a part of the texts and on a bounded list.
+ORDER_PART, ORDER_COUNT, ORDER_LIST = 32, 3, 200_000
+PROFILE = "fp long, size int, short int, keys array<long>, sketch binary"
+
+
+def text_digest() -> F.Column:
+    """SHA-256 of the text with A-Z lower-cased."""
+    return F.unhex(F.sha2(ascii_lower(whole_text()).cast("binary"), 256))
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of ``text``, sorted."""
+    return np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of a power of two of buckets, two to four in each on average; 255 stands for more."""
+    width = 1 << max(2, (len(shingles) // 2).bit_length() - 1)
+    counts = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def can_be_similar(x: np.ndarray, y: np.ndarray, x_size: int, y_size: int, similarity: float) -> bool:
+    """False only if sets with these sketches can't have the similarity: buckets bound what they have in common."""
+    if min(x_size, y_size) < similarity * max(x_size, y_size):
+        return False
+    if x.max() == 255 or y.max() == 255:
+        return True
+    width = min(len(x), len(y))
+    x, y = (v.reshape(-1, width).sum(axis=0, dtype=np.int64) for v in (x, y))
+    both = int(np.minimum(x, y).sum())
+    return both >= similarity * (x_size + y_size - both)
+
+
+def _profile(similarity, shingle, last):
+    @F.arrow_udf(PROFILE)
+    def of(text: pa.Array) -> pa.Array:
+        rows = []
+        for _, part in slices(text):
+            for t in part:
+                words = shingle_set(t, shingle)
+                n, keys = len(words), words.view(np.int64)
+                moved = np.isin(keys, last.value)
+                # The longer set of a pair shares at least ``similarity`` of its shingles, so one of them is among the first ones.
+                long = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                first = np.concatenate([keys[~moved], keys[moved]])[:long] if n else np.zeros(1, dtype=np.int64)
+                short = n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1
+                fp = int(np.uint64(fingerprint(t, 1, True)).view(np.int64))
+                rows.append((fp, n, short, first, sketch(words).tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays(columns, ["fp", "size", "short", "keys", "sketch"])
 
-def _word_sets(shingle):
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "words"])
+    return of(F.col("text"))
 
-    return run
 
+def _common(table: DataFrame, words: int) -> np.ndarray:
+    """At most ``ORDER_LIST`` shingles that many of a part of the distinct texts share."""
 
-def _alike(similarity):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    @F.arrow_udf("array<long>")
+    def of(text: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, words).view(np.int64) for _, part in slices(text) for t in part], pa.list_(pa.int64()))
 
-    return run
+    part = table.filter(F.pmod(F.xxhash64("digest"), F.lit(ORDER_PART)) == 0).groupBy("digest").agg(F.min("text").alias("text"))
+    counts = part.select(F.explode(of(F.col("text"))).alias("key")).groupBy("key").count()
+    common = counts.filter(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "key").limit(ORDER_LIST)
+    return np.array([r["key"] for r in common.select("key").collect()], dtype=np.int64)
 
 
-def _checked(table: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts have the similarity, written."""
-    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = table.hint("merge").join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_word_sets(words), "doc_id long, words binary")
-    sets = written(sets, "word-sets")
-    tidy(table.sparkSession)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
-    alike = written(both.mapInArrow(_alike(similarity), "a long, b long"), "alike")
-    tidy(table.sparkSession, sets)
-    return alike
+def _both(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+    """The pairs (a, b) with the columns of both nodes as x_... and y_..."""
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in names]), side)
+    return pairs
 
 
-def _prefixes(similarity, shingle, last):
-    def run(batches):
-        late = last.value
-        for batch in batches:
-            keys, sizes, shorts = [], [], []
-            for t in batch.column("text").to_pylist():
-                all_keys = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).view(np.int64)
-                n = len(all_keys)
-                moved = np.isin(all_keys, late)
-                # The longer set of a pair shares at least ``similarity`` of its shingles, so one of them is among the first ones.
-                long = n - int(np.ceil(similarity * n - 1e-9)) + 1
-                ordered = np.concatenate([all_keys[~moved], all_keys[moved]])[:long]
-                keys.append(ordered if n else np.zeros(1, dtype=np.int64))
-                sizes.append(n)
-                shorts.append(n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1)
-            arrays = [batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(shorts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "keys", "size", "short"])
+def _checked(table: DataFrame, one: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts have the similarity, written. Sketches rule most others out before any text is read."""
 
-    return run
+    @F.arrow_udf("boolean")
+    def possible(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        views = ([np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in side] for side in (x, y))
+        return pa.array([can_be_similar(*v, similarity) for v in zip(*views, n.to_pylist(), m.to_pylist(), strict=True)], pa.bool_())
 
+    @F.arrow_udf("binary")
+    def sets(text: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, words).tobytes() for _, part in slices(text) for t in part], pa.binary())
 
-def _shingle_rows(shingle):
-    def run(batches):
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                keys = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        keep = []
+        for u, v in zip(x, y, strict=True):
+            u, v = (np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in (u, v))
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            keep.append(both >= similarity * (len(u) + len(v) - both))
+        return pa.array(keep, pa.bool_())
 
-    return run
+    spark = table.sparkSession
+    known = one.select("node", F.col("p.sketch").alias("sketch"), F.col("p.size").alias("size"))
+    left = _both(pairs, known, "sketch", "size").filter(possible("x_sketch", "y_sketch", "x_size", "y_size")).select("a", "b")
+    left = written(left, "possible-pairs")
+    members = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(one.select("node", "digest"), "node")
+    texts = table.hint("merge").join(members, "digest").groupBy("node").agg(F.min("text").alias("text"))
+    texts = written(texts.select("node", sets("text").alias("words")), "shingle-sets")
+    tidy(spark)
+    found = written(_both(left, texts, "words").filter(alike("x_words", "y_words")).select("a", "b"), "similar-pairs")
+    tidy(spark, texts, left)
+    return found
 
 
-def prefix_pairs(table: DataFrame, groups: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Every pair (a, b) of ids from different groups that can have the similarity, written; ``groups`` holds node and root.
+def prefixes(one: DataFrame) -> DataFrame:
+    """Of each text the first shingles, those that other texts have too: key, node, size, pos, early; n texts and the least node of the key.
 
     Two sets of the similarity share a shingle among the first of both in any common order (prefix filter): of the longer
-    set 1 - s of its shingles, of the shorter one 1 - 2s / (1 + s). What stands after the shared shingle bounds the overlap.
-    Shingles found in one group only are no keys, and a key with many texts is dealt over pairs of blocks.
+    set 1 - s of its shingles, of the shorter one 1 - 2s / (1 + s), which ``early`` marks.
     """
-    spark = table.sparkSession
-    heads = groups.filter("node = root").filter(F.pmod(F.xxhash64("node"), F.lit(ORDER_PART)) == 0).select(F.col("node").alias("doc_id"))
-    counts = table.select("doc_id", "text").join(heads, "doc_id", "left_semi").mapInArrow(_shingle_rows(words), "key long").groupBy("key").count()
-    common = counts.filter(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "key").limit(ORDER_LIST)
-    last = spark.sparkContext.broadcast(np.array([r["key"] for r in common.select("key").collect()], dtype=np.int64))
-    firsts = table.mapInArrow(_prefixes(similarity, words, last), "doc_id long, keys array<long>, size int, short int")
-    firsts = firsts.withColumnRenamed("doc_id", "node").join(groups, "node").dropDuplicates(["node"])
-    rows = firsts.select("node", "root", "size", "short", F.posexplode("keys").alias("pos", "key"))
-    rows = written(rows.select("key", "node", "root", "size", "pos", (F.col("pos") < F.col("short")).alias("early")), "prefixes")
-    tidy(spark)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
-    shared = shared.select("key", F.ceil(F.col("n") / DEAL).cast("int").alias("parts"))
-    dealt = rows.join(shared, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = one.select("node", F.col("p.size").alias("size"), F.col("p.short").alias("short"), F.posexplode("p.keys").alias("pos", "key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    shared = written(shared, "shared-keys")
+    tidy(one.sparkSession)
+    found = rows.select("key", "node", "size", "pos", (F.col("pos") < F.col("short")).alias("early")).join(shared, "key")
+    found = written(found, "shared-prefixes")
+    tidy(one.sparkSession, shared)
+    return found
+
+
+def prefix_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of nodes from different groups that can have the similarity, written; ``groups`` holds node and root.
+
+    What stands after the shared shingle bounds the overlap. Shingles found in one group only are no keys, and a key with many texts is
+    dealt over pairs of blocks.
+    """
+    rows = shared.select("key", "node", "size", "pos", "early").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = written(rows, "grouped-prefixes")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
+    keys = keys.select("key", F.ceil(F.col("n") / DEAL).cast("int").alias("parts"))
+    dealt = rows.join(keys, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", "node", "root", "size", "pos", "early", "home", F.least("home", "part").alias("lo"), F.greatest("home", "part").alias("hi"))
-    dealt = written(dealt, "shared-prefixes")
-    tidy(spark, rows)
+    dealt = written(dealt, "dealt-prefixes")
+    tidy(shared.sparkSession, rows)
     x = dealt.filter("home = lo").select("key", "lo", "hi", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "pos", "early")])
     y = dealt.filter("home = hi").select("key", "lo", "hi", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "size", "pos", "early")])
     met = x.join(y, ["key", "lo", "hi"]).filter("x_root <> y_root and (lo < hi or x_node < y_node)")
@@ -327,45 +376,50 @@ def prefix_pairs(table: DataFrame, groups: DataFrame, similarity: float, words:
     met = met.filter((1 + similarity) * rest + 1e-6 >= similarity * total)
     met = met.filter(F.when(F.struct("x_size", "x_node") < F.struct("y_size", "y_node"), F.col("x_early")).otherwise(F.col("y_early")))
     pairs = written(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "prefix-pairs")
-    tidy(spark, dealt)
-    last.destroy()
+    tidy(shared.sparkSession, dealt)
     return pairs
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = 6, blocks: int = 9, agree: int = 3) -> DataFrame:
-    """doc_id, component_id by links of the given Jaccard similarity over word shingles, or more.
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = 4, blocks: int = 6, agree: int = 2) -> DataFrame:
+    """digest, doc_id, keep: of every distinct text its digest and smallest id, and whether it is the first of its group.
 
-    A SimHash of ``words``-word shingles lies far apart even for similar texts of a few hundred words, so the
-    BK-trees search the SimHash of the distinct words, in a wider radius, and every link found is then checked
-    on the texts' shingle sets. That joins most groups, not all: links are thinned before the check, and some pairs lie
-    outside the radius. So an exact join (``prefix_pairs``) then finds every pair whose texts are not yet in one
-    checked group, and these are checked too. Texts equal after lower-casing A-Z are one text from the start. ``doc_id``
-    must not be null; rows of equal id are in one group.
+    Groups are linked by the given Jaccard similarity over word shingles, or more. A SimHash of ``words``-word shingles lies
+    far apart even for similar texts of a few hundred words, so the BK-trees search the SimHash of the distinct words. What they
+    find, and each text with the first text that shares one of its leading shingles, is checked on the texts' shingle sets: both are
+    linear in the texts, also in a large group of copies. Links within the radius are thinned, and some pairs lie outside it,
+    so an exact join (``prefix_pairs``) then finds every pair whose texts are not yet in one checked group, and these are
+    checked too. Texts equal after lower-casing A-Z are one text from the start. Ids may repeat: what is grouped are texts, and
+    the first of a group is the one with the smallest (id, digest). Rows without an id count with an id above all others.
     """
-    table = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    digest = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
-    hashed = fingerprints(table, 1, True)
-    texts = written(table.select("doc_id", digest.alias("digest")), "text-digests")
-    least = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    one = written(least.join(hashed, "doc_id").dropDuplicates(["digest"]), "distinct-texts")
-    heads = written(one.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
-    same = one.join(heads, "fp").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    table = docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), whole_text().alias("text"))
+    last = spark.sparkContext.broadcast(_common(table, words))
+    profiled = table.select("doc_id", "digest", _profile(similarity, words, last).alias("p"))
+    one = profiled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("p").alias("p"))
+    one = written(one.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")  # numbers stay, as they are written
+    tidy(spark)
+    heads = written(one.groupBy(F.col("p.fp").alias("fp")).agg(F.min("node").alias("head")), "fingerprint-heads")
+    same = one.select("node", F.col("p.fp").alias("fp")).join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
     found = written(links(heads.select("fp"), radius, blocks=blocks, agree=agree).distinct(), "fingerprint-links")
-    tidy(docs.sparkSession)
+    tidy(spark)
     near = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-    pairs = same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
-    pairs = written(pairs, "text-pairs")
-    roots = components(_checked(table, pairs, similarity, words))
-    tidy(docs.sparkSession, pairs, found)
-    nodes = one.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
-    nodes = written(nodes, "checked-groups")
-    groups = nodes.select("node", "root").distinct()
-    pairs = prefix_pairs(table, groups, similarity, words)
-    late = _checked(table, pairs, similarity, words)
-    late = late.join(groups.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(groups.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-    joined = components(late.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    tidy(docs.sparkSession, pairs)
-    rooted = nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("digest", "node", F.coalesce("top", "root").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = written(rooted.join(smallest, "root").select("digest", "component_id"), "text-components")
-    return texts.join(named, "digest").select("doc_id", "component_id")
+    shared = prefixes(one)
+    first = shared.select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).unionByName(first)
+    pairs = written(pairs.filter("a <> b").distinct(), "text-pairs")
+    groups = components(_checked(table, one, pairs, similarity, words))
+    tidy(spark, pairs, found)
+    pairs = prefix_pairs(shared, groups, similarity)
+    late = _checked(table, one, pairs, similarity, words)
+    tidy(spark, pairs, shared)
+    root = lambda name: groups.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    late = late.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    joined = components(late.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    last.destroy()
+    rooted = one.select("digest", "doc_id", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("digest").alias("t"))
+    rooted = written(rooted.select("digest", "doc_id", "root", rank.alias("rank")), "text-groups")
+    firsts = rooted.groupBy("root").agg(F.min("rank").alias("first"))
+    return rooted.join(firsts, "root").select("digest", "doc_id", F.col("first.d").alias("component_id"), (F.col("rank") == F.col("first")).alias("keep"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -194,8 +195,21 @@ def test_similar_groups_are_checked(spark):
     near = [*words[:60], "changed", *words[61:]]
     shuffled = words[60:] + words[:60][::-1]
     d = spark.createDataFrame([(5, " ".join(words)), (7, " ".join(near)), (9, " ".join(shuffled)), (8, " ".join(words).upper()), (3, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d).collect()}
-    assert got == {5: 5, 7: 5, 8: 5, 9: 9, 3: 3}
+    got = {r["doc_id"]: (r["component_id"], r["keep"]) for r in simhash.similar_groups(d).collect()}
+    assert got == {5: (5, True), 7: (5, False), 9: (9, True), 3: (3, True)}  # one row for each distinct text
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng, ruled_out = random.Random(4), 0
+    for n in (0, 1, 3, 10, 40, 300, 5000):
+        for share in (0.5, 0.78, 0.8, 0.82, 0.95, 1.0):
+            pool = np.array(list({rng.getrandbits(64) for _ in range(2 * n + 1)}), dtype=np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(pool[n - int(2 * share / (1 + share) * n) : 2 * n - int(2 * share / (1 + share) * n)])
+            both = len(np.intersect1d(x, y))
+            possible = simhash.can_be_similar(simhash.sketch(x), simhash.sketch(y), len(x), len(y), 0.8)
+            assert possible or both < 0.8 * (len(x) + len(y) - both)
+            ruled_out += not possible
+    assert ruled_out > 3
 
 
 def shingle_sets(rows):
