@@ -3,18 +3,21 @@
 Documents become token ids (plus an end id) and pieces of at most ``CAPACITY`` tokens. Only the
 histogram of piece lengths, at most ``CAPACITY`` numbers, reaches the driver. There:
 
-1. the configuration program (fewest sequences whose configurations cover every length's count) is
-   solved by multiplicative weights: lengths lose weight as they get covered, and each round a
+1. lengths are put into at most ``CLASSES`` classes of neighbouring lengths, so that a class has many pieces,
+2. the configuration program (fewest sequences whose configurations cover every class's count) is
+   solved by multiplicative weights: classes lose weight as they get covered, and each round a
    knapsack dynamic programme prices the configuration of greatest weight,
-2. configurations are rounded to whole sequences as far as the counts allow,
-3. what is left goes, longest first, to the best-fitting gap, on counts and never on single pieces.
+3. configurations are rounded to whole sequences: each takes real lengths of its classes, and the length that fills its
+   gap best stands for its last and smallest one,
+4. what rounding leaves goes, longest first, to the best-fitting gap, on counts and never on single pieces.
 
 The result is a list of patterns (lengths, how many sequences). Tasks number the pieces of each
 length (large lengths are salted) and look their places up in the broadcast patterns, whose size
 depends on ``CAPACITY`` and ``ROUNDS`` alone.
 
 Defined cases: null text counts as empty and becomes one piece with the end id; repeated rows are
-packed as often as they stand; an empty table gives no rows; ties are numbered by id and piece.
+packed as often as they stand; an empty table gives no rows; ties are numbered by id and piece; very long texts are
+tokenised whole, a bounded slice of the batch at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import json
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import chain
@@ -33,19 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import whole_text, written
+from .shared import slices, small_batches, whole_text, written
 
 CAPACITY = 4096
 END_ID = 1
-GRAIN = 1  # the linear program rounds lengths up to multiples of this
+CLASSES = 96
 ROUNDS = 120
 RATE = 0.5
-SALT_ROWS = 50_000
+RESERVE = 0.02
+TRIES = 64
+WASTE = 0.005
 CACHED_WORDS = 400_000
 NO_RANK = 1 << 40
 # Texts of these characters need no Unicode normalisation, and lower-casing them is the same everywhere.
 PLAIN_TEXT = re.compile("[\\t\\n\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-# The vocabulary's word pattern, for such texts.
+# The word pattern that a vocabulary must have for texts to be split here, and what it comes to for such texts.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PLAIN_WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
 
 
@@ -147,7 +154,8 @@ class WordIds:
     The vocabulary lower-cases, drops white space and never joins what its word pattern separates,
     so the ids of a text are those of its words in turn, and a word that was seen is looked up.
     Texts of plain Latin letters and ASCII are split here by the same word pattern; any
-    other text is split at ASCII white space only, and the tokenizer itself encodes those parts. The
+    other text is split at ASCII white space only, and the tokenizer itself encodes those parts. It encodes whole texts that
+    hold one of its added tokens, and all texts if its steps are not the ones expected here. The
     cache is emptied when it has ``CACHED_WORDS`` words.
     """
 
@@ -156,9 +164,14 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.merges = PairMerges(json.load(f)["model"])
+            spec = json.load(f)
+        split, *bytes_ = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        as_words = split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed" and [x["type"] for x in bytes_] == ["ByteLevel"]
+        self.by_words = as_words and (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and spec["model"]["type"] == "BPE" and not spec.get("post_processor")
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(added) or r"(?!)")
+        self.merges = PairMerges(spec["model"]) if self.by_words else None
         self.clear()
 
     def clear(self) -> None:
@@ -184,6 +197,15 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
+        whole = [i for i, t in enumerate(texts) if not self.by_words or self.added.search(t)]
+        if whole:
+            got = self._encode([t if self.by_words and not self.added.search(t) else "" for t in texts])
+            for i in whole:
+                got[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, END_ID], dtype=np.uint32)
+            return got
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
         if len(self.place) > CACHED_WORDS:
@@ -213,14 +235,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     def run(batches):
         words = words_of(tokenizer_path)
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id")
-            group, size = [], 0
-            for at, text in enumerate(texts):
-                group.append(at)
-                size += len(text)
-                if size > 4_000_000 or at == len(texts) - 1:
-                    yield cut(keys.take(pa.array(group)), words.encode([texts[i] for i in group]))
-                    group, size = [], 0
+            for at, texts in slices(batch.column("text")):
+                yield cut(batch.column("doc_id").slice(at, len(texts)), words.encode(texts))
 
     def cut(keys, encoded):
         rows = [(i, n, ids[n * capacity : (n + 1) * capacity]) for i, ids in enumerate(encoded) for n in range(-(-len(ids) // capacity))]
@@ -236,14 +252,30 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
         return pa.RecordBatch.from_pydict(columns)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, kind)
 
 
+def length_classes(histogram: dict[int, int], classes: int = CLASSES) -> list[tuple[int, int]]:
+    """First and last length of classes of neighbouring lengths; each has about the same share of all tokens."""
+    share = sum(length * n for length, n in histogram.items()) / classes
+    bounds, first, mass = [], None, 0.0
+    for length in sorted(histogram):
+        first, mass = length if first is None else first, mass + length * histogram[length]
+        if mass >= share:
+            bounds.append((first, length))
+            first, mass = None, 0.0
+    if first is not None:
+        bounds.append((first, max(histogram)))
+    return bounds
+
+
 def configurations(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
     """Configurations and their fractional numbers, by multiplicative weights.
 
-    ``counts`` maps a size to its number of items. Each round prices all configurations by an unbounded knapsack
-    over the weights and adds the best one, as much of it as covers one of its sizes once.
+    ``counts`` maps a size to its number of items. Each round prices all configurations by a knapsack
+    over the weights and adds the best one, as much of it as covers one of its sizes once. A configuration takes no more of a size than there is.
+    The numbers are scaled so that all configurations together hold as much as all items.
     """
     sizes = np.array(sorted(counts), dtype=np.int64)
     if not len(sizes):
@@ -263,48 +295,98 @@ def configurations(counts: dict[int, int], capacity: int, rounds: int = ROUNDS,
         while room >= least and choice[room] >= 0:
             taken[int(choice[room])] += 1
             room -= int(sizes[choice[room]])
-        at, many = np.array(list(taken)), np.array(list(taken.values()), dtype=np.float64)
+        at = np.array(list(taken))
+        many = np.minimum(np.array(list(taken.values()), dtype=np.float64), number[at])
         step = float((number[at] / many).min())
-        found[tuple(sorted(taken.items()))] += step
+        found[tuple(sorted(zip(at.tolist(), many.astype(int).tolist(), strict=True)))] += step
         weight[at] *= np.exp(-rate * step * many / number[at])
         if weight.max() < 1e-250:
             weight /= weight.max()
-    covered = np.zeros(len(sizes))
-    for config, x in found.items():
-        for k, many in config:
-            covered[k] += x * many / number[k]
-    scale = 1 / max(float(np.median(covered)), 1e-9)
+    held = sum(x * sum(int(sizes[k]) * many for k, many in config) for config, x in found.items())
+    scale = float(sizes @ number) / held
     return [({int(sizes[k]): many for k, many in config}, x * scale) for config, x in found.items()]
 
 
-def patterns(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
-    """Lists of lengths and the number of sequences that hold exactly these lengths."""
+def configured(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """The sequences that configurations fill, as lengths and how many sequences, and the counts of what they leave.
+
+    The shortest pieces, ``RESERVE`` of all tokens, are held back: they close the gaps of the last sequences.
+    """
+    held, mass, tokens = {}, 0, RESERVE * sum(k * v for k, v in histogram.items())
+    for length in sorted(histogram):
+        if mass < tokens:
+            held[length] = min(histogram[length], int((tokens - mass) // length) + 1)
+            mass += length * held[length]
+    histogram = {k: v - held.get(k, 0) for k, v in histogram.items() if v > held.get(k, 0)}
     left = dict(histogram)
-    classes: dict[int, list[int]] = defaultdict(list)
-    for length in sorted(left):
-        classes[-(-length // grain)].append(length)
-    room = {k: sum(left[x] for x in v) for k, v in classes.items()}
+    bounds: dict[int, tuple[int, int]] = {}
+    counts: dict[int, int] = {}
+    for low, high in length_classes(histogram):
+        n = sum(v for k, v in histogram.items() if low <= k <= high)
+        mean = -(-sum(k * v for k, v in histogram.items() if low <= k <= high) // n)
+        bounds[mean], counts[mean] = (low, high), n
+    there = sorted(left)  # lengths that are left
+
+    def longest(most: int, used: Counter, least: int = 1) -> int:
+        """The longest length from ``least`` to ``most`` of which some is left beside ``used``, or 0."""
+        at = bisect_right(there, most) - 1
+        while at >= 0 and there[at] >= least:
+            if left[there[at]] > used[there[at]]:
+                return there[at]
+            at -= 1
+        return 0
+
+    def filling(gap: int, used: Counter) -> list[int]:
+        """Lengths for a gap: one or two that fill it exactly, or else the longest ones in turn."""
+        first = longest(gap, used)
+        for _ in range(TRIES if first and first < gap else 0):
+            second = gap - first
+            if second in left and left[second] > used[second] + (first == second):
+                return [first, second]
+            if not (shorter := longest(first - 1, used)):
+                break
+            first = shorter
+        found: list[int] = []
+        while length := longest(gap, used + Counter(found)):
+            found.append(length)
+            gap -= length
+        return found
+
     made: list[tuple[tuple[int, ...], int]] = []
-    for config, x in sorted(configurations(dict(room), capacity // grain, rounds), key=lambda c: -c[1]):
-        todo = min(int(np.ceil(x)), *(room[k] // many for k, many in config.items()))
-        for k, many in config.items():
-            room[k] -= max(todo, 0) * many
-        while todo > 0:  # the same lengths as long as they last
-            chosen: Counter = Counter()
-            for k, many in config.items():
-                for _ in range(many):
-                    while left[classes[k][-1]] - chosen[classes[k][-1]] <= 0:
-                        if chosen[classes[k][-1]]:
-                            break
-                        classes[k].pop()
-                    top = next(v for v in reversed(classes[k]) if left[v] - chosen[v] > 0)
-                    chosen[top] += 1
-            times = min(todo, *(left[v] // many for v, many in chosen.items()))
+    for config, x in sorted(configurations(counts, capacity, rounds), key=lambda c: -c[1]):
+        todo = int(x)
+        slots = [size for size in sorted(config, reverse=True) for _ in range(config[size])]
+        while todo > 0:
+            used: Counter = Counter()
+            gap, missing = capacity, 0
+            for size in slots[:-1]:
+                low, high = bounds[size]
+                length = longest(min(high, gap), used, low)
+                missing += not length
+                used[length] += bool(length)
+                gap -= length
+            if missing:  # a class has run out: what is left is for best fit, as is what fills a sequence badly
+                break
+            for length in filling(gap, used):
+                used[length] += 1
+            chosen = +used
+            if capacity - sum(k * v for k, v in chosen.items()) > capacity * WASTE:
+                break
+            times = min(todo, *(left[v] // many for v, many in chosen.items())) if chosen else 0
+            if not times:
+                break
             for v, many in chosen.items():
                 left[v] -= times * many
+                if not left[v]:
+                    there.remove(v)
             made.append((tuple(sorted(chosen.elements(), reverse=True)), times))
             todo -= times
-    return _best_fit(made, {k: v for k, v in left.items() if v > 0}, capacity)
+    return made, {k: v for k, v in (Counter(left) + Counter(held)).items() if v > 0}
+
+
+def patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
+    """Lists of lengths and the number of sequences that hold exactly these lengths."""
+    return _best_fit(*configured(histogram, capacity, rounds), capacity)
 
 
 def _best_fit(made, left, capacity):
@@ -364,7 +446,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
     counted = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     histogram = {int(r["length"]): int(r["n"]) for r in counted}
     table = spark.sparkContext.broadcast(places(patterns(histogram, capacity, rounds=rounds), capacity))
-    salts = max(1, -(-max(histogram.values(), default=1) // SALT_ROWS))
+    # A length of many pieces is numbered in parts, none larger than a quarter of what a partition holds on average.
+    part = max(1, sum(histogram.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = max(1, -(-max(histogram.values(), default=1) // part))
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

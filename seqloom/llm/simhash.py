@@ -269,7 +269,7 @@ def _profile(similarity, shingle, last):
             for t in part:
                 words = shingle_set(t, shingle)
                 n, keys = len(words), words.view(np.int64)
-                moved = np.isin(keys, last.value)
+                moved = last.value[np.searchsorted(last.value, keys)] == keys
                 # The longer set of a pair shares at least ``similarity`` of its shingles, so one of them is among the first ones.
                 long = n - int(np.ceil(similarity * n - 1e-9)) + 1
                 first = np.concatenate([keys[~moved], keys[moved]])[:long] if n else np.zeros(1, dtype=np.int64)
@@ -284,7 +284,7 @@ def _profile(similarity, shingle, last):
 
 
 def _common(table: DataFrame, words: int) -> np.ndarray:
-    """At most ``ORDER_LIST`` shingles that many of a part of the distinct texts share."""
+    """At most ``ORDER_LIST`` shingles that many of a part of the distinct texts share, sorted; the greatest one stands for none."""
 
     @F.arrow_udf("array<long>")
     def of(text: pa.Array) -> pa.Array:
@@ -293,7 +293,7 @@ def _common(table: DataFrame, words: int) -> np.ndarray:
     part = table.filter(F.pmod(F.xxhash64("digest"), F.lit(ORDER_PART)) == 0).groupBy("digest").agg(F.min("text").alias("text"))
     counts = part.select(F.explode(of(F.col("text"))).alias("key")).groupBy("key").count()
     common = counts.filter(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "key").limit(ORDER_LIST)
-    return np.array([r["key"] for r in common.select("key").collect()], dtype=np.int64)
+    return np.sort(np.array([*(r["key"] for r in common.select("key").collect()), np.iinfo(np.int64).max], dtype=np.int64))
 
 
 def _both(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from seqloom.llm import exact_dedup, licences, line_dedup, merkle, packing, piec
 
 ODD = [
     None, "", " ", "\n\n\n", "a", "Aa aA", "aa AA", "a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8.9 0001.2.3.4 256.1.1.1", "😀 é a@b.co 4381893557741609 4381 8935 5774 1609",
-    "9" * 6000, "1 " * 3000, "a" * 20000, "+1 (743) 555-3824+44 20 7946 0958", "don't we've I'M 's", "…“q” 👍🏽 İstanbul ΣΑΣ ﬁ", "a\x00b\x1cc\x85d", "▁x  y　z", "ab" * 900,
+    "9" * 6000, "1 " * 3000, "a" * 20000, "+1 (743) 555-3824+44 20 7946 0958", "don't we've I'M 's", "a<|endoftext|>b <|startoftext|>  C<|ENDOFTEXT|>", "<|endoftext|>", "…“q” 👍🏽 İstanbul ΣΑΣ ﬁ", "a\x00b\x1cc\x85d", "▁x  y　z", "ab" * 900,
     "word " * 800, "x" * 49, "x" * 50, "x" * 51, "é" * 60, "é" * 60,
 ]
 
@@ -325,7 +326,6 @@ def test_packing(docs, by_id):
 
     path = queries.vocabulary(queries.WORD_VOCABULARY)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack_documents(docs, path, capacity=512, with_ids=True, rounds=20).collect()
     ids = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
@@ -355,6 +355,29 @@ def test_patterns_use_every_piece_once():
     assert used == histogram
 
 
+def test_configurations_place_most_pieces_and_cost_next_to_nothing():
+    rng = random.Random(9)
+    for many in (1, 500):
+        histogram = Counter(min(4096, int(rng.lognormvariate(6, 1.2)) + 2) for _ in range(4000))
+        histogram = {k: v * many for k, v in histogram.items()}
+        made, left = packing.configured(histogram)
+        assert sum(left.values()) < 0.5 * sum(histogram.values())
+        count = sum(times for _, times in packing.patterns(histogram))
+        bound = -(-sum(k * v for k, v in histogram.items()) // 4096)
+        assert bound <= count <= 1.001 * bound + 1
+        assert count <= 1.001 * sum(times for _, times in packing._best_fit([], histogram, 4096)) + 1
+
+
+def test_another_vocabulary_is_encoded_by_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "ab": 2}, merges=[("a", "b")]))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    words = packing.WordIds(str(tmp_path / "other.json"))
+    assert [x.tolist() for x in words.encode(["ab a b", "", "AB"])] == [[*other.encode(t, add_special_tokens=False).ids, 1] for t in ("ab a b", "", "AB")]
+
+
 def test_pieces_equal_the_library(docs, by_id):
     import sentencepiece
 
