@@ -1,7 +1,7 @@
 """Personal data by weak supervision (native: DataFrame functions only).
 
 Base spans come from four patterns with their checks; they always stay. Further candidates (bracketed
-e-mail addresses, telephone numbers without a plus, IPv6 addresses, cards of 13 to 15 digits) are voted on, as are the base spans, by labelers:
+e-mail addresses, telephone numbers without a plus, IPv6 addresses, cards of 13 to 15 digits, secrets such as keys and tokens) are voted on, as are the base spans, by labelers:
 the format, a gazetteer and the context before and after. Expectation-maximisation over the counts of vote patterns, a table whose size
 only the labelers fix, estimates how reliable each labeler is; its posteriors train a logistic span
 classifier, and candidates it accepts are added.
@@ -10,8 +10,7 @@ Spans are offsets in code points, end exclusive. The patterns start only where n
 could have started and never give back what they took, so every text takes linear time.
 
 Defined cases: null text counts as empty; a document without spans has zeros and empty lists;
-candidates that overlap a base span are not added; repeated rows give repeated results; an empty
-table gives no rows; extra columns are ignored.
+candidates that overlap a base span are not added; repeated rows give repeated results; an empty table gives no rows; very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import whole_text, written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")  # secrets have no base pattern: all of them are candidates
 CONTEXT = 24
+ACCEPTED = 0.6  # the classifier's least score for a candidate beside the base spans
 
 # The four base patterns, possessive and anchored at the first place a match can start.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -41,20 +42,24 @@ MORE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]{19,199}+(?![A-Za-z0-9_/+=-])",
 }
 # Cheap tests that a text can hold a base span or a further candidate of the kind at all; an empty one asks for a digit.
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-MORE_HINT = {"email": "at", "ip": ":", "card": "", "phone": ""}
+MORE_HINT = {"email": "at", "ip": ":", "card": "", "phone": "", "secret": ""}
 
 # Gazetteers and context words.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu")
+SECRET_STARTS = r"^(?:AKIA|ASIA|AIza|gh[opsur]_|glpat-|sk-|sk_live_|xox[abprs]-|eyJ)"
 CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 GOOD_BEFORE = {
     "email": r"(?i)(?:mail|contact|write|reach)[^a-z]*$",
     "ip": r"(?i)(?:\bip\b|host|server|address|ping|from)[^a-z]*$",
     "card": r"(?i)(?:card|visa|mastercard|amex|payment|account)[^a-z]*$",
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|dial)[^a-z]*$",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer|credentials?)[^a-z0-9]{0,6}$",
 }
+BAD_BEFORE_SECRET = r"(?i)(?:commit|sha-?[0-9]*|md5|checksum|hash|digest|etag|revision|uuid|blob|tree|https?:/?/?)[^a-z0-9]{0,6}$"
 BAD_BEFORE = r"(?i)(?:version|\bv|section|no\.|nr\.|isbn|order|ref|id|#|=)\s*$"
 
 LABELERS = ("format", "gazetteer", "before", "edges")
@@ -134,6 +139,8 @@ def _valid(kind: str, m: Column) -> Column:
 def _more_valid(kind: str, m: Column) -> Column:
     if kind == "card":
         return luhn(_digits(m))
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -144,6 +151,13 @@ def _vote(yes: Column, no: Column) -> Column:
 def _votes(kind: str, base: bool, x: Column) -> list[Column]:
     """The labelers' votes on a match: 1 for personal data, -1 against, 0 for no opinion."""
     m, never = x["m"], F.lit(False)
+    if kind == "secret":
+        # A digest of a file looks like a secret: form alone has no opinion on digits and letters at random.
+        form = _vote(m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9]"), m.rlike(r"([A-Za-z0-9_/+=-])\1{5}|^[a-z]+(?:[-_/][a-z0-9]+)+$"))
+        gazetteer = _vote(m.rlike(SECRET_STARTS), m.rlike(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"))
+        before = _vote(x["before"].rlike(GOOD_BEFORE[kind]), x["before"].rlike(BAD_BEFORE_SECRET))
+        edges = _vote(x["before"].rlike(r"[=:]\s*[\"'`]?$") & x["after"].rlike(r"^(?:[\"'`;,\s]|$)"), x["after"].rlike(r"^[.@]") | x["before"].rlike(r"[.@]$"))
+        return [form, gazetteer, before, edges]
     if kind == "email":
         known = F.regexp_extract(m, r"([A-Za-z]+)$", 1)
         gazetteer = _vote(F.lower(known).isin(*DOMAINS), F.length(known) < 2)
@@ -177,7 +191,8 @@ def candidates(text: Column) -> Column:
 
     found = []
     for k, kind in enumerate(KINDS):
-        found.append(of(k, True, BASE[kind], HINT[kind], _valid))
+        if kind in BASE:
+            found.append(of(k, True, BASE[kind], HINT[kind], _valid))
         found.append(of(k, False, MORE[kind], MORE_HINT[kind], _more_valid))
     return F.concat(*found)
 
@@ -234,7 +249,7 @@ def find(docs: DataFrame) -> DataFrame:
     table = written(keep.select("doc_id", candidates(F.col("_text")).alias("found")), "pii-candidates")
     one = table.select(F.explode("found").alias("x"))
     counted = one.groupBy(F.col("x.kind").alias("kind"), F.col("x.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n"))
-    counts = {(r["kind"], tuple(r["votes"])): float(r["n"]) for r in counted.collect()}  # at most 4 x 3^4 rows
+    counts = {(r["kind"], tuple(r["votes"])): float(r["n"]) for r in counted.collect()}  # at most 5 x 3^4 rows
     weights = span_classifier(counts, reliabilities(counts))
 
     def score(x):
@@ -251,7 +266,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def final(spans):
         base = F.filter(spans, lambda x: x["base"])
-        clear = F.filter(spans, lambda x: ~x["base"] & (x["score"] >= 0.5))
+        clear = F.filter(spans, lambda x: ~x["base"] & (x["score"] >= ACCEPTED))
         added = let(base, lambda b: F.filter(clear, lambda c: ~F.exists(b, lambda y: (y["start"] < c["end"]) & (c["start"] < y["end"]))))
         return F.array_sort(F.concat(base, added))
 
@@ -264,14 +279,15 @@ def _written_out(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts of base spans by kind, their digest, and all spans written out."""
+    """The counts of base spans by kind, their digest, all spans written out, and the number of spans that the classifier added."""
     base = F.filter("spans", lambda x: x["base"])
     number = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long")
     return found.select(
         "doc_id",
-        *[number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        *[number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)],
         F.sha2(_written_out(base).cast("binary"), 256).alias("base_sha256"),
         _written_out(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"),
     )
 
 
