@@ -9,8 +9,9 @@ A host keeps fewer than (its lines per page / ratio) boilerplate lines; that bou
 to the pages under a salt, so no host's pages meet in one task.
 
 Defined cases: null text counts as empty and stays null if nothing goes; null hosts form one host; a line repeated within
-one page counts once but is dropped everywhere; blank lines are never boilerplate; lines on fewer
-than ``min_pages`` pages stay, so tiny hosts lose nothing; extra columns pass through.
+one page counts once but is dropped everywhere; blank lines are never boilerplate; a line on one page alone says nothing about its
+host and stays (``min_pages``), so hosts of one page lose nothing; from two pages on the ratio decides; repeated rows count as often as they
+stand; an empty table gives no rows; very long texts are cut into lines like others; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def url_host(url: Column) -> Column:
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, lines: Column, salt: Column, max_ratio: float = 0.2, min_pages: int = 5
+    pages: DataFrame, host: Column, lines: Column, salt: Column, max_ratio: float = 0.2, min_pages: int = 2
 ) -> DataFrame:
     """``_row`` (all columns of ``pages``), ``_host``, ``_lines`` and ``_kept``, the lines that stay.
 

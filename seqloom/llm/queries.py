@@ -116,7 +116,7 @@ WITH cleaned AS (
 ), often AS (
   SELECT host, line FROM (SELECT page_id, host, unnest(list_distinct(l)) AS line FROM lines)
   JOIN (SELECT host, count(*) AS total FROM lines GROUP BY host) USING (host)
-  GROUP BY host, line, total HAVING count(*) >= 5 AND count(*) > total * 0.2
+  GROUP BY host, line, total HAVING count(*) >= 2 AND count(*) > total * 0.2
 ), dropped AS (SELECT host, list(line) AS o FROM often GROUP BY host),
 kept AS (
   SELECT page_id, host, len(l) AS n, list_filter(l, lambda x: NOT list_contains(coalesce(o, []), x)) AS k
