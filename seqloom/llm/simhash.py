@@ -338,13 +338,13 @@ def _checked(table: DataFrame, one: DataFrame, pairs: DataFrame, similarity: flo
 
 
 def prefixes(one: DataFrame) -> DataFrame:
-    """Of each text the first shingles, those that other texts have too: key, node, size, pos, early; n texts and the least node of the key.
+    """Of each text the first shingles, those that other texts have too: key, node, size, pos, early, and n, the texts of the key.
 
     Two sets of the similarity share a shingle among the first of both in any common order (prefix filter): of the longer
     set 1 - s of its shingles, of the shorter one 1 - 2s / (1 + s), which ``early`` marks.
     """
     rows = one.select("node", F.col("p.size").alias("size"), F.col("p.short").alias("short"), F.posexplode("p.keys").alias("pos", "key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(shared, "shared-keys")
     tidy(one.sparkSession)
     found = rows.select("key", "node", "size", "pos", (F.col("pos") < F.col("short")).alias("early")).join(shared, "key")
@@ -353,6 +353,21 @@ def prefixes(one: DataFrame) -> DataFrame:
     return found
 
 
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """One partner (a, b) for each text: the hub of most of its shared leading shingles.
+
+    A shingle's hub is the text, of those that have it, whose leading shingles most texts have: of a group of edited copies that is
+    the text they were made from, or one close to it. So a group is linked by as many pairs as it has texts.
+    """
+    fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
+    famed = shared.select("key", "node").join(fame, "node")
+    hubs = famed.groupBy("key").agg(F.max(F.struct(F.col("fame"), (-F.col("node")).alias("hub"))).alias("h"))
+    hubs = hubs.select("key", (-F.col("h.hub")).alias("hub"))
+    votes = shared.select("key", "node").join(hubs, "key").filter("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("node").agg(F.max(F.struct(F.col("n"), (-F.col("hub")).alias("hub"))).alias("v"))
+    return best.select((-F.col("v.hub")).alias("a"), F.col("node").alias("b"))
+
+
 def prefix_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """Every pair (a, b) of nodes from different groups that can have the similarity, written; ``groups`` holds node and root.
 
@@ -385,7 +400,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
 
     Groups are linked by the given Jaccard similarity over word shingles, or more. A SimHash of ``words``-word shingles lies
     far apart even for similar texts of a few hundred words, so the BK-trees search the SimHash of the distinct words. What they
-    find, and each text with the first text that shares one of its leading shingles, is checked on the texts' shingle sets: both are
+    find, and each text with a hub of the texts that share its leading shingles, is checked on the texts' shingle sets: both are
     linear in the texts, also in a large group of copies. Links within the radius are thinned, and some pairs lie outside it,
     so an exact join (``prefix_pairs``) then finds every pair whose texts are not yet in one checked group, and these are
     checked too. Texts equal after lower-casing A-Z are one text from the start. Ids may repeat: what is grouped are texts, and
@@ -405,9 +420,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     tidy(spark)
     near = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     shared = prefixes(one)
-    first = shared.select(F.col("least").alias("a"), F.col("node").alias("b"))
+    first = hub_pairs(shared)
     pairs = same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).unionByName(first)
-    pairs = written(pairs.filter("a <> b").distinct(), "text-pairs")
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(pairs.distinct(), "text-pairs")
     groups = components(_checked(table, one, pairs, similarity, words))
     tidy(spark, pairs, found)
     pairs = prefix_pairs(shared, groups, similarity)
