@@ -115,16 +115,26 @@ def ambiguous_share(seq: Column, alphabet: Alphabet = DNA) -> Column:
     return 1 - F.length(F.regexp_replace(seq, f"[^{known}]", "")) / F.nullif(F.length(seq), F.lit(0))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def pack_bits(bits: Column) -> Column:
     """Eight 0/1 numbers to a byte, the first one highest; the last byte is filled with zeros."""
-    starts = F.sequence(F.lit(0), F.greatest(((F.size(bits) + 7) / 8).cast("int") - 1, F.lit(0)))
 
-    def byte(i):
-        chunk = F.slice(bits, i * 8 + 1, F.lit(8))
-        value = F.aggregate(chunk, F.lit(0), lambda a, x: a * 2 + x.cast("int"))
-        return F.shiftleft(value, 0) * F.pow(F.lit(2), F.lit(8) - F.size(chunk)).cast("int")
+    def packed(held):
+        def byte(i):
+            # By place: a slice would copy the whole array for each byte.
+            value = F.lit(0)
+            for k in range(8):
+                value = value * 2 + F.coalesce(F.get(held, i * 8 + k).cast("int"), F.lit(0))
+            return value
 
-    return F.when(F.size(bits) == 0, F.array().cast("array<int>")).otherwise(F.transform(starts, byte))
+        starts = F.sequence(F.lit(0), F.greatest(((F.size(held) + 7) / 8).cast("int") - 1, F.lit(0)))
+        return F.when(F.size(held) == 0, F.array().cast("array<int>")).otherwise(F.transform(starts, byte))
+
+    return once(bits, packed)
 
 
 def unpack_bits(packed: Column, length: Column | int) -> Column:
@@ -145,8 +155,7 @@ def unpack_sequence(packed: Column, length: int) -> Column:
 
 def center_crop(values: Column, use: int, shift: int = 0) -> Column:
     """``use`` items around the middle, moved by ``shift``."""
-    start = (F.size(values) / 2).cast("int") - (use + 1) // 2 + shift
-    return F.slice(values, start + 1, F.lit(use))
+    return once(values, lambda held: F.slice(held, (F.size(held) / 2).cast("int") - (use + 1) // 2 + shift + 1, F.lit(use)))
 
 
 def multi_hot(indices: Column, number: int) -> Column:
@@ -169,3 +178,13 @@ def ensemble(*predictions: Column) -> Column:
 def symbol_at(seq: Column, position: Column) -> Column:
     """The character at a position from 0."""
     return F.substring(seq, position + 1, F.lit(1))
+
+
+def chunks(seq: Column, size: int) -> Column:
+    """The sequence cut into pieces of ``size`` letters; the last one may be shorter, the empty sequence has none."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def clear_candidates(df, seq: str, most: float = 0.30):
+    """P10: the rows whose sequence has no larger share of unknown letters than ``most``."""
+    return df.filter(ambiguous_share(F.col(seq)) <= most)

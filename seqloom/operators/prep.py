@@ -64,7 +64,7 @@ def standardised(df: DataFrame, value: str, train: Column, out: str = "z") -> Da
 def ordered_features(df: DataFrame, wanted: list[str], feature: str = "feature") -> DataFrame:
     """P20: a subset of features in the wanted order; unknown names are skipped."""
     names = F.array(*[F.lit(w) for w in wanted])
-    return df.withColumn("feature_ix", F.array_position(names, F.col(feature)) - 1).filter("feature_ix >= 0")
+    return df.withColumn("feature_ix", (F.array_position(names, F.col(feature)) - 1).cast("int")).filter("feature_ix >= 0")
 
 
 def feature_index(names: DataFrame) -> DataFrame:

@@ -34,14 +34,26 @@ def upper_tail(df: DataFrame, z: str = "z", out: str = "p") -> DataFrame:
     return df.withColumn(out, tail(F.col(z)))
 
 
-def false_discovery(df: DataFrame, p: str, out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg. One row per feature, so the table is short."""
-    order = Window.orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    raw = df.withColumn("_raw", F.col(p) * m / F.rank().over(order))
-    raw = raw.withColumn("_last", F.max("_raw").over(Window.partitionBy(p)) * 0 + F.col(p) * m / (F.rank().over(order) + F.count(F.lit(1)).over(Window.partitionBy(p)) - 1))
-    down = Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn(out, F.least(F.min("_last").over(down), F.lit(1.0))).drop("_raw", "_last")
+def false_discovery(df: DataFrame, p: str, out: str = "q", buckets: int = 1024) -> DataFrame:
+    """Benjamini-Hochberg over all rows. Null values have no q and do not count.
+
+    Ranks and running minima are found within buckets of the values, over distinct values; what carries over from bucket to
+    bucket is one row for each of at most ``buckets`` + 1 of them, so no window holds the whole table.
+    """
+    bucket = F.least(F.greatest(F.floor(F.col("_p") * buckets), F.lit(0)), F.lit(buckets)).cast("int")
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", bucket)
+    up = Window.partitionBy("_bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_bucket").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.groupBy("_bucket").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_m"))
+    ranked = counts.join(F.broadcast(before), "_bucket").withColumn("_rank", F.col("_before") + F.sum("_n").over(up))
+    ranked = ranked.withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
+    least = ranked.groupBy("_bucket").agg(F.min("_raw").alias("_least"))
+    after = least.select("_bucket", F.min("_least").over(later).alias("_after"))
+    own = ranked.join(F.broadcast(after), "_bucket").select("_p", F.least(F.min("_raw").over(down), F.col("_after"), F.lit(1.0)).alias(out))
+    return df.join(own, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def normal_scores(df: DataFrame, key: str, value: str, out: str = "normal") -> DataFrame:

@@ -171,56 +171,57 @@ def reverse_complement(spark, d):
     return B.dense(spark, d).select("name", A.reverse_complement(F.col("seq")).alias("rc"))
 
 
-_FIRST = "s AS (SELECT name, upper(substr(seq, 1, 30)) AS q FROM seq), p AS (SELECT name, q, unnest(range(length(q))) AS pos FROM s)"
-
-
-@query("one_hot_long", f"""WITH {_FIRST}, b AS (SELECT unnest(range(4)) AS ix)
-SELECT name, pos::INT AS pos, ix::INT AS ix, CASE WHEN instr('ACGT', substr(q, pos + 1, 1)) = 0 THEN 0.25 WHEN instr('ACGT', substr(q, pos + 1, 1)) = ix + 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM p, b""", ("seq",))
+@query("one_hot_long", """WITH p AS (SELECT name, pos, instr('ACGT', substr(seq, pos + 1, 1)) AS ix FROM (SELECT name, seq, unnest(range(length(seq))) AS pos FROM seq)),
+v AS (SELECT name, pos, unnest([1, 2, 3, 4]) AS base, ix FROM p), w AS (SELECT name, base - 1 AS ix, pos, CASE WHEN ix = 0 THEN 0.25 WHEN ix = base THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM v)
+SELECT name, ix::INT AS ix, sum(value) AS total, sum(pos * value) AS placed FROM w GROUP BY ALL""", ("seq",))
 def one_hot_long(spark, d):
-    e = B.seq(spark, d).select("name", F.posexplode(A.one_hot(F.substring("seq", 1, 30))).alias("pos", "row"))
-    return e.select("name", "pos", F.posexplode("row").alias("ix", "value")).withColumn("value", F.col("value").cast("double"))
+    """The encodings of whole sequences, summed per row of the alphabet, plain and by place."""
+    e = B.seq(spark, d).select("name", F.posexplode(A.one_hot(F.col("seq"))).alias("pos", "row"))
+    sums = e.groupBy("name").agg(*[f(F.get("row", F.lit(k)).cast("double")).alias(f"{n}{k}") for k in range(4) for n, f in (("t", F.sum), ("p", lambda x: F.sum(F.col("pos") * x)))])
+    rows = F.array(*[F.struct(F.lit(k).alias("ix"), F.col(f"t{k}").alias("total"), F.col(f"p{k}").alias("placed")) for k in range(4)])
+    return sums.select("name", F.explode(rows).alias("x")).select("name", "x.*")
 
 
-@query("decode", "SELECT name, substr(seq, 1, 60) AS seq FROM seq", ("seq",))
+@query("decode", "SELECT name, seq FROM seq", ("seq",))
 def decode(spark, d):
-    return B.seq(spark, d).select("name", A.decode(A.one_hot(F.substring("seq", 1, 60))).alias("seq"))
+    return B.seq(spark, d).select("name", A.decode(A.one_hot(F.col("seq"))).alias("seq"))
 
 
-@query("rc_encoding", f"SELECT name, {_RC.format('substr(seq, 1, 60)')} AS rc FROM seq", ("seq",))
+@query("rc_encoding", f"SELECT name, {_RC.format('seq')} AS rc FROM seq", ("seq",))
 def rc_encoding(spark, d):
-    return B.seq(spark, d).select("name", A.decode(A.reverse_complement_encoding(A.one_hot(F.substring("seq", 1, 60)))).alias("rc"))
+    return B.seq(spark, d).select("name", A.decode(A.reverse_complement_encoding(A.one_hot(F.col("seq")))).alias("rc"))
 
 
-@query("unknown_flag", """SELECT name, contains(substr(seq, 1, 12), 'N') AS contains_unk,
-round(1 - length(regexp_replace(substr(seq, 1, 200), '[^ACGTacgt]', '', 'g')) / nullif(length(substr(seq, 1, 200)), 0)::DOUBLE, 6) AS share FROM seq""", ("seq",))
+@query("unknown_flag", """SELECT name, contains(seq, 'N') AS contains_unk,
+round(1 - length(regexp_replace(seq, '[^ACGTacgt]', '', 'g')) / nullif(length(seq), 0)::DOUBLE, 6) AS share FROM seq""", ("seq",))
 def unknown_flag(spark, d):
     s = B.seq(spark, d)
-    return s.select("name", A.has_unknown(F.substring("seq", 1, 12)).alias("contains_unk"), F.round(A.ambiguous_share(F.substring("seq", 1, 200)), 6).alias("share"))
+    return s.select("name", A.has_unknown(F.col("seq")).alias("contains_unk"), F.round(A.ambiguous_share(F.col("seq")), 6).alias("share"))
 
 
-@query("candidate_filters", """SELECT name FROM dense WHERE length(seq) >= 100 AND name::VARCHAR NOT LIKE '%7%'
-AND 1 - length(regexp_replace(substr(seq, 1, 100), '[^ACGTacgt]', '', 'g')) / 100.0 <= 0.30""", ("dense",))
+@query("candidate_filters", """SELECT name FROM seq WHERE length(seq) >= 100 AND name::VARCHAR NOT LIKE '%7%'
+AND 1 - length(regexp_replace(seq, '[^ACGTacgt]', '', 'g')) / length(seq)::DOUBLE <= 0.80""", ("seq",))
 def candidate_filters(spark, d):
-    s = B.dense(spark, d).filter(F.length("seq") >= 100).filter(~sampling.excluded(F.col("name").cast("string"), ["7"]))
-    return s.filter(A.ambiguous_share(F.substring("seq", 1, 100)) <= 0.30).select("name")
+    s = B.seq(spark, d).filter(F.length("seq") >= 100)
+    return A.clear_candidates(s.filter(~sampling.excluded(F.col("name").cast("string"), ["7"])), "seq", 0.80).select("name")
 
 
-@query("bits_pack_unpack", """WITH s AS (SELECT name, substr(seq, 1, 37) AS q FROM dense WHERE length(seq) > 0),
+@query("bits_pack_unpack", """WITH s AS (SELECT name, seq AS q FROM dense WHERE length(seq) > 0),
 b AS (SELECT name, unnest(range((length(q) + 7) // 8)) AS ix, q FROM s)
 SELECT name, ix::INT AS ix, list_sum(list_transform(range(8), lambda k: CASE WHEN upper(substr(q, (ix * 8 + k + 1)::BIGINT, 1)) IN ('A', 'C') THEN 2 ** (7 - k) ELSE 0 END))::INT AS byte, true AS same FROM b""", ("dense",))
 def bits_pack_unpack(spark, d):
     s = B.dense(spark, d).filter(F.length("seq") > 0)
-    bits = F.transform(A.symbols(F.upper(F.substring("seq", 1, 37))), lambda c: c.isin("A", "C").cast("int"))
+    bits = F.transform(A.symbols(F.upper("seq")), lambda c: c.isin("A", "C").cast("int"))
     packed = s.select("name", bits.alias("bits")).withColumn("packed", A.pack_bits(F.col("bits")))
     packed = packed.withColumn("same", A.unpack_bits(F.col("packed"), F.size("bits")) == F.col("bits"))
     return packed.select("name", "same", F.posexplode("packed").alias("ix", "byte"))
 
 
 @query("center_crop", """SELECT name, array_to_string(list_slice(l, len(l) // 2 - 11 + 2 + 1, len(l) // 2 - 11 + 2 + 21), '') AS seq
-FROM (SELECT name, string_split(substr(seq, 1, 100), '') AS l FROM seq WHERE length(seq) >= 100)""", ("seq",))
+FROM (SELECT name, string_split(seq, '') AS l FROM seq WHERE length(seq) >= 100 AND length(seq) % 2 = 0)""", ("seq",))
 def center_crop(spark, d):
-    s = B.seq(spark, d).filter(F.length("seq") >= 100)
-    return s.select("name", F.array_join(A.center_crop(A.symbols(F.substring("seq", 1, 100)), 21, 2), "").alias("seq"))
+    s = B.seq(spark, d).filter("length(seq) >= 100 and length(seq) % 2 = 0")
+    return s.select("name", F.array_join(A.center_crop(A.symbols(F.col("seq")), 21, 2), "").alias("seq"))
 
 
 @query("window_geometry", """SELECT id, qs + 100 - 50 AS even_start, qs + 100 + 50 AS even_end, qs + 100 - 51 AS odd_predict_start, qs + 100 + 50 AS odd_predict_end,
@@ -294,78 +295,102 @@ def cyclic_read(spark, d):
 
 # --- mutagenesis and variants ------------------------------------------------------------------
 
-_ISM = """s AS (SELECT name, substr(seq, 1, 20) AS seq FROM dense WHERE length(seq) >= 20), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS alt),
-m AS (SELECT name, seq, pos, substr(seq, (pos + 1)::BIGINT, 1) AS ref, alt FROM s, (SELECT unnest(range(20)) AS pos), b WHERE substr(seq, (pos + 1)::BIGINT, 1) <> alt)"""
+SPAN, PAIR_SPAN = 20, 3  # mutagenesis works on windows of so many positions, which cover the whole of every sequence
 
+_SPANS = "s AS (SELECT name || ':' || w AS name, {0}(substr(seq, w * {1} + 1, {1})) AS seq FROM (SELECT *, unnest(range((length(seq) + {1} - 1) // {1})) AS w FROM dense)), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS alt)"
+_MUTANTS = "m AS (SELECT name, seq, pos, substr(seq, (pos + 1)::BIGINT, 1) AS ref, alt FROM s, (SELECT unnest(range({0})) AS pos), b WHERE pos < length(seq) AND substr(seq, (pos + 1)::BIGINT, 1) <> alt)"
+_ISM = f"{_SPANS.format('', SPAN)}, {_MUTANTS.format(SPAN)}"
+_OF = "split_part(name, ':', 1)::BIGINT AS name"
 
-def _short(spark, d, n=20):
-    return B.dense(spark, d).filter(F.length("seq") >= n).select("name", F.substring("seq", 1, n).alias("seq"))
 
+def _windows(spark, d, span=SPAN):
+    """name (of the sequence, and the window's number), seq: windows that cover the letters of every document."""
+    at = F.posexplode(A.chunks(F.col("seq"), span)).alias("w", "part")
+    return B.dense(spark, d).select("name", at).select(F.concat_ws(":", "name", "w").alias("name"), F.col("part").alias("seq"))
 
-@query("ism_single", f"WITH {_ISM} SELECT name, pos::VARCHAR AS pos, ref, alt, substr(seq, 1, pos::BIGINT) || alt || substr(seq, (pos + 2)::BIGINT) AS mutated FROM m", ("dense",))
-def ism_single(spark, d):
-    m = mutagenesis.mutations(_short(spark, d))
+
+def _named(df):
+    return df.withColumn("name", F.substring_index("name", ":", 1).cast("long"))
+
+
+_MUTANT_SUMS = f"SELECT {_OF}, ref, alt, count(*) AS n, sum(length(mutated))::BIGINT AS letters, min(mutated) AS first, max(mutated) AS last FROM r GROUP BY ALL"
+
+
+def _mutant_sums(m):
+    """Of the mutants of each sequence and kind of mutation: how many, how long, and the first and last of them."""
     part = lambda p: mutagenesis.mutation_id(F.col("muts"), p).alias(p)
-    return m.select("name", part("pos"), part("ref"), part("alt"), mutagenesis.mutate(F.col("seq"), F.col("muts")).alias("mutated"))
+    rows = _named(m.select("name", part("ref"), part("alt"), mutagenesis.mutate(F.col("seq"), F.col("muts")).alias("mutated")))
+    return rows.groupBy("name", "ref", "alt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("mutated")).alias("letters"), F.min("mutated").alias("first"), F.max("mutated").alias("last"))
 
 
-@query("ism_double", """WITH s AS (SELECT name, substr(seq, 1, 6) AS seq FROM dense WHERE length(seq) >= 6), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS alt), r AS (SELECT unnest(range(6)) AS pos),
-m AS (SELECT name, seq, pos, substr(seq, (pos + 1)::BIGINT, 1) AS ref, alt FROM s, r, b WHERE substr(seq, (pos + 1)::BIGINT, 1) <> alt)
-SELECT x.name, x.pos || ';' || y.pos AS pos, x.ref || ';' || y.ref AS ref, x.alt || ';' || y.alt AS alt,
-substr(x.seq, 1, x.pos::BIGINT) || x.alt || substr(x.seq, (x.pos + 2)::BIGINT, (y.pos - x.pos - 1)::BIGINT) || y.alt || substr(x.seq, (y.pos + 2)::BIGINT) AS mutated FROM m x JOIN m y ON x.name = y.name AND x.pos < y.pos""", ("dense",))
+@query("ism_single", f"WITH {_ISM}, r AS (SELECT name, ref, alt, substr(seq, 1, pos::BIGINT) || alt || substr(seq, (pos + 2)::BIGINT) AS mutated FROM m) {_MUTANT_SUMS}", ("dense",))
+def ism_single(spark, d):
+    return _mutant_sums(mutagenesis.mutations(_windows(spark, d)))
+
+
+@query("ism_double", f"""WITH {_SPANS.format('', PAIR_SPAN)}, {_MUTANTS.format(PAIR_SPAN)}, r AS (SELECT x.name, x.ref || ';' || y.ref AS ref, x.alt || ';' || y.alt AS alt,
+substr(x.seq, 1, x.pos::BIGINT) || x.alt || substr(x.seq, (x.pos + 2)::BIGINT, (y.pos - x.pos - 1)::BIGINT) || y.alt || substr(x.seq, (y.pos + 2)::BIGINT) AS mutated FROM m x JOIN m y ON x.name = y.name AND x.pos < y.pos) {_MUTANT_SUMS}""", ("dense",))
 def ism_double(spark, d):
-    m = mutagenesis.mutations(_short(spark, d, 6), n=2)
-    part = lambda p: mutagenesis.mutation_id(F.col("muts"), p).alias(p)
-    return m.select("name", part("pos"), part("ref"), part("alt"), mutagenesis.mutate(F.col("seq"), F.col("muts")).alias("mutated"))
+    return _mutant_sums(mutagenesis.mutations(_windows(spark, d, PAIR_SPAN), n=2))
 
 
 def _ism_scores(spark, d):
-    m = mutagenesis.mutations(_short(spark, d).withColumn("seq", F.upper("seq")))
+    m = mutagenesis.mutations(_windows(spark, d).withColumn("seq", F.upper("seq")))
     one = m.select("name", F.col("muts")[0]["pos"].alias("pos"), F.col("muts")[0]["ref"].alias("ref"), F.col("muts")[0]["alt"].alias("alt"))
     return one.withColumn("score", F.round(((F.col("pos") + 1) * (F.instr(F.lit("ACGT"), F.col("alt")) + 1) % 7) / 7.0, 6))
 
 
-_ISM_UP = _ISM.replace("substr(seq, 1, 20) AS seq", "upper(substr(seq, 1, 20)) AS seq")
+_ISM_UP = f"{_SPANS.format('upper', SPAN)}, {_MUTANTS.format(SPAN)}"
 _ISM_SCORE = "round(((pos + 1) * (instr('ACGT', alt) + 1) % 7) / 7.0::DOUBLE, 6)"
+_MATRIX = f"WITH {_ISM_UP}, x AS (SELECT name, pos, alt AS base, {_ISM_SCORE} AS score FROM m UNION ALL SELECT DISTINCT name, pos, ref, 0.5::DOUBLE FROM m)"
 
 
-@query("ism_matrix", f"""WITH {_ISM_UP} SELECT name, pos::INT AS pos, alt AS base, {_ISM_SCORE} AS score FROM m
-UNION ALL SELECT DISTINCT name, pos::INT, ref, 0.5::DOUBLE FROM m""", ("dense",))
-def ism_matrix(spark, d):
+def _place_sums(value="score", more=""):
+    """SQL over ``r``: sums over a sequence's windows by place and base, in millionths, so that they are exact."""
+    return f" SELECT {_OF}, pos::INT AS pos, base{more}, count(*) AS n, sum(round({value} * 1e6)::BIGINT)::BIGINT AS {value} FROM r GROUP BY ALL"
+
+
+def _by_place(m, value="score", *more):
+    exact = F.sum(F.round(F.col(value) * 1e6).cast("long")).alias(value)
+    return _named(m).groupBy("name", "pos", "base", *more).agg(F.count(F.lit(1)).alias("n"), exact)
+
+
+def _score_matrix(spark, d):
     return mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5)
 
 
-@query("ism_reference", "SELECT name, upper(substr(seq, 1, 20)) AS seq, true AS consistent FROM dense WHERE length(seq) >= 20", ("dense",))
-def ism_reference(spark, d):
-    return mutagenesis.reference_sequence(_ism_scores(spark, d), "name")
+@query("ism_matrix", _MATRIX.replace("x AS (SELECT", "r AS (SELECT") + _place_sums(), ("dense",))
+def ism_matrix(spark, d):
+    return _by_place(_score_matrix(spark, d))
 
 
-_MATRIX = f"WITH {_ISM_UP}, x AS (SELECT name, pos, alt AS base, {_ISM_SCORE} AS score FROM m UNION ALL SELECT DISTINCT name, pos, ref, 0.5::DOUBLE FROM m)"
+@query("ism_reference", f"WITH {_SPANS.format('upper', SPAN)} SELECT name, seq, true AS consistent FROM s", ("dense",))
+def ism_reference(spark, d):
+    return mutagenesis.reference_sequence(_ism_scores(spark, d), "name")
 
 
 @query("rescale_scores", _MATRIX + """, y AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM x WINDOW w AS (PARTITION BY name, pos)),
-z AS (SELECT *, sum(score - lo) OVER (PARTITION BY name, pos) AS t FROM y)
-SELECT name, pos::INT AS pos, base, round((score - lo) / nullif(t, 0) * (hi - lo), 6) AS score FROM z""", ("dense",))
+z AS (SELECT *, sum(score - lo) OVER (PARTITION BY name, pos) AS t FROM y),
+r AS (SELECT name, pos, base, round((score - lo) / nullif(t, 0) * (hi - lo), 6) AS score FROM z)""" + _place_sums(), ("dense",))
 def rescale_scores(spark, d):
-    m = mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5)
-    return interpret.rescale(m, ["name"], "max_effect", "max_effect").withColumn("score", F.round("score", 6))
+    return _by_place(interpret.rescale(_score_matrix(spark, d), ["name"], "max_effect", "max_effect").withColumn("score", F.round("score", 6)))
 
 
-@query("rescale_probability", _MATRIX + """ SELECT name, pos::INT AS pos, base, round(score / nullif(sum(score) OVER (PARTITION BY name, pos), 0) / nullif(sum(score) OVER (PARTITION BY name, pos), 0), 6) AS score FROM x""", ("dense",))
+@query("rescale_probability", _MATRIX + """, r AS (SELECT name, pos, base,
+round(score / nullif(sum(score) OVER (PARTITION BY name, pos), 0) / nullif(sum(score) OVER (PARTITION BY name, pos), 0), 6) AS score FROM x)""" + _place_sums(), ("dense",))
 def rescale_probability(spark, d):
-    m = mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5)
-    return interpret.rescale(m, ["name"], "probability", "probability").withColumn("score", F.round("score", 6))
+    return _by_place(interpret.rescale(_score_matrix(spark, d), ["name"], "probability", "probability").withColumn("score", F.round("score", 6)))
 
 
-@query("logo_offsets", _MATRIX + """ SELECT name, pos::INT AS pos, base, score - 0.4 AS score, round(coalesce(sum(score - 0.4) OVER (PARTITION BY name, pos, sign(score - 0.4) ORDER BY abs(score - 0.4), base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS "offset" FROM x""", ("dense",))
+@query("logo_offsets", _MATRIX + """, r AS (SELECT name, pos, base, round(coalesce(sum(score - 0.4) OVER (PARTITION BY name, pos, sign(score - 0.4) ORDER BY abs(score - 0.4), base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS "offset" FROM x)""" + _place_sums('"offset"'), ("dense",))
 def logo_offsets(spark, d):
-    m = mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5).withColumn("score", F.col("score") - 0.4)
-    return interpret.logo_offsets(m, ["name"]).withColumn("offset", F.round("offset", 6))
+    m = _score_matrix(spark, d).withColumn("score", F.col("score") - 0.4)
+    return _by_place(interpret.logo_offsets(m, ["name"]).withColumn("offset", F.round("offset", 6)), "offset")
 
 
-@query("heatmap_rows", _MATRIX + " SELECT name, pos::INT AS pos, base, score, (4 - instr('ACGT', base))::INT AS row FROM x", ("dense",))
+@query("heatmap_rows", _MATRIX + ", r AS (SELECT name, pos, base, score, (4 - instr('ACGT', base))::INT AS row FROM x)" + _place_sums(more=", row"), ("dense",))
 def heatmap_rows(spark, d):
-    return interpret.heatmap_order(mutagenesis.score_matrix(_ism_scores(spark, d), "name", "score", 0.5), "ACGT")
+    return _by_place(interpret.heatmap_order(_score_matrix(spark, d), "ACGT"), "score", "row")
 
 
 def _variant_rows(spark, d):
@@ -392,7 +417,7 @@ def vcf_normalise(spark, d):
 
 
 def _snvs(spark, d):
-    li = B.read(spark, d, "lineitem").filter("l_linenumber <= 2")
+    li = B.read(spark, d, "lineitem")
     n = B.read(spark, d, "documents").count()
     base = lambda c: F.substring(F.lit("ACGTACGT"), (F.col(c) % 8 + 1).cast("int"), F.lit(1))
     return li.select(
@@ -405,7 +430,7 @@ def _snvs(spark, d):
 
 @query("variant_ref_alt", """WITH v AS (SELECT l_orderkey || '-' || l_linenumber AS variant, l_partkey % (SELECT count(*) FROM documents) AS chrom, (40 + l_orderkey % 60)::INT AS pos,
  substr('ACGTACGT', l_partkey % 8 + 1, 1) AS ref, CASE WHEN l_quantity > 35 THEN substr('ACGTACGT', l_suppkey % 8 + 1, 1) || substr('ACGTACGT', l_orderkey % 8 + 1, 1) WHEN l_quantity < 15 THEN '*' ELSE substr('ACGTACGT', l_orderkey % 8 + 1, 1) END AS alt,
- CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM lineitem WHERE l_linenumber <= 2),
+ CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM lineitem),
 w AS (SELECT v.*, seq AS whole, substr(seq, pos - 10 + 1, 20) AS win FROM v JOIN seq ON chrom = name WHERE pos - 10 >= 0 AND pos + 10 <= length(seq)),
 a AS (SELECT *, CASE WHEN alt = '*' THEN substr(whole, pos + 1 - 10 + 1, 10) || substr(whole, pos + 3, 10)
   WHEN length(alt) = 1 THEN substr(win, 1, 9) || alt || substr(win, 11) ELSE substr(substr(win, 1, 9) || alt || substr(win, 11), 1, 20) END AS alt_seq,
@@ -555,10 +580,10 @@ def rank_sum_p(spark, d):
     return stats.false_discovery(stats.upper_tail(stats.rank_sum(s, "feature", "score", "group")), "p")
 
 
-@query("bh_fdr", """WITH p AS (SELECT id, score AS p, count(*) OVER () AS m FROM scores WHERE feature = 'f0'), r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p)
-SELECT id, p, round(least(min(p * m / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING), 1.0), 6) AS q FROM r""", ("scores",))
+@query("bh_fdr", """WITH p AS (SELECT id, feature, score AS p, count(*) OVER () AS m FROM scores), r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p)
+SELECT id, feature, p, round(least(min(p * m / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING), 1.0), 6) AS q FROM r""", ("scores",))
 def bh_fdr(spark, d):
-    p = B.scores(spark, d).filter("feature = 'f0'").select("id", F.col("score").alias("p"))
+    p = B.scores(spark, d).select("id", "feature", F.col("score").alias("p"))
     return stats.false_discovery(p, "p").withColumn("q", F.round("q", 6))
 
 
@@ -617,8 +642,7 @@ def zscore_by_train(spark, d):
 
 @query("ordered_features", "SELECT id, feature, score, CASE feature WHEN 'f2' THEN 0 ELSE 1 END AS feature_ix FROM scores WHERE feature IN ('f2', 'f0')", ("scores",))
 def ordered_features(spark, d):
-    s = prep.ordered_features(B.scores(spark, d).select("id", "feature", "score"), ["f2", "f0", "unknown"])
-    return s.withColumn("feature_ix", F.when(F.col("feature") == "f2", 0).otherwise(1))
+    return prep.ordered_features(B.scores(spark, d).select("id", "feature", "score"), ["f2", "f0", "unknown"])
 
 
 @query("feature_parts", "SELECT p_partkey AS id, p_brand AS cell, p_type AS target, p_name AS treatment FROM part")
