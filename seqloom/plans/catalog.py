@@ -12,7 +12,7 @@ from seqloom.functions import alphabet as A
 from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep, sampling, sequences, stats, variants
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
-from seqloom.plans import training
+from seqloom.plans import runs, training
 from seqloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,6 +442,17 @@ def variant_ref_alt(spark, d):
     return variants.windows(_snvs(spark, d), s, 20)
 
 
+@query("variant_effects")
+def variant_effects(spark, d):
+    effects = runs.variant_effects(_snvs(spark, d), B.seq(spark, d), 20, runs.letter_shares(), ("diffs",))
+    return S.long_form(effects, ["variant"], "diffs", list("ACGT")).withColumn("score", F.round("score", 6))
+
+
+_head, _, _tail = ORACLES["variant_ref_alt"].rpartition("\nSELECT variant,")
+_SHARE = "(length({0}) - length(replace({0}, l, ''))) / greatest(length({0}), 1)::DOUBLE"
+ORACLES["variant_effects"] = f"{_head},\ne AS (SELECT variant,{_tail}) SELECT variant, l AS feature, round({_SHARE.format('alt_seq')} - {_SHARE.format('ref_seq')}, 6) AS score FROM e, (SELECT unnest(['A', 'C', 'G', 'T']) AS l)"
+
+
 @query("variant_order", """SELECT id, chrom, pos, row_number() OVER (ORDER BY CASE WHEN chrom IN ('chrX') THEN 23 WHEN chrom = 'chrY' THEN 24 WHEN chrom = 'chrM' THEN 25 WHEN try_cast(substr(chrom, 4) AS INT) BETWEEN 1 AND 22 THEN substr(chrom, 4)::INT ELSE 26 END, chrom, pos, id) AS place
 FROM (SELECT id, qs AS pos, 'chr' || CASE chrom % 30 WHEN 23 THEN 'X' WHEN 24 THEN 'Y' WHEN 25 THEN 'M' ELSE (chrom % 30)::VARCHAR END AS chrom FROM win)""", ("win",))
 def variant_order(spark, d):
@@ -562,6 +573,15 @@ def macro_avg(spark, d):
     return metrics.macro_average(metrics.roc_auc(B.scores(spark, d)), "roc_auc").withColumn("roc_auc", F.round("roc_auc", 6))
 
 
+@query("evaluate_features", """WITH o AS (SELECT 'f2' AS feature, 0 AS ix UNION ALL SELECT 'f0', 1), v AS (SELECT feature, score, sum(target) AS p, count(*) AS n FROM scores GROUP BY ALL),
+c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY feature) AS pt, sum(n) OVER (PARTITION BY feature) AS nt FROM v WINDOW w AS (PARTITION BY feature ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT feature, ix::INT AS feature_ix, max(pt)::BIGINT AS positives, round((sum(p * (nt - seen + (n + 1) / 2)) - max(pt) * (max(pt) + 1) / 2) / (max(pt) * (max(nt) - max(pt))), 6) AS roc_auc,
+round(sum(p * tp / seen) / max(pt), 6) AS average_precision FROM c JOIN o USING (feature) GROUP BY feature, ix""", ("scores",))
+def evaluate_features(spark, d):
+    table = runs.evaluate(B.scores(spark, d), ["f2", "f0", "unknown"])
+    return table.withColumns({m: F.round(m, 6) for m in ("roc_auc", "average_precision")})
+
+
 @query("count_positives", "SELECT feature, sum(target)::BIGINT AS positives FROM scores GROUP BY feature", ("scores",))
 def count_positives(spark, d):
     return metrics.positives(B.scores(spark, d))

@@ -89,8 +89,9 @@ def vcf(spark: SparkSession, path: str, sequences_table: DataFrame | None = None
 
 
 def prediction_regions(spark: SparkSession, path: str, sizes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Regions of a BED file, re-centred to ``length``, with their line number; and the malformed lines."""
-    row = lines(spark, path).withColumn("c", F.split("feature", "\t"))
+    """Regions of a BED file, re-centred to ``length``, with a number that grows with their line; and the malformed lines."""
+    text = spark.read.text(path).filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("feature"))
+    row = text.withColumn("c", F.split("feature", "\t"))
     good = (F.size("c") >= 3) & F.get("c", F.lit(1)).rlike("^[0-9]+$") & F.get("c", F.lit(2)).rlike("^[0-9]+$")
     parsed = row.withColumn("name", F.get("c", F.lit(0))).join(sizes.select("name", "length"), "name", "left")
     parsed = parsed.withColumn("_ok", F.coalesce(good & F.col("length").isNotNull(), F.lit(False)))
