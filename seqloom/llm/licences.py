@@ -5,7 +5,8 @@ document becomes the sequence of its numbers, and ordered licence rules, each a
 The table of sentences is of fixed size and stands in the plan as a literal map: nothing is shuffled.
 
 Defined cases: null and empty texts have no sentences; repeated sentences count as often as they stand; sentences that are
-part of a longer unknown sentence are not recognised; an empty table gives no rows; extra columns are ignored.
+part of a longer unknown sentence are not recognised; where a licence's run holds another's, the longer rule wins; very long texts are read whole; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +46,24 @@ SENTENCES = {
     43: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     50: "this source code form is subject to the terms of the mozilla public license v 2 0",
     60: "this is free and unencumbered software released into the public domain",
+    70: "spdx license identifier mit",
+    71: "spdx license identifier apache 2 0",
+    72: "spdx license identifier gpl 3 0 only",
+    73: "spdx license identifier gpl 3 0 or later",
+    74: "spdx license identifier gpl 2 0 only",
+    75: "spdx license identifier gpl 2 0 or later",
+    76: "spdx license identifier bsd 3 clause",
+    77: "spdx license identifier bsd 2 clause",
+    78: "spdx license identifier mpl 2 0",
+    79: "spdx license identifier unlicense",
+    80: "spdx license identifier isc",
+    81: "spdx license identifier cc by 4 0",
+    82: "spdx license identifier cc by sa 4 0",
+    90: "licensed under cc by nc sa 4 0",
+    91: "licensed under cc by nd 4 0",
+    92: "licensed under cc by nc nd 4 0",
+    93: "licensed under cc0 1 0",
+    100: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 }
 # Ordered rules, licence and the run of sentence numbers that it asks for.
 RULES = (
@@ -54,10 +73,22 @@ RULES = (
     ("cc-by-nc-4.0", (30,)), ("cc-by-nc-4.0", (34,)), ("cc-by-4.0", (31,)), ("cc-by-4.0", (33,)), ("cc-by-sa-4.0", (32,)),
     ("bsd-3-clause", (40, 41, 42, 43)), ("bsd-2-clause", (40, 41, 42)),
     ("mpl-2.0", (50,)), ("unlicense", (60,)),
+    ("mit", (70,)), ("apache-2.0", (71,)), ("gpl-3.0", (72,)), ("gpl-3.0", (73,)), ("gpl-2.0", (74,)), ("gpl-2.0", (75,)),
+    ("bsd-3-clause", (76,)), ("bsd-2-clause", (77,)), ("mpl-2.0", (78,)), ("unlicense", (79,)), ("isc", (80,)), ("isc", (100,)),
+    ("cc-by-4.0", (81,)), ("cc-by-sa-4.0", (82,)), ("cc-by-nc-sa-4.0", (90,)), ("cc-by-nd-4.0", (91,)), ("cc-by-nc-nd-4.0", (92,)), ("cc0-1.0", (93,)),
 )
 LICENCES = tuple(dict.fromkeys(name for name, _ in RULES))
 
 
+def written_run(run: tuple[int, ...]) -> str:
+    return "," + ",".join(map(str, run)) + ","
+
+
+def longer_runs(name: str, run: tuple[int, ...]) -> list[str]:
+    """Runs of other licences that hold this one: where they stand, the longer rule wins."""
+    return [written_run(r) for n, r in RULES if n != name and len(r) > len(run) and written_run(run) in written_run(r)]
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences in order, without empty ones. A sentence ends at a line's end, or at . ! ? before white space."""
     ends = F.regexp_replace(ascii_lower(text), r"[.!?]+[ \t\r\n]+|[.!?]+$|\n", "\u0001")
@@ -100,13 +131,16 @@ def scan(docs: DataFrame) -> DataFrame:
     both = F.concat(sequence("n"), F.lit(";"), sequence("u"))
     table = numbered.select("doc_id", F.size("n").alias("n_sentences"), F.filter("n", lambda x: x != 0).alias("k"), both.alias("sequence"))
 
-    def has(run):
-        return F.contains(F.col("sequence"), F.lit("," + ",".join(map(str, run)) + ","))
+    def has(name, run):
+        left = F.col("sequence")
+        for longer in longer_runs(name, run):
+            left = F.replace(left, F.lit(longer), F.lit(","))
+        return F.contains(left, F.lit(written_run(run)))
 
     found = []
     for name in LICENCES:
         match = F.lit(False)
         for rule, run in RULES:
-            match = match | has(run) if rule == name else match
+            match = match | has(name, run) if rule == name else match
         found.append(F.when(match, F.lit(name)))
     return table.select("doc_id", "n_sentences", F.array_join("k", ",").alias("known"), F.array_join(F.filter(F.array(*found), lambda x: x.isNotNull()), ",").alias("licences"))

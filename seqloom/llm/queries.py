@@ -74,9 +74,11 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op8_sql() -> str:
     known = ", ".join(f"('{s}', {n})" for n, s in licences.SENTENCES.items())
-    rules = ", ".join(f"('{name}', ',{','.join(map(str, run))},', {licences.LICENCES.index(name)})" for name, run in licences.RULES)
+    longer = [licences.longer_runs(name, run) for name, run in licences.RULES]
+    assert max(map(len, longer)) == 1  # the SQL cuts out one longer run
+    rules = ", ".join(f"('{name}', '{licences.written_run(run)}', '{''.join(cut)}', {licences.LICENCES.index(name)})" for (name, run), cut in zip(licences.RULES, longer, strict=True))
     return rf"""
-WITH known(s, n) AS (VALUES {known}), rules(name, run, place) AS (VALUES {rules}),
+WITH known(s, n) AS (VALUES {known}), rules(name, run, cut, place) AS (VALUES {rules}),
 k AS (SELECT map_from_entries(list((s, n))) AS m FROM known),
 cut AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
@@ -89,7 +91,7 @@ cut AS (
   SELECT doc_id, len(l) AS n_sentences, list_transform(l, lambda x: coalesce(m[x], 0)) AS n FROM cut, k
 ), sequences AS (SELECT *, ',' || array_to_string(n, ',') || ',' AS q FROM numbered)
 SELECT doc_id, n_sentences::INT AS n_sentences, array_to_string(list_filter(n, lambda x: x <> 0), ',') AS known,
-  coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM (SELECT DISTINCT name, place FROM rules WHERE contains(q, run))), '') AS licences
+  coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM (SELECT DISTINCT name, place FROM rules WHERE contains(CASE WHEN cut = '' THEN q ELSE replace(q, cut, ',') END, run))), '') AS licences
 FROM sequences
 """
 

@@ -436,6 +436,13 @@ def test_licences(spark):
     assert got == {1: ("mit", "3,4,5"), 2: ("mit,apache-2.0", "10,1"), 3: ("", ""), 4: ("", ""), 5: ("", "5,4,3")}
 
 
+def test_licence_tags_and_longer_rules(spark):
+    bsd = [licences.SENTENCES[k].capitalize() + "." for k in (40, 41, 42, 43)]
+    texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under CC BY-NC-SA 4.0.", "\n".join(bsd), "\n".join(bsd[:3]), "\n".join(bsd + ["Other."] + bsd[:3])]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "mit", 1: "gpl-2.0", 2: "cc-by-nc-sa-4.0", 3: "bsd-3-clause", 4: "bsd-2-clause", 5: "bsd-3-clause,bsd-2-clause"}
+
+
 MIT = """Copyright (c) 2020 Someone
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -493,8 +500,8 @@ def test_licences_in_their_published_wrapped_form(spark):
     commented = "/*\n" + "".join(f" * {line}\n".replace("  \n", "\n") for line in APACHE.split("\n")) + " */"
     expected = {
         MIT: "mit", APACHE: "apache-2.0", commented: "apache-2.0", GPL: "gpl-3.0", GPL.replace("version 3", "version 2"): "gpl-2.0",
-        BSD: "bsd-2-clause", BSD3: "bsd-3-clause,bsd-2-clause", BSD3.replace("\n\n", "\n"): "bsd-3-clause,bsd-2-clause",
-        BSD3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("\n", "\r\n"): "bsd-3-clause,bsd-2-clause",
+        BSD: "bsd-2-clause", BSD3: "bsd-3-clause", BSD3.replace("\n\n", "\n"): "bsd-3-clause",
+        BSD3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("\n", "\r\n"): "bsd-3-clause",
         "Some\nLicensed under the MIT License\nwords": "mit", "not released\nunder the MIT license": "",
     }
     d = spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string")
