@@ -48,6 +48,20 @@ def variant_order(variants: DataFrame) -> DataFrame:
     return variants.orderBy(chromosome_key(F.col("chrom")), "chrom", "pos", "ref", "alt")
 
 
+def variant_places(variants: DataFrame, tie: str, width: int = 1 << 16) -> DataFrame:
+    """T1 as a column: ``place`` from 1 by chromosome key, chromosome, position and ``tie``.
+
+    Rows are numbered within buckets of ``width`` positions of a chromosome; one row per bucket carries the counts before it.
+    """
+    rows = variants.withColumn("_key", chromosome_key(F.col("chrom"))).withColumn("_bucket", F.floor(F.col("pos") / width))
+    bucket = ["_key", "chrom", "_bucket"]
+    before = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).select(F.struct(*bucket).alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*bucket).orderBy("pos", tie))
+    placed = rows.withColumn("_inside", inside).join(sizes, F.struct(*bucket).eqNullSafe(F.col("_at")))
+    return placed.withColumn("place", F.col("_before") + F.col("_inside")).drop("_key", "_bucket", "_inside", "_before", "_at")
+
+
 def hover_text(chrom: Column, pos: Column, ref: Column, alt: Column, genes: Column | None = None) -> Column:
     """A variant's label, with its genes if there are any."""
     label = F.concat_ws(" ", chrom, pos.cast("string"), F.concat_ws("/", ref, alt))

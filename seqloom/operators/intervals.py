@@ -8,11 +8,13 @@ range join into a hash or sort-merge join which the adaptive planner can split w
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1000
+WIDTH = 1 << 16  # coordinates of a bucket, the most rows that a window holds here
 
 
 def _binned(df: DataFrame, start: str, end: str, name: str, size: int) -> DataFrame:
@@ -94,38 +96,71 @@ def target_means(queries: DataFrame, features: DataFrame, targets: DataFrame, ke
     return every.join(means, [*key, "pos"], "left").withColumn("mean", F.coalesce("mean", F.lit(float("nan"))))
 
 
-def merge(intervals: DataFrame, by: Sequence[str] = ("chrom",)) -> DataFrame:
-    """The union of overlapping or touching intervals, per group."""
-    before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
-    island = intervals.withColumn("_new", new).withColumn("_island", F.sum("_new").over(upto))
-    return island.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+def _with(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what was carried to their keys; null keys meet as well."""
+    named = carried.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
 
 
-def nearest(points: DataFrame, genes: DataFrame, key: Sequence[str], bin_size: int = BIN) -> DataFrame:
+def merge(intervals: DataFrame, by: Sequence[str] = ("chrom",), width: int = WIDTH) -> DataFrame:
+    """The union of overlapping or touching intervals, per group.
+
+    Islands are found within buckets of ``width`` starts, of which each start stands once with its greatest end; what carries
+    over between the buckets of a group is one row for each of them. A bucket's first rows can continue an island of an earlier one.
+    """
+    starts = intervals.groupBy(*by, "start").agg(F.max("end").alias("end")).withColumn("_bucket", F.floor(F.col("start") / width))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("start")
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = starts.groupBy(*by, "_bucket").agg(F.max("end").alias("_end"))
+    reached = ends.select(*by, "_bucket", F.max("_end").over(earlier).alias("_reached"))
+    rows = _with(starts, reached, [*by, "_bucket"])
+    before = F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("start") > F.greatest(before, F.col("_reached"))).cast("int"), F.lit(1))
+    rows = rows.withColumn("_new", new)
+    rows = rows.withColumn("_island", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = rows.groupBy(*by, "_bucket", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    last = pieces.groupBy(*by, "_bucket").agg(F.max("_island").alias("_last"))
+    own = F.when(F.col("_last") > 0, F.struct(F.col("_bucket").alias("bucket"), F.col("_last").alias("island")))
+    owners = last.select(*by, "_bucket", F.max(own).over(earlier).alias("_owner"))
+    first = F.struct(F.col("_bucket").alias("bucket"), F.col("_island").alias("island"))
+    owned = _with(pieces, owners, [*by, "_bucket"]).withColumn("_owner", F.when(F.col("_island") == 0, F.col("_owner")).otherwise(first))
+    return owned.groupBy(*by, "_owner").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_owner")
+
+
+def nearest(points: DataFrame, genes: DataFrame, key: Sequence[str], bin_size: int = BIN, width: int = WIDTH) -> DataFrame:
     """The genes over each position; where there is none, the nearest ones, ties included.
 
     ``points`` has chrom, pos; ``genes`` chrom, fs, fe, gene. The nearest end on the left and the nearest start on the
-    right are running extremes over the chromosome's positions and gene ends in order, so no pair of all is made.
+    right are running extremes over distinct positions and edges within buckets of ``width`` bases; one row per bucket carries over.
     """
     queries = points.withColumn("qs", F.col("pos")).withColumn("qe", F.col("pos") + 1)
     over = overlaps(queries, genes, bin_size).select(*key, "gene", F.lit(0).alias("distance"), F.lit(True).alias("overlapping"))
     rest = points.join(over.select(*key).distinct(), list(key), "left_anti")
-    marks = (
-        rest.select("chrom", F.col("pos").alias("at"), *key, F.lit(None).cast("long").alias("edge_end"), F.lit(None).cast("long").alias("edge_start"))
-        .unionByName(genes.select("chrom", F.col("fe").alias("at"), F.col("fe").cast("long").alias("edge_end")).distinct(), allowMissingColumns=True)
-        .unionByName(genes.select("chrom", F.col("fs").alias("at"), F.col("fs").cast("long").alias("edge_start")).distinct(), allowMissingColumns=True)
+    edges = genes.select("chrom", F.explode(F.array(
+        F.struct(F.col("fe").cast("long").alias("at"), F.lit(True).alias("is_end")), F.struct(F.col("fs").cast("long").alias("at"), F.lit(False).alias("is_end"))
+    )).alias("e")).select("chrom", "e.*")
+    marks = edges.unionByName(rest.select("chrom", F.col("pos").cast("long").alias("at"), F.lit(None).cast("boolean").alias("is_end")))
+    marks = marks.groupBy("chrom", "at").agg(
+        F.max(F.when(F.col("is_end"), F.col("at"))).alias("end"), F.max(F.when(~F.col("is_end"), F.col("at"))).alias("start"), F.max(F.col("is_end").isNull()).alias("asked")
+    ).withColumn("bucket", F.floor(F.col("at") / width))
+    per = marks.groupBy("chrom", "bucket").agg(F.max("end").alias("end"), F.min("start").alias("start"))
+    of = Window.partitionBy("chrom")
+    carried = per.select(
+        "chrom", "bucket", F.max("end").over(of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("ended"),
+        F.min("start").over(of.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("starting"),
     )
-    left = Window.partitionBy("chrom").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    right = Window.partitionBy("chrom").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
-    found = marks.withColumn("left_end", F.max("edge_end").over(left)).withColumn("right_start", F.min("edge_start").over(right))
-    found = found.filter(F.col(key[0]).isNotNull()).withColumn(
-        "distance", F.least(F.col("at") - F.col("left_end"), F.col("right_start") - F.col("at"))
-    ).filter("distance is not null")
-    sides = found.select("chrom", *key, "distance", F.when(F.col("at") - F.col("left_end") == F.col("distance"), F.col("left_end")).alias("fe"), F.lit(None).cast("long").alias("fs")).filter("fe is not null")
-    others = found.select("chrom", *key, "distance", F.when(F.col("right_start") - F.col("at") == F.col("distance"), F.col("right_start")).alias("fs")).filter("fs is not null")
-    g = genes.select("chrom", "gene", F.col("fs").cast("long").alias("fs"), F.col("fe").cast("long").alias("fe"))
-    near = sides.drop("fs").join(g.drop("fs"), ["chrom", "fe"]).select(*key, "gene", "distance")
-    near = near.unionByName(others.join(g.drop("fe"), ["chrom", "fs"]).select(*key, "gene", "distance")).distinct()
+    inside = Window.partitionBy("chrom", "bucket").orderBy("at")
+    found = marks.join(carried, ["chrom", "bucket"]).select(
+        "chrom", "at", "asked", F.coalesce(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("ended")).alias("fe"),
+        F.coalesce(F.min("start").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("starting")).alias("fs"),
+    ).filter("asked").withColumn("distance", F.least(F.col("at") - F.col("fe"), F.col("fs") - F.col("at")))
+    sides = found.filter("distance is not null").select(F.col("chrom"), F.col("at"), "distance", F.explode(F.filter(F.array(
+        F.struct(F.lit(True).alias("is_end"), F.col("fe").alias("edge")), F.struct(F.lit(False).alias("is_end"), F.col("fs").alias("edge"))
+    ), lambda x: F.abs(x["edge"] - F.col("at")) == F.col("distance"))).alias("x")).select("chrom", "at", "distance", "x.*")
+    ended = genes.select("chrom", "gene", F.explode(F.array(
+        F.struct(F.lit(True).alias("is_end"), F.col("fe").cast("long").alias("edge")), F.struct(F.lit(False).alias("is_end"), F.col("fs").cast("long").alias("edge"))
+    )).alias("x")).select("chrom", "gene", "x.*").distinct()
+    asked = rest.select("chrom", F.col("pos").cast("long").alias("at"), *key)
+    near = asked.join(sides, ["chrom", "at"]).join(ended, ["chrom", "is_end", "edge"]).select(*key, "gene", "distance").distinct()
     return over.unionByName(near.withColumn("overlapping", F.lit(False)))

@@ -157,3 +157,8 @@ def performance_text(per_feature: DataFrame, metrics: list[str]) -> DataFrame:
     """K7: four decimals, ``NA`` for undefined."""
     text = lambda c: F.coalesce(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.4f", F.col(c))), F.lit("NA")).alias(c)
     return per_feature.select("feature", *[text(m) for m in metrics])
+
+
+def scores_by_feature(table: DataFrame, metric: str) -> DataFrame:
+    """Feature and its score; a score that is not a number is null."""
+    return table.select("feature", F.when(~F.isnan(metric), F.col(metric)).alias("score"))

@@ -48,6 +48,16 @@ def of_features(df: DataFrame, names: DataFrame, feature: str = "feature") -> Da
     return df.join(names.select(feature), feature, "left_semi")
 
 
+def with_metadata(files: DataFrame, metadata: DataFrame, file: str = "file") -> DataFrame:
+    """Every file with the columns of its metadata row, null where it has none."""
+    return files.join(metadata, file, "left")
+
+
+def by_q(df: DataFrame, q: str = "q", feature: str = "feature") -> DataFrame:
+    """T4: features by their q, least first; rows without one come last."""
+    return df.orderBy(F.asc_nulls_last(q), feature)
+
+
 def top_split(df: DataFrame, by: str, tie: str, n: int, test: int) -> DataFrame:
     """T5: the ``n`` rows of greatest ``by``; the first ``test`` of them are the test set. ``n`` is the report's size."""
     top = df.orderBy(F.desc(by), tie).limit(n)

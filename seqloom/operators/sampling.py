@@ -5,8 +5,9 @@ No partition order and no generator state enters a draw, so results repeat on an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import accumulate
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from itertools import accumulate, count
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +16,21 @@ from pyspark.sql import functions as F
 from seqloom.functions.search import interval_number
 
 MODULUS = 2147483647
+FACTORS = (48271, 1597334677, 1103515245)
+MODES = ("train", "validate", "test")
 VALIDATE_SIZE, TEST_SIZE = 32_000, 640_000  # T16
 LEAST_WEIGHT = 1e-10
 
 
 def draw(row: Column, seed: int, stream: int = 0) -> Column:
-    """A number from 0 to MODULUS - 1 by a linear congruence of the row's number."""
-    return F.pmod(row.cast("long") * 48271 + F.lit(seed + 7919 * stream).cast("long"), F.lit(MODULUS).cast("long"))
+    """A number from 0 to MODULUS - 1 from the row's number: congruences with an exclusive or of the high bits between them.
+
+    One congruence alone keeps the order of small row numbers, and the last bit of its draws alternates.
+    """
+    modulus = F.lit(MODULUS).cast("long")
+    first = F.pmod(F.pmod(row.cast("long"), modulus) * FACTORS[0] + F.lit(seed + 7919 * stream).cast("long"), modulus)
+    second = F.pmod(first * FACTORS[1], modulus)
+    return F.pmod(second.bitwiseXOR(F.shiftright(second, 13)) * FACTORS[2], modulus)
 
 
 def uniform(row: Column, seed: int, stream: int = 0) -> Column:
@@ -81,8 +90,8 @@ def weights(intervals: DataFrame, length: Column) -> DataFrame:
     return rows.withColumn("weight", F.col("_length") / F.lit(total or 1.0)).drop("_length")
 
 
-def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed: int, blocks: int = 1024) -> DataFrame:
-    """``n`` draws with replacement by length, each with a position inside its interval and a strand.
+def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed: int, blocks: int = 1024, first: int = 0) -> DataFrame:
+    """``n`` draws with replacement by length, each with a position inside its interval and a strand; ``first`` is the first one's number.
 
     A draw is a number below the total length; the interval it falls into is found in two steps, by block of
     intervals (few) and within the block, so neither side is multiplied by the other.
@@ -100,7 +109,7 @@ def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed:
     grain = max(1, isqrt(n))
     # Two congruences make one number of up to 62 bits, so that totals above 2^31 are covered evenly.
     wide = draw(F.col("id"), seed) * MODULUS + draw(F.col("id") + 1, seed, 1)
-    draws = spark.range(n if ends else 0).withColumn("_at", F.pmod(wide, F.lit(ends[-1] if ends else 1))).withColumnRenamed("id", "draw_id")
+    draws = spark.range(first, first + n if ends else first).withColumn("_at", F.pmod(wide, F.lit(ends[-1] if ends else 1))).withColumnRenamed("id", "draw_id")
     found = draws.withColumn("_number", interval_number(F.col("_at"), ends)).join(F.broadcast(per_block), "_number")
     found = found.withColumn("_in_block", F.col("_at") - F.col("_block_start"))
     # Within the block, intervals and draws meet by coarse cells of the block's length.
@@ -114,10 +123,90 @@ def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed:
 
 
 def accepted(candidates: DataFrame, n: int, order: str = "draw_id") -> DataFrame:
-    """The first ``n`` accepted candidates in draw order; the caller oversamples."""
+    """The first ``n`` accepted candidates in draw order, or all of them if they are fewer."""
     return candidates.orderBy(order).limit(n)
 
 
+def accepted_draws(draws: Callable[[int], DataFrame], accept: Callable[[DataFrame], DataFrame], n: int, order: str = "draw_id", rounds: int = 12) -> DataFrame:
+    """The first ``n`` draws that ``accept`` lets through. ``draws(m)`` gives the first m draws.
+
+    Draws are a function of their number, so a further round only asks for more of them, by the share accepted so far.
+    An error if after ``rounds`` rounds too few were accepted.
+    """
+    tried, found = max(1, n), 0
+    for _ in range(rounds):
+        passed = accept(draws(tried))
+        found = passed.count()
+        if found >= n:
+            return accepted(passed, n, order)
+        tried = min(16 * tried, max(2 * tried, tried * n // max(found, 1) * 5 // 4))
+    raise ValueError(f"{found} draws were accepted in {rounds} rounds, {n} are wanted")
+
+
+def endless(draws: Callable[[int, int], DataFrame], size: int, first: int = 0) -> Iterator[DataFrame]:
+    """Batch after batch without end; ``draws(first, n)`` gives n draws from number ``first`` on."""
+    for start in count(first, size):
+        yield draws(start, size)
+
+
+def shuffled(df: DataFrame, row: Column, seed: int) -> DataFrame:
+    """``place`` from 0 in the order of a draw by the row's number. Rows that share a number are in no set order."""
+    keyed = df.withColumn("_draw", draw(row, seed)).withColumn("_row", row.cast("long"))
+    return global_rank(keyed, "_draw", "_row").withColumn("place", F.col("_rank") - 1).drop("_draw", "_row", "_rank")
+
+
+def sample_rows(df: DataFrame, row: Column, n: int, seed: int) -> DataFrame:
+    """``n`` rows without replacement, or all if they are fewer: the first places of the shuffled table."""
+    return shuffled(df, row, seed).filter(F.col("place") < n)
+
+
+def loaded(df: DataFrame, row: str, size: int, subset: tuple[int, int] | None = None, shuffle_seed: int | None = None) -> DataFrame:
+    """The rows numbered from subset[0] to below subset[1] (or all, from 0), in order or shuffled, with ``place`` and ``batch_id``."""
+    start = subset[0] if subset else 0
+    rows = df.filter((F.col(row) >= start) & (F.col(row) < subset[1])) if subset else df
+    placed = rows.withColumn("place", F.col(row) - start) if shuffle_seed is None else shuffled(rows, F.col(row), shuffle_seed)
+    return batches(placed, F.col("place"), size)
+
+
+def by_mode(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """The samples of several modes as one table with the column ``mode``, by which a filter reads one of them alone."""
+    if unknown := sorted(set(parts) - set(MODES)):
+        raise ValueError(f"modes must be among {MODES}: {unknown}")
+    if not parts:
+        raise ValueError("no mode has samples")
+    return reduce(DataFrame.unionByName, [df.withColumn("mode", F.lit(m)) for m, df in parts.items()])
+
+
+def defaults(validate: int | None = None, test: int | None = None) -> dict[str, int]:
+    """How many samples to validate and to test with where no number is given."""
+    return {"validate": VALIDATE_SIZE if validate is None else validate, "test": TEST_SIZE if test is None else test}
+
+
+def has_positive(labels: Column, sample_negative: bool = False) -> Column:
+    """Some label of the array is positive, or samples without one are wanted too."""
+    return F.lit(True) if sample_negative else F.exists(labels, lambda x: x > 0)
+
+
+def retrieved(seq: Column) -> Column:
+    """The sequence was found and is not empty."""
+    return F.coalesce(F.length(seq) > 0, F.lit(False))
+
+
+def long_enough(seq: Column, length: int) -> Column:
+    """P10: the window has ``length`` symbols at least."""
+    return F.coalesce(F.length(seq) >= length, F.lit(False))
+
+
+def complete(seq: Column, length: int, unknown: str = "N") -> Column:
+    """Exactly ``length`` symbols, none of them unknown."""
+    return F.coalesce((F.length(seq) == length) & ~F.contains(seq, F.lit(unknown)), F.lit(False))
+
+
+def held_out(chrom: Column, start: Column, chroms: Sequence) -> Column:
+    """Regions of the held-out chromosomes that start inside their chromosome."""
+    return F.coalesce(chrom.isin(*chroms) & (start >= 0), F.lit(False))
+
+
 def batches(df: DataFrame, order: Column, size: int) -> DataFrame:
     """Batch numbers for a list in order; the last batch is short. ``order`` counts from 0."""
     return df.withColumn("batch_id", F.floor(order / size))

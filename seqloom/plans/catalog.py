@@ -202,7 +202,7 @@ def unknown_flag(spark, d):
 @query("candidate_filters", """SELECT name FROM seq WHERE length(seq) >= 100 AND name::VARCHAR NOT LIKE '%7%'
 AND 1 - length(regexp_replace(seq, '[^ACGTacgt]', '', 'g')) / length(seq)::DOUBLE <= 0.80""", ("seq",))
 def candidate_filters(spark, d):
-    s = B.seq(spark, d).filter(F.length("seq") >= 100)
+    s = B.seq(spark, d).filter(sampling.long_enough(F.col("seq"), 100))
     return A.clear_candidates(s.filter(~sampling.excluded(F.col("name").cast("string"), ["7"])), "seq", 0.80).select("name")
 
 
@@ -241,16 +241,23 @@ def chrom_split(spark, d):
     return sampling.split_by_chromosome(B.win(spark, d), F.col("chrom"), [1, 2, 3], [3, 4]).select("id", "split")
 
 
-@query("proportion_split", """WITH r AS (SELECT id, row_number() OVER (ORDER BY (id * 48271 + 1337) % 2147483647, id) AS k, count(*) OVER () AS n FROM win)
+def _draw_sql(row: str, stream: int = 0) -> str:
+    """``sampling.draw`` in SQL."""
+    m, (a, b, c) = sampling.MODULUS, sampling.FACTORS
+    second = f"((({row})::BIGINT * {a} + {B.SEED + 7919 * stream}) % {m} * {b} % {m})"
+    return f"(xor({second}, {second} >> 13) * {c} % {m})"
+
+
+@query("proportion_split", f"""WITH r AS (SELECT id, row_number() OVER (ORDER BY {_draw_sql('id')}, id) AS k, count(*) OVER () AS n FROM win)
 SELECT id, CASE WHEN k <= floor(n * 0.1) THEN 'validate' WHEN k <= floor(n * 0.1) + floor(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""", ("win",))
 def proportion_split(spark, d):
     return sampling.split_by_proportion(B.win(spark, d), F.col("id"), B.SEED, 0.1, 0.2).select("id", "split")
 
 
-@query("weighted_draws", """WITH l AS (SELECT p_partkey AS part, p_size::BIGINT AS len, p_partkey % 1024 AS block FROM part WHERE p_size > 0),
+@query("weighted_draws", f"""WITH l AS (SELECT p_partkey AS part, p_size::BIGINT AS len, p_partkey % 1024 AS block FROM part WHERE p_size > 0),
 c AS (SELECT *, sum(len) OVER (ORDER BY block, part ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM l), t AS (SELECT max(e) AS total FROM c),
-d AS (SELECT i AS draw_id, (((i * 48271 + 1337) % 2147483647) * 2147483647 + ((i + 1) * 48271 + 1337 + 7919) % 2147483647) % total AS spot,
-  CASE WHEN ((i * 48271 + 1337 + 15838) % 2147483647) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT unnest(range(5000)) AS i), t)
+d AS (SELECT i AS draw_id, ({_draw_sql('i')} * 2147483647 + {_draw_sql('i + 1', 1)}) % total AS spot,
+  CASE WHEN {_draw_sql('i', 2)} % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT unnest(range(5000)) AS i), t)
 SELECT draw_id, part, spot - (e - len) AS "offset", strand FROM d JOIN c ON d.spot >= c.e - c.len AND d.spot < c.e""")
 def weighted_draws(spark, d):
     parts = B.read(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size")
@@ -270,7 +277,7 @@ def sample_bed_rows(spark, d):
     w = B.win(spark, d)
     labelled = intervals.label(w, B.feat(spark, d), B.names(spark, d), ["id"])
     dense = labelled.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "label"))), lambda x: x["label"]).alias("labels"))
-    rows = dense.filter(F.exists("labels", lambda x: x > 0))  # P6
+    rows = dense.filter(sampling.has_positive(F.col("labels")))
     return w.join(rows, "id").select("id", "chrom", "qs", "qe", A.positives(F.col("labels")).alias("positives"))
 
 
@@ -293,6 +300,60 @@ def cyclic_read(spark, d):
     return sampling.cyclic(p, "position", 7000, p.count()).select("turn", "part")
 
 
+_PLACES = f"SELECT o_orderkey AS id, row_number() OVER (ORDER BY {_draw_sql('o_orderkey')}, o_orderkey) - 1 AS place FROM orders"
+
+
+def _ids(spark, d):
+    return B.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+
+
+@query("shuffled_rows", _PLACES)
+def shuffled_rows(spark, d):
+    return sampling.shuffled(_ids(spark, d), F.col("id"), B.SEED)
+
+
+@query("sample_rows", f"SELECT id, place FROM ({_PLACES}) WHERE place < 500")
+def sample_rows(spark, d):
+    return sampling.sample_rows(_ids(spark, d), F.col("id"), 500, B.SEED)
+
+
+@query("loaded_batches", f"SELECT id, place, place // 64 AS batch_id FROM ({_PLACES})")
+def loaded_batches(spark, d):
+    return sampling.loaded(_ids(spark, d), "id", 64, shuffle_seed=B.SEED)
+
+
+@query("accepted_draws", "SELECT * FROM (" + ORACLES["weighted_draws"].replace("range(5000)", "range(20000)") + """) WHERE strand = '+' AND "offset" >= 5 ORDER BY draw_id LIMIT 2000""")
+def accepted_draws(spark, d):
+    parts = B.read(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size")
+    return sampling.accepted_draws(lambda m: sampling.weighted_draws(parts, "part", F.col("p_size"), m, B.SEED), lambda c: c.filter("strand = '+' and offset >= 5"), 2000)
+
+
+@query("endless_batches", ORACLES["weighted_draws"])
+def endless_batches(spark, d):
+    parts = B.read(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size")
+    drawn = sampling.endless(lambda first, n: sampling.weighted_draws(parts, "part", F.col("p_size"), n, B.SEED, first=first), 1250)
+    return prep.union_profiles(*[next(drawn) for _ in range(4)])
+
+
+@query("sampler_modes", ORACLES["chrom_split"].replace("END AS split", "END AS mode"))
+def sampler_modes(spark, d):
+    w = sampling.split_by_chromosome(B.win(spark, d), F.col("chrom"), [1, 2, 3], [3, 4])
+    return sampling.by_mode({m: w.filter(F.col("split") == m).select("id") for m in sampling.MODES})
+
+
+@query("held_out_regions", "SELECT id, chrom, qs FROM win WHERE chrom IN (8, 9) AND qs >= 0", ("win",))
+def held_out_regions(spark, d):
+    return B.win(spark, d).filter(sampling.held_out(F.col("chrom"), F.col("qs"), [8, 9])).select("id", "chrom", "qs")
+
+
+@query("complete_windows", f"""WITH seq AS (SELECT name, upper(seq) AS seq FROM dense), {_WINDOWS}
+SELECT w.name, w.start, w."end" FROM w JOIN seq USING (name) WHERE w.start >= 0 AND w."end" <= length(seq)""", ("dense",))
+def complete_windows(spark, d):
+    s = B.dense(spark, d).withColumn("seq", F.upper("seq"))
+    w = sequences.fetch(_windows(s), s)
+    return w.filter(sampling.retrieved(F.col("seq")) & sampling.complete(F.col("seq"), 40)).select("name", "start", "end")
+
+
 # --- mutagenesis and variants ------------------------------------------------------------------
 
 SPAN, PAIR_SPAN = 20, 3  # mutagenesis works on windows of so many positions, which cover the whole of every sequence
@@ -303,7 +364,7 @@ _ISM = f"{_SPANS.format('', SPAN)}, {_MUTANTS.format(SPAN)}"
 _OF = "split_part(name, ':', 1)::BIGINT AS name"
 
 
-def _windows(spark, d, span=SPAN):
+def _spans(spark, d, span=SPAN):
     """name (of the sequence, and the window's number), seq: windows that cover the letters of every document."""
     at = F.posexplode(A.chunks(F.col("seq"), span)).alias("w", "part")
     return B.dense(spark, d).select("name", at).select(F.concat_ws(":", "name", "w").alias("name"), F.col("part").alias("seq"))
@@ -325,17 +386,30 @@ def _mutant_sums(m):
 
 @query("ism_single", f"WITH {_ISM}, r AS (SELECT name, ref, alt, substr(seq, 1, pos::BIGINT) || alt || substr(seq, (pos + 2)::BIGINT) AS mutated FROM m) {_MUTANT_SUMS}", ("dense",))
 def ism_single(spark, d):
-    return _mutant_sums(mutagenesis.mutations(_windows(spark, d)))
+    return _mutant_sums(mutagenesis.mutations(_spans(spark, d)))
 
 
 @query("ism_double", f"""WITH {_SPANS.format('', PAIR_SPAN)}, {_MUTANTS.format(PAIR_SPAN)}, r AS (SELECT x.name, x.ref || ';' || y.ref AS ref, x.alt || ';' || y.alt AS alt,
 substr(x.seq, 1, x.pos::BIGINT) || x.alt || substr(x.seq, (x.pos + 2)::BIGINT, (y.pos - x.pos - 1)::BIGINT) || y.alt || substr(x.seq, (y.pos + 2)::BIGINT) AS mutated FROM m x JOIN m y ON x.name = y.name AND x.pos < y.pos) {_MUTANT_SUMS}""", ("dense",))
 def ism_double(spark, d):
-    return _mutant_sums(mutagenesis.mutations(_windows(spark, d, PAIR_SPAN), n=2))
+    return _mutant_sums(mutagenesis.mutations(_spans(spark, d, PAIR_SPAN), n=2))
+
+
+_STRONG = "length(regexp_replace({0}, '[^CGcg]', '', 'g'))"
+
+
+@query("mutant_effects", f"""WITH {_ISM}, r AS (SELECT name, {_STRONG.format("substr(seq, 1, pos::BIGINT) || alt || substr(seq, (pos + 2)::BIGINT)")} - {_STRONG.format('seq')} AS effect FROM m)
+SELECT {_OF}, effect::BIGINT AS effect, count(*) AS n FROM r GROUP BY ALL""", ("dense",))
+def mutant_effects(spark, d):
+    strong = lambda seq: F.length(F.regexp_replace(seq, "[^CGcg]", "")).cast("long").alias("score")
+    windows = _spans(spark, d)
+    mutants = mutagenesis.mutations(windows).select("name", strong(mutagenesis.mutate(F.col("seq"), F.col("muts"))))
+    together = mutagenesis.effects(mutants, windows.select("name", strong(F.col("seq"))), "name")
+    return _named(together).groupBy("name", "effect").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ism_scores(spark, d):
-    m = mutagenesis.mutations(_windows(spark, d).withColumn("seq", F.upper("seq")))
+    m = mutagenesis.mutations(_spans(spark, d).withColumn("seq", F.upper("seq")))
     one = m.select("name", F.col("muts")[0]["pos"].alias("pos"), F.col("muts")[0]["ref"].alias("ref"), F.col("muts")[0]["alt"].alias("alt"))
     return one.withColumn("score", F.round(((F.col("pos") + 1) * (F.instr(F.lit("ACGT"), F.col("alt")) + 1) % 7) / 7.0, 6))
 
@@ -459,8 +533,7 @@ def variant_order(spark, d):
     k = F.col("chrom") % 30
     name = F.when(k == 23, "X").when(k == 24, "Y").when(k == 25, "M").otherwise(k.cast("string"))
     v = B.win(spark, d).select("id", F.col("qs").alias("pos"), F.concat(F.lit("chr"), name).alias("chrom"))
-    order = Window.orderBy(interpret.chromosome_key(F.col("chrom")), "chrom", "pos", "id")
-    return v.withColumn("place", F.row_number().over(order))
+    return interpret.variant_places(v, "id")
 
 
 # --- scores ----------------------------------------------------------------------------------
@@ -582,6 +655,11 @@ def evaluate_features(spark, d):
     return table.withColumns({m: F.round(m, 6) for m in ("roc_auc", "average_precision")})
 
 
+@query("feature_scores", _AUC + " SELECT feature, round(auc, 6) AS score FROM a", ("scores",))
+def feature_scores(spark, d):
+    return metrics.scores_by_feature(metrics.roc_auc(B.scores(spark, d)), "roc_auc").select("feature", F.round("score", 6).alias("score"))
+
+
 @query("count_positives", "SELECT feature, sum(target)::BIGINT AS positives FROM scores GROUP BY feature", ("scores",))
 def count_positives(spark, d):
     return metrics.positives(B.scores(spark, d))
@@ -612,10 +690,15 @@ def normal_scores(spark, d):
     return stats.normal_scores(B.scores(spark, d).select("feature", "id", "score"), "feature", "score")
 
 
-@query("mean_ci", "SELECT feature, round(avg(score), 6) AS mean, round(stddev_samp(score) / sqrt(count(*)), 6) AS sem, count(*) AS n FROM scores GROUP BY feature", ("scores",))
+_Z = 1.959963984540054  # the normal quantile at 0.975; the t quantile follows from it by its expansion in 1 / (n - 1)
+
+
+@query("mean_ci", f"""WITH m AS (SELECT feature, avg(score) AS mean, stddev_samp(score) / sqrt(count(*)) AS sem, count(*) AS n, {_Z} AS z, count(*) - 1.0::DOUBLE AS v FROM scores GROUP BY feature)
+SELECT feature, round(mean, 6) AS mean, round(sem, 6) AS sem, n,
+  round(sem * (z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3)), 6) AS half_width FROM m""", ("scores",))
 def mean_ci(spark, d):
     m = stats.mean_interval(B.scores(spark, d), "feature", "score")
-    return m.select("feature", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")
+    return m.select("feature", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n", F.round("half_width", 6).alias("half_width"))
 
 
 @query("percentile_keep", "SELECT id, feature, score FROM scores WHERE score >= (SELECT quantile_cont(score, 0.9) FROM scores)", ("scores",))
@@ -638,6 +721,12 @@ def dup_feature_names(spark, d):
     return prep.numbered_duplicates(B.read(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_name").alias("feature")))
 
 
+@query("file_metadata", "SELECT o_orderkey AS id, o_custkey AS file, c_mktsegment AS cell FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def file_metadata(spark, d):
+    files = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file"))
+    return prep.with_metadata(files, B.read(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.col("c_mktsegment").alias("cell")))
+
+
 @query("distinct_features", "SELECT DISTINCT l_returnflag || l_linestatus AS feature FROM lineitem")
 def distinct_features(spark, d):
     return prep.distinct_features(B.feat(spark, d))
@@ -679,6 +768,12 @@ def windowed_counts(spark, d):
     return live.windowed_counts(B.read(spark, d, "events"), "ts", F.col("event_type"))
 
 
+@query("training_report", "SELECT o_orderkey // 1000 AS report, round(avg(o_totalprice), 4) AS loss, round(count(*) / sum(1 + o_orderkey % 3), 6) AS steps_per_second FROM orders GROUP BY ALL")
+def training_report(spark, d):
+    o = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("loss"), (1 + F.col("o_orderkey") % 3).alias("seconds"))
+    return training.report(o, 1000).select("report", F.round("loss", 4).alias("loss"), F.round("steps_per_second", 6).alias("steps_per_second"))
+
+
 @query("logistic_training")
 def logistic_training(spark, d):
     e = B.read(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"), (F.col("label") < 5).cast("int").alias("target"))

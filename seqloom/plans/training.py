@@ -103,6 +103,12 @@ class Logistic:
         return got["loss"] if got["n"] else math.nan
 
 
+def report(steps: DataFrame, every: int) -> DataFrame:
+    """Of each ``every`` steps the mean loss and the steps a second. ``steps`` has step (from 0), loss and seconds."""
+    parts = steps.groupBy(F.floor(F.col("step") / every).alias("report"))
+    return parts.agg(F.avg("loss").alias("loss"), F.try_divide(F.count(F.lit(1)), F.sum("seconds")).alias("steps_per_second"))
+
+
 def train(samples: DataFrame, model: Logistic, steps: int, rate: PlateauRate, checkpoints: Checkpoints | None = None, stop: EarlyStop | None = None) -> list[float]:
     """The step loop (R1, R6): samples are kept in memory and on disk; returns the losses."""
     samples = samples.select("features", "target").persist()
