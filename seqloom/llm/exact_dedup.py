@@ -83,8 +83,9 @@ def exact_dedup(spark: SparkSession, path: str, batch_bytes: int = 64 << 30) ->
     state = written(keyed_state(spark, path, batch_bytes), "exact-keepers")
     docs = spark.read.parquet(path)
     rows = _digested(docs).join(state, "digest")
-    # Full bytes are compared on hits only: rows of digests that more than one row has.
-    shared = state.filter("seen > 1")
+    # Full bytes are compared on hits only: rows of digests that more than one row has. Those digests are a table of their own, so
+    # that Spark knows its size: below its broadcast threshold no text moves but that of hits.
+    shared = written(state.filter("seen > 1").select("digest", "keep_at"), "exact-shared")
     hits = docs.select("doc_id", ascii_lower(whole_text()).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     hits = hits.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     hits = written(hits.join(shared, "digest"), "exact-hits")
