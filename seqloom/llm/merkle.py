@@ -25,6 +25,7 @@ from .shared import whole_text
 SEGMENT = 64
 LEAF_DIGITS = 12
 ROOT_DIGITS = 32
+BUCKET_BYTES = 128 << 20  # of text in one range bucket, on average
 
 
 def let(value: Column, body) -> Column:
@@ -85,22 +86,33 @@ def differing(a: Column, b: Column) -> Column:
     return let(F.struct(sections(a).alias("a"), sections(b).alias("b")), walk)
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """How many range buckets the texts need at ``BUCKET_BYTES`` each; not fewer than the session's shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
+
+
 def _buckets(docs: DataFrame, number: int) -> Column:
     """A range bucket of doc_id, by about equal counts; found in two steps of sqrt(number) comparisons."""
     shares = [i / number for i in range(1, number)]
-    bounds = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first()["b"] if shares else None
+    accuracy = max(10_000, 20 * number)
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, accuracy).alias("b")).first()["b"] if shares else None
     bounds = sorted(set(bounds or []))
     if not bounds:
         return F.lit(0)
     width = max(1, math.isqrt(len(bounds)))
-    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    heads = F.array(*[F.lit(r[0]).cast("long") for r in rows])
-    blocks = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows])
-    def below(array, strict_of):
-        return F.size(F.filter(array, lambda x: x <= strict_of))
+
+    def constant(values):
+        # Written as one string, which Catalyst folds to an array, however many there are.
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+    heads, every = constant(bounds[::width]), constant(bounds)
+
+    def below(array):
+        return F.size(F.filter(array, lambda x: x <= key))
 
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    return let(below(heads, key), lambda n: F.when(n == 0, 0).otherwise((n - 1) * width + below(F.get(blocks, n - 1), key)))
+    return let(below(heads), lambda n: F.when(n == 0, 0).otherwise((n - 1) * width + below(F.slice(every, F.greatest((n - 1) * width + 1, F.lit(1)), F.lit(width)))))
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -109,11 +121,11 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     The text is shuffled once, by range buckets of the id; the last row of a bucket takes the first of the next one,
     which a second scan fetches: one row per bucket.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = buckets or bucket_count(base)
     bucket = _buckets(base.select("doc_id"), number)
     keyed = base.withColumn("tie", F.xxhash64("text")).withColumn("bucket", bucket.cast("int"))
+    dealt = keyed.repartition(number, "bucket")  # the number of tasks follows the bytes as well, not the session's setting
     heads = keyed.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "doc_id", "tie")).alias("head"))
     order = Window.orderBy(F.desc("bucket"))  # one row per bucket
     after = F.coalesce(F.lead("head").over(order), F.first("head").over(order))
@@ -122,7 +134,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     texts = found.join(F.broadcast(heads), found["at_id"].eqNullSafe(heads["at_id"]) & (found["at_tie"] == heads["at_tie"]))
     texts = texts.select("bucket", "head_text").groupBy("bucket").agg(F.first("head_text").alias("head_text"))
     texts = texts.withColumn("head_fp", fingerprint(F.col("head_text")))
-    trees = keyed.withColumn("fp", fingerprint(F.col("text")))
+    trees = dealt.withColumn("fp", fingerprint(F.col("text")))
     within = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("tie"))
     led = trees.withColumn("next", F.lead(F.struct("text", "fp")).over(within))
     led = led.join(texts, "bucket")  # led is dealt by bucket already: only the few head texts move

@@ -142,8 +142,19 @@ def test_reliabilities_prefer_the_labeler_that_agrees():
     assert weights[0, 0, 1] > weights.get((0, 2, 1), 0)
 
 
-def test_merkle(docs, by_id):
-    got = {r["doc_id"]: r for r in merkle.fingerprints(docs, buckets=7).collect()}
+def merkle_leaves(text):
+    paragraphs = [p for s in text.split("\n\n") for p in s.split("\n")]
+    return {hashlib.sha256(p[i : i + 64].encode()).hexdigest()[:12] for p in paragraphs for i in range(0, len(p), 64)}
+
+
+def merkle_likeness(a, b):
+    x, y = merkle_leaves(a), merkle_leaves(b)
+    return 1.0 if a == b else 2 * len(x & y) / max(1, len(x) + len(y))
+
+
+@pytest.mark.parametrize("buckets", [None, 7, 40])
+def test_merkle(docs, by_id, buckets):
+    got = {r["doc_id"]: r for r in merkle.fingerprints(docs, buckets=buckets).collect()}
     ids = sorted(by_id, reverse=True)
     prints = {}
     for n, i in enumerate(ids):
@@ -152,12 +163,28 @@ def test_merkle(docs, by_id):
         edited = t[: len(t) - half] + after[:half]
         assert got[i]["n_chars"] == len(t)
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i]["near_next"] <= 1 and 0 <= got[i]["near_edited"] <= 1
+        assert got[i]["near_edited"] == pytest.approx(merkle_likeness(t, edited)), i
+        assert got[i]["near_next"] == pytest.approx(merkle_likeness(t, after)), i
         prints.setdefault(t, set()).add(got[i]["fingerprint"])
         assert (got[i]["near_edited"] == 1.0) or edited != t
     assert all(len(v) == 1 for v in prints.values()) and len({x for v in prints.values() for x in v}) == len(prints)
 
 
+def test_merkle_buckets_follow_the_bytes(docs, monkeypatch):
+    texts = docs.select("text").dropna()
+    assert merkle.bucket_count(texts) == 4
+    monkeypatch.setattr(merkle, "BUCKET_BYTES", 1000)
+    total = sum(len(r["text"].encode()) for r in texts.collect())
+    assert merkle.bucket_count(texts) == -(-total // 1000)
+    assert merkle.bucket_count(texts.filter("false")) == 4
+
+
+def test_merkle_of_repeated_rows_and_rows_without_an_id(spark):
+    d = spark.createDataFrame([(5, "a"), (5, "a"), (3, "bb"), (None, "cc"), (None, None)], "doc_id long, text string")
+    got = merkle.fingerprints(d, buckets=3).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]) for r in got) == [(False, 3, 2), (False, 5, 1), (False, 5, 1), (True, 0, 0), (True, 0, 2)]
+
+
 def test_merkle_locates_edits(spark):
     d = spark.createDataFrame([("a\nb\n\nc\nd", "a\nX\n\nc\nd\ne")], "a string, b string")
     got = d.select(merkle.differing(merkle.fingerprint(F.col("b")), merkle.fingerprint(F.col("a"))).alias("x")).first()["x"]
