@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licences, line_dedup, merkle, packing, pieces, pii, quality, repeats, simhash
+from . import exact_dedup, licences, line_dedup, merkle, packing, pieces, pii, quality, repeats, simhash, toxicity
 from .shared import read_table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -127,6 +127,18 @@ kept AS (
 SELECT page_id, host, n::INT AS n_lines, (n - len(k))::INT AS n_dropped, sha256(array_to_string(k, chr(10))) AS kept_sha256 FROM kept
 """
 
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, read_table(spark, sf_dir, "labels"))
+    return out.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        (~toxicity.in_training(F.col("row.doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -138,5 +150,6 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_repeats": op9_repeats,
     "op10_line_dedup": op10_line_dedup,
+    "op11_toxicity": op11_toxicity,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_licences": _op8_sql(), "op10_line_dedup": OP10_SQL}
