@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, licences, line_dedup, merkle, packing, pieces, pii, quality, repeats, simhash, toxicity
-from .shared import read_table
+from . import exact_dedup, filter_audit, licences, line_dedup, merkle, packing, periodic, pieces, pii, quality, repeats, simhash, toxicity
+from .shared import read_table, whole_text
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -174,6 +174,20 @@ SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed
 """
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    found = periodic.runs(docs.select("doc_id", periodic.repeated_tail(F.col("text"), F.col("doc_id")).alias("text")))
+    # The longest run; of equal ones that with the least start, then period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    written = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("_best", longest).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.floor(F.col("_best.length") * 1000 / -F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(written.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -187,5 +201,6 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_toxicity": op11_toxicity,
     "op12_filter_audit": op12_filter_audit,
+    "op13_periodic": op13_periodic,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_licences": _op8_sql(), "op10_line_dedup": OP10_SQL, "op12_filter_audit": OP12_SQL}
