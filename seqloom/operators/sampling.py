@@ -91,10 +91,16 @@ def weights(intervals: DataFrame, length: Column) -> DataFrame:
 
 
 def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed: int, blocks: int = 1024, first: int = 0) -> DataFrame:
-    """``n`` draws with replacement by length, each with a position inside its interval and a strand; ``first`` is the first one's number.
+    """``n`` draws with replacement by length, each with a position inside its interval and a strand; ``first`` is the first one's number."""
+    numbers = intervals.sparkSession.range(first, first + n).withColumnRenamed("id", "draw_id")
+    return placed_draws(numbers, intervals, key, length, seed, n, blocks)
+
+
+def placed_draws(numbers: DataFrame, intervals: DataFrame, key: str, length: Column, seed: int, expected: int, blocks: int = 1024) -> DataFrame:
+    """draw_id, key, offset, strand: where the draws of these numbers (column draw_id) fall.
 
     A draw is a number below the total length; the interval it falls into is found in two steps, by block of
-    intervals (few) and within the block, so neither side is multiplied by the other.
+    intervals (few) and within the block, so neither side is multiplied by the other. ``expected`` draws set how fine the second step is.
     """
     lengths = intervals.select(key, length.cast("long").alias("_length")).filter("_length > 0")
     lengths = lengths.withColumn("_block", F.pmod(F.col(key), F.lit(blocks)).cast("int"))
@@ -106,10 +112,10 @@ def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed:
     per_block = spark.createDataFrame([(i, b, ends[i] - sums[b], sums[b]) for i, b in enumerate(order)], kind)
     inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     placed = lengths.withColumn("_end", F.sum("_length").over(inside)).withColumn("_start", F.col("_end") - F.col("_length"))
-    grain = max(1, isqrt(n))
+    grain = max(1, isqrt(expected))
     # Two congruences make one number of up to 62 bits, so that totals above 2^31 are covered evenly.
-    wide = draw(F.col("id"), seed) * MODULUS + draw(F.col("id") + 1, seed, 1)
-    draws = spark.range(first, first + n if ends else first).withColumn("_at", F.pmod(wide, F.lit(ends[-1] if ends else 1))).withColumnRenamed("id", "draw_id")
+    wide = draw(F.col("draw_id"), seed) * MODULUS + draw(F.col("draw_id") + 1, seed, 1)
+    draws = (numbers if ends else numbers.limit(0)).select("draw_id", F.pmod(wide, F.lit(ends[-1] if ends else 1)).alias("_at"))
     found = draws.withColumn("_number", interval_number(F.col("_at"), ends)).join(F.broadcast(per_block), "_number")
     found = found.withColumn("_in_block", F.col("_at") - F.col("_block_start"))
     # Within the block, intervals and draws meet by coarse cells of the block's length.

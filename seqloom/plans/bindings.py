@@ -66,7 +66,37 @@ def ref_alt(spark, sf_dir) -> DataFrame:
     return ref.join(alt, ["id", "feature"])
 
 
+def letters(spark, sf_dir) -> DataFrame:
+    """name, seq: the letters A, C, G, T and N of every document in upper case; can be empty."""
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("name"), F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", "")).alias("seq"))
+
+
+def places(spark, sf_dir) -> DataFrame:
+    """mode, place, name, start, end: a range of a document's letters for every order; some documents validate, some test."""
+    n = read(spark, sf_dir, "documents").count()
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), F.pmod("o_custkey", F.lit(n)).alias("name"), F.pmod(F.floor("o_totalprice").cast("long"), F.lit(300)).alias("start"))
+    return o.select(mode(F.col("name")).alias("mode"), "place", "name", "start", (F.col("start") + 50 + F.col("place") % 150).alias("end"))
+
+
+def mode(name):
+    return F.when(name % 10 == 7, "validate").when(name % 10 == 8, "test").otherwise("train")
+
+
+def marks(spark, sf_dir) -> DataFrame:
+    """chrom, fs, fe, feature: labelled ranges of the documents' letters."""
+    n = read(spark, sf_dir, "documents").count()
+    r = read(spark, sf_dir, "lineitem")
+    start = F.pmod(F.floor("l_extendedprice").cast("long"), F.lit(500))
+    return r.select(F.pmod("l_partkey", F.lit(n)).alias("chrom"), start.alias("fs"), (start + F.col("l_quantity").cast("long")).alias("fe"), F.concat("l_returnflag", "l_linestatus").alias("feature"))
+
+
 SQL = {
+    "letters": "SELECT doc_id AS name, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents",
+    "places": """SELECT CASE name % 10 WHEN 7 THEN 'validate' WHEN 8 THEN 'test' ELSE 'train' END AS mode, place, name, start, start + 50 + place % 150 AS "end"
+        FROM (SELECT o_orderkey AS place, o_custkey % (SELECT count(*) FROM documents) AS name, floor(o_totalprice)::BIGINT % 300 AS start FROM orders)""",
+    "marks": """SELECT l_partkey % (SELECT count(*) FROM documents) AS chrom, floor(l_extendedprice)::BIGINT % 500 AS fs, floor(l_extendedprice)::BIGINT % 500 + l_quantity::BIGINT AS fe,
+        l_returnflag || l_linestatus AS feature FROM lineitem""",
     "seq": "SELECT doc_id AS name, upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')) AS seq FROM documents",
     "dense": "SELECT doc_id AS name, regexp_replace(text, '[^ACGTacgt]', '', 'g') AS seq FROM documents",
     "feat": """SELECT l_suppkey AS chrom, floor(l_extendedprice)::BIGINT AS fs, floor(l_extendedprice)::BIGINT + (l_quantity * 20)::BIGINT AS fe,

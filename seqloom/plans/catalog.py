@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import alphabet as A
-from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep, sampling, sequences, stats, variants
+from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep, samplers, sampling, sequences, stats, variants
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
 from seqloom.plans import runs, training
+from seqloom.sources import tables
 from seqloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,10 +242,10 @@ def chrom_split(spark, d):
     return sampling.split_by_chromosome(B.win(spark, d), F.col("chrom"), [1, 2, 3], [3, 4]).select("id", "split")
 
 
-def _draw_sql(row: str, stream: int = 0) -> str:
+def _draw_sql(row: str, stream: int = 0, seed: int = B.SEED) -> str:
     """``sampling.draw`` in SQL."""
     m, (a, b, c) = sampling.MODULUS, sampling.FACTORS
-    second = f"((({row})::BIGINT * {a} + {B.SEED + 7919 * stream}) % {m} * {b} % {m})"
+    second = f"((({row})::BIGINT * {a} + {seed + 7919 * stream}) % {m} * {b} % {m})"
     return f"(xor({second}, {second} >> 13) * {c} % {m})"
 
 
@@ -354,6 +355,67 @@ def complete_windows(spark, d):
     return w.filter(sampling.retrieved(F.col("seq")) & sampling.complete(F.col("seq"), 40)).select("name", "start", "end")
 
 
+# Samplers as wholes: as many draws for each mode as it has places, windows of 60 letters round bins of 20, batches of 64.
+_WINDOW, _BIN, _BATCH = 60, 20, 64
+
+
+def _sampler_sql(places: str) -> str:
+    """``places`` is a query of mode, place, name, start, end."""
+    draws = []
+    for k, mode in enumerate(sampling.MODES):
+        seed = B.SEED + samplers.MODE_STEP * k
+        draws.append(f"""SELECT '{mode}' AS mode, i AS draw_id, ({_draw_sql('i', 0, seed)} * 2147483647 + {_draw_sql('i + 1', 1, seed)}) % total AS spot,
+          CASE WHEN {_draw_sql('i', 2, seed)} % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT total, unnest(range(n)) AS i FROM t WHERE mode = '{mode}')""")
+    return f"""WITH pl AS ({places}), l AS (SELECT *, "end" - start AS len, sum("end" - start) OVER (PARTITION BY mode ORDER BY place % 1024, place ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM pl),
+t AS (SELECT mode, max(e) AS total, count(*) AS n FROM l GROUP BY mode), d AS ({' UNION ALL '.join(draws)}),
+x AS (SELECT d.mode, d.draw_id, d.strand, l.name, l.start + d.spot - (l.e - l.len) AS pos FROM d JOIN l ON d.mode = l.mode AND d.spot >= l.e - l.len AND d.spot < l.e),
+w AS (SELECT x.*, CASE WHEN strand = '-' THEN {_RC.format(f"substr(seq, pos - {_WINDOW // 2} + 1, {_WINDOW})")} ELSE substr(seq, pos - {_WINDOW // 2} + 1, {_WINDOW}) END AS seq
+  FROM x JOIN letters USING (name) WHERE pos >= {_WINDOW // 2} AND pos + {_WINDOW // 2} <= length(seq)),
+clear AS (SELECT * FROM w WHERE 1 - length(regexp_replace(seq, '[^ACGT]', '', 'g')) / {_WINDOW}::DOUBLE <= {samplers.MOST_AMBIGUOUS}),
+bases AS (SELECT DISTINCT mode, draw_id, feature, unnest(range(greatest(fs, pos - {_BIN // 2}), least(fe, pos + {_BIN // 2}))) AS base
+  FROM clear c JOIN marks m ON c.name = m.chrom AND m.fs < pos + {_BIN // 2} AND m.fe > pos - {_BIN // 2}),
+ix AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS ix FROM (SELECT DISTINCT feature FROM marks)),
+y AS (SELECT mode, draw_id, string_agg(ix::VARCHAR, ';' ORDER BY ix) AS positives FROM (SELECT mode, draw_id, feature FROM bases GROUP BY ALL HAVING count(*) > {_BIN // 2 - 1}) JOIN ix USING (feature) GROUP BY ALL)
+SELECT mode, draw_id, name, pos - {_WINDOW // 2} AS start, pos + {_WINDOW // 2} AS "end", strand, seq, positives,
+  row_number() OVER (PARTITION BY mode ORDER BY draw_id) - 1 AS sample, (row_number() OVER (PARTITION BY mode ORDER BY draw_id) - 1) // {_BATCH} AS batch_id FROM clear JOIN y USING (mode, draw_id)"""
+
+
+_BY_PLACE = _sampler_sql("SELECT * FROM places")
+_BY_POSITION = _sampler_sql(f"""SELECT CASE name % 10 WHEN 7 THEN 'validate' WHEN 8 THEN 'test' ELSE 'train' END AS mode, name AS place, name, {_WINDOW} AS start, length(seq) - {_WINDOW} AS "end"
+  FROM letters WHERE length(seq) > {2 * _WINDOW}""")
+
+
+def _sampler(spark, d, places):
+    marks = B.marks(spark, d)
+    ix = F.row_number().over(Window.orderBy("feature")) - 1  # a short list of names
+    names = marks.select("feature").distinct().select("feature", ix.alias("ix"), F.lit(0.5).cast("float").alias("threshold"))
+    chunks = sequences.chunked(B.letters(spark, d), _WINDOW, 1 << 12)
+    made = samplers.Sampler(places, chunks, marks, names, _WINDOW, _BIN, B.SEED, chunk=1 << 12)
+    return made, {r["mode"]: r["n"] for r in places.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+@query("sampler_intervals", _BY_PLACE, ("letters", "places", "marks"))
+def sampler_intervals(spark, d):
+    made, until = _sampler(spark, d, B.places(spark, d))
+    return made.sampled(spark, until, _BATCH)
+
+
+@query("sampler_positions", _BY_POSITION, ("letters", "marks"))
+def sampler_positions(spark, d):
+    names = sequences.catalogue(B.letters(spark, d))
+    made, until = _sampler(spark, d, samplers.whole_sequences(names, _WINDOW, B.mode(F.col("name"))))
+    return made.sampled(spark, until, _BATCH)
+
+
+@query("sampler_stream", _BY_PLACE, ("letters", "places", "marks"))
+def sampler_stream(spark, d):
+    """As a stream that stops after a third of the draws and is started again."""
+    made, until = _sampler(spark, d, B.places(spark, d))
+    target = tables.folder(spark, "sampler")
+    made.stream(spark, {m: n // 3 for m, n in until.items()}, _BATCH, target, 1 + max(until.values()) // 3)
+    return made.stream(spark, until, _BATCH, target, 1 + max(until.values()) // 3)
+
+
 # --- mutagenesis and variants ------------------------------------------------------------------
 
 SPAN, PAIR_SPAN = 20, 3  # mutagenesis works on windows of so many positions, which cover the whole of every sequence
