@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,14 +44,18 @@ class Sampler:
     most_ambiguous: float = MOST_AMBIGUOUS
     alphabet: Alphabet = DNA
 
+    @cached_property
+    def index(self) -> sampling.IntervalIndex:
+        """The places laid end to end, mode by mode; built once and kept in the shared folder."""
+        rows = self.places.filter(F.col("mode").isin(*sampling.MODES))
+        return sampling.interval_index(rows, "place", F.col("end") - F.col("start"), group=_mode_number(), keep=lambda df: tables.written(df, "places"))
+
     def located(self, numbers: DataFrame, expected: int) -> DataFrame:
-        """mode, draw_id, name, position, strand of the draws (mode, draw_id); one search for each of the few modes."""
-        found = []
-        for k, mode in enumerate(sampling.MODES):
-            own = self.places.filter(F.col("mode") == mode).select("place", "name", "start", "end")
-            drawn = sampling.placed_draws(numbers.filter(F.col("mode") == mode).select("draw_id"), own, "place", F.col("end") - F.col("start"), self.seed + MODE_STEP * k, expected)
-            found.append(drawn.join(own, "place").select(F.lit(mode).alias("mode"), "draw_id", "name", (F.col("start") + F.col("offset")).alias("position"), "strand"))
-        return reduce(DataFrame.unionByName, found)
+        """mode, draw_id, name, position, strand of the draws (mode, draw_id)."""
+        seeds = {k: self.seed + MODE_STEP * k for k in range(len(sampling.MODES))}
+        drawn = sampling.placed_draws(numbers, self.index, seeds, expected, _mode_number())
+        found = drawn.join(self.places.select("mode", "place", "name", "start"), ["mode", "place"])
+        return found.select("mode", "draw_id", "name", (F.col("start") + F.col("offset")).alias("position"), "strand")
 
     def kept(self, numbers: DataFrame, expected: int) -> DataFrame:
         """mode, draw_id, name, start, end, strand, seq, positives: the draws whose window was found, is clear enough and (unless negatives are
@@ -112,6 +116,10 @@ class Sampler:
         return spark.read.parquet(f"{target}/samples").drop("epoch")
 
 
+def _mode_number():
+    return F.array_position(F.array(*map(F.lit, sampling.MODES)), F.col("mode")).cast("int") - 1
+
+
 def numbered(kept: DataFrame, before: Mapping[str, int]) -> DataFrame:
     """``sample`` by mode and draw order: ranks within runs of ``RUN`` draws, plus the counts of the runs and calls before."""
     runs = kept.withColumn("_run", F.floor(F.col("draw_id") / RUN))

@@ -6,6 +6,7 @@ No partition order and no generator state enters a draw, so results repeat on an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate, count
 from math import isqrt
@@ -90,42 +91,67 @@ def weights(intervals: DataFrame, length: Column) -> DataFrame:
     return rows.withColumn("weight", F.col("_length") / F.lit(total or 1.0)).drop("_length")
 
 
-def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed: int, blocks: int = 1024, first: int = 0) -> DataFrame:
-    """``n`` draws with replacement by length, each with a position inside its interval and a strand; ``first`` is the first one's number."""
-    numbers = intervals.sparkSession.range(first, first + n).withColumnRenamed("id", "draw_id")
-    return placed_draws(numbers, intervals, key, length, seed, n, blocks)
+@dataclass(frozen=True)
+class IntervalIndex:
+    """Intervals laid end to end, group by group and block by block, so that a number below the total length falls into one of them."""
 
+    key: str
+    ends: list[int]  # of the blocks, which are few
+    per_block: DataFrame  # _number, _block, _block_start, _block_length
+    placed: DataFrame  # key, _block, _start, _end inside the block
+    groups: dict[int, tuple[int, int]]  # where each group starts, and its length
 
-def placed_draws(numbers: DataFrame, intervals: DataFrame, key: str, length: Column, seed: int, expected: int, blocks: int = 1024) -> DataFrame:
-    """draw_id, key, offset, strand: where the draws of these numbers (column draw_id) fall.
 
-    A draw is a number below the total length; the interval it falls into is found in two steps, by block of
-    intervals (few) and within the block, so neither side is multiplied by the other. ``expected`` draws set how fine the second step is.
-    """
-    lengths = intervals.select(key, length.cast("long").alias("_length")).filter("_length > 0")
-    lengths = lengths.withColumn("_block", F.pmod(F.col(key), F.lit(blocks)).cast("int"))
+def interval_index(intervals: DataFrame, key: str, length: Column, blocks: int = 1024, group: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> IntervalIndex:
+    """The index of ``intervals`` by length; ``group`` is a small number from 0, ``keep`` can store the placed intervals for later use."""
+    block = (F.lit(0) if group is None else group.cast("int")) * blocks + F.pmod(F.col(key), F.lit(blocks)).cast("int")
+    lengths = intervals.select(key, length.cast("long").alias("_length"), block.alias("_block")).filter("_length > 0")
     sums = {r["_block"]: r["n"] for r in lengths.groupBy("_block").agg(F.sum("_length").alias("n")).collect()}  # one row per block
     order = sorted(sums)
     ends = list(accumulate(sums[b] for b in order))
-    spark = intervals.sparkSession
     kind = "_number int, _block int, _block_start long, _block_length long"
-    per_block = spark.createDataFrame([(i, b, ends[i] - sums[b], sums[b]) for i, b in enumerate(order)], kind)
+    per_block = intervals.sparkSession.createDataFrame([(i, b, ends[i] - sums[b], sums[b]) for i, b in enumerate(order)], kind)
     inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     placed = lengths.withColumn("_end", F.sum("_length").over(inside)).withColumn("_start", F.col("_end") - F.col("_length"))
-    grain = max(1, isqrt(expected))
+    groups: dict[int, tuple[int, int]] = {}
+    for b, end in zip(order, ends, strict=True):
+        start, total = groups.get(b // blocks, (end - sums[b], 0))
+        groups[b // blocks] = (start, total + sums[b])
+    return IntervalIndex(key, ends, per_block, keep(placed), groups)
+
+
+def weighted_draws(intervals: DataFrame, key: str, length: Column, n: int, seed: int, blocks: int = 1024, first: int = 0) -> DataFrame:
+    """``n`` draws with replacement by length, each with a position inside its interval and a strand; ``first`` is the first one's number."""
+    numbers = intervals.sparkSession.range(first, first + n).withColumnRenamed("id", "draw_id")
+    return placed_draws(numbers, interval_index(intervals, key, length, blocks), {0: seed}, n)
+
+
+def placed_draws(numbers: DataFrame, index: IntervalIndex, seeds: Mapping[int, int], expected: int, group: Column | None = None) -> DataFrame:
+    """The draws ``numbers`` (draw_id and any columns) with key, offset, strand: where they fall; draws of a group without intervals are left out.
+
+    A draw is a number below its group's length; the interval it falls into is found in two steps, by block of
+    intervals (few) and within the block, so neither side is multiplied by the other. ``seeds`` has a seed for each group, and ``expected`` draws
+    set how fine the second step is.
+    """
+    group = F.lit(0) if group is None else group
+
+    def of_group(value: Callable[[int], Column]) -> Column:
+        return reduce(lambda out, g: F.when(group == g, value(g)).otherwise(out), index.groups, F.lit(None).cast("long"))
+
     # Two congruences make one number of up to 62 bits, so that totals above 2^31 are covered evenly.
-    wide = draw(F.col("draw_id"), seed) * MODULUS + draw(F.col("draw_id") + 1, seed, 1)
-    draws = (numbers if ends else numbers.limit(0)).select("draw_id", F.pmod(wide, F.lit(ends[-1] if ends else 1)).alias("_at"))
-    found = draws.withColumn("_number", interval_number(F.col("_at"), ends)).join(F.broadcast(per_block), "_number")
+    wide = lambda g: draw(F.col("draw_id"), seeds[g]) * MODULUS + draw(F.col("draw_id") + 1, seeds[g], 1)
+    at = of_group(lambda g: F.lit(index.groups[g][0]) + F.pmod(wide(g), F.lit(index.groups[g][1])))
+    strand = of_group(lambda g: draw(F.col("draw_id"), seeds[g], 2) % 2)
+    draws = numbers.withColumns({"_at": at, "strand": F.when(strand == 0, "+").otherwise("-")}).filter("_at is not null")
+    found = draws.withColumn("_number", interval_number(F.col("_at"), index.ends)).join(F.broadcast(index.per_block), "_number")
     found = found.withColumn("_in_block", F.col("_at") - F.col("_block_start"))
     # Within the block, intervals and draws meet by coarse cells of the block's length.
-    cell = F.greatest((F.col("_block_length") / grain).cast("long"), F.lit(1))
+    cell = F.greatest((F.col("_block_length") / max(1, isqrt(expected))).cast("long"), F.lit(1))
     left = found.withColumn("_cell", F.floor(F.col("_in_block") / cell))
-    right = placed.join(F.broadcast(per_block.select("_block", "_block_length")), "_block")
+    right = index.placed.join(F.broadcast(index.per_block.select("_block", "_block_length")), "_block")
     right = right.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_start") / cell), F.floor((F.col("_end") - 1) / cell)))).drop("_block_length")
     hit = left.join(right, ["_block", "_cell"]).filter((F.col("_in_block") >= F.col("_start")) & (F.col("_in_block") < F.col("_end")))
-    strand = F.when(draw(F.col("draw_id"), seed, 2) % 2 == 0, "+").otherwise("-")
-    return hit.select("draw_id", key, (F.col("_in_block") - F.col("_start")).alias("offset"), strand.alias("strand"))
+    return hit.select(*[c for c in numbers.columns], index.key, (F.col("_in_block") - F.col("_start")).alias("offset"), "strand")
 
 
 def accepted(candidates: DataFrame, n: int, order: str = "draw_id") -> DataFrame:
