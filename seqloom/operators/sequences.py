@@ -41,6 +41,12 @@ def _substring(seq: Column, offset: Column, start: Column, end: Column) -> Colum
     return F.substring(seq, start - offset + 1, F.greatest(end - start, F.lit(0)))
 
 
+def on_strand(plain: Column, alphabet: Alphabet = DNA) -> Column:
+    """``-`` takes the reverse complement, ``.`` counts as ``+``, anything else raises."""
+    turned = F.when(F.col("strand") == "-", reverse_complement(plain, alphabet)).when(F.col("strand").isin("+", "."), plain)
+    return turned.otherwise(F.raise_error(F.concat(F.lit("strand must be +, - or .: "), F.col("strand"))))
+
+
 def fetch(windows: DataFrame, sequences: DataFrame, padded: bool = False, alphabet: Alphabet = DNA) -> DataFrame:
     """Windows (name, start, end, strand) with seq; the empty string where the bounds fail.
 
@@ -50,8 +56,7 @@ def fetch(windows: DataFrame, sequences: DataFrame, padded: bool = False, alphab
     joined = windows.join(sequences.select("name", F.col("seq").alias("_seq"), F.length("seq").alias("_len")), "name", "left")
     start, end = F.greatest("start", F.lit(0)), F.least("end", "_len")
     plain = _substring(F.col("_seq"), F.lit(0), start, end)
-    turned = F.when(F.col("strand") == "-", reverse_complement(plain, alphabet)).when(F.col("strand").isin("+", "."), plain)
-    turned = turned.otherwise(F.raise_error(F.concat(F.lit("strand must be +, - or .: "), F.col("strand"))))
+    turned = on_strand(plain, alphabet)
     unknown = F.lit(alphabet.unknown)
     left = F.repeat(unknown, F.greatest(-F.col("start"), F.lit(0)).cast("int"))
     right = F.repeat(unknown, F.greatest(F.col("end") - F.col("_len"), F.lit(0)).cast("int"))
@@ -66,8 +71,7 @@ def fetch_chunked(windows: DataFrame, chunks: DataFrame, chunk: int = CHUNK) ->
     joined = w.join(chunks, ["name", "chunk_no"], "left")
     valid = F.coalesce(in_bounds(F.col("start"), F.col("end"), F.col("length")), F.lit(False))
     plain = _substring(F.col("piece"), F.col("chunk_start"), F.col("start"), F.col("end"))
-    turned = F.when(F.col("strand") == "-", reverse_complement(plain)).otherwise(plain)
-    return joined.withColumn("seq", F.when(valid, turned).otherwise(F.lit(""))).drop("piece", "chunk_start", "chunk_no", "length")
+    return joined.withColumn("seq", F.when(valid, on_strand(plain)).otherwise(F.lit(""))).drop("piece", "chunk_start", "chunk_no", "length")
 
 
 def protein_fetch(windows: DataFrame, sequences: DataFrame) -> DataFrame:

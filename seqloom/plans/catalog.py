@@ -13,7 +13,7 @@ from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep,
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
 from seqloom.plans import runs, training
-from seqloom.sources import tables
+from seqloom.sources import fasta, tables, writers
 from seqloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,24 @@ def seq_window_chunked(spark, d):
     return sequences.fetch_chunked(_windows(s), sequences.chunked(s, 64, chunk=128), chunk=128)
 
 
+def _fasta(spark, d):
+    """The letters of every document as FASTA files in lines of 60, and the table of their records."""
+    path = tables.folder(spark, "letters")
+    writers.fasta(B.letters(spark, d), path, 60)
+    return fasta.index(spark, path, 1 << 20)
+
+
+@query("fasta_index", """SELECT name::VARCHAR AS name, length(seq)::BIGINT AS length, least(length(seq), 60)::BIGINT AS bases_per_line, least(length(seq), 60)::BIGINT + 1 AS bytes_per_line, true AS regular FROM letters""", ("letters",))
+def fasta_index(spark, d):
+    return _fasta(spark, d).select("name", "length", "bases_per_line", "bytes_per_line", "regular")
+
+
+@query("fasta_windows", ORACLES["seq_window_padded"].replace(B.SQL["seq"], B.SQL["letters"]))
+def fasta_windows(spark, d):
+    w = _windows(B.letters(spark, d)).withColumn("name", F.col("name").cast("string"))
+    return fasta.fetch(w, _fasta(spark, d), padded=True, block=4096).withColumn("name", F.col("name").cast("long"))
+
+
 @query("seq_catalogue", "SELECT name, length(seq) AS length FROM seq", ("seq",))
 def seq_catalogue(spark, d):
     return sequences.catalogue(B.seq(spark, d))

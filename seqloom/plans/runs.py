@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import metrics, prep, scores, sequences, variants
-from seqloom.sources import readers, writers
+from seqloom.sources import fasta, readers, writers
 
 
 def letter_shares(symbols: str = "ACGT") -> Callable[[pd.Series], pd.Series]:
@@ -28,13 +28,24 @@ def letter_shares(symbols: str = "ACGT") -> Callable[[pd.Series], pd.Series]:
 
 
 def predict_windows(windows: DataFrame, sequence_table: DataFrame, scorer: Callable) -> DataFrame:
-    """The windows (name, start, end, strand and any ids) with seq and prediction; windows out of bounds are left out."""
-    return scores.predict(sequences.fetch(windows, sequence_table).filter("seq <> ''"), scorer)
+    """The windows (name, start, end, strand and any ids) with seq and prediction; windows out of bounds are left out.
+
+    ``sequence_table`` has name and seq, or is a table of FASTA records (``fasta.index``). Windows meet pieces of sequences, never whole ones.
+    """
+    return scores.predict(fetched(windows, sequence_table).filter("seq <> ''"), scorer)
+
+
+def fetched(windows: DataFrame, sequence_table: DataFrame) -> DataFrame:
+    if "bytes_per_line" in sequence_table.columns:
+        return fasta.fetch(windows, sequence_table)
+    longest = windows.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    chunk = max(sequences.CHUNK, longest)
+    return sequences.fetch_chunked(windows, sequences.chunked(sequence_table, longest, chunk), chunk)
 
 
 def predict_regions(spark: SparkSession, bed: str, sequence_table: DataFrame, length: int, scorer: Callable, features: Sequence[str], target: str) -> None:
     """Regions of a BED file in; a score table at ``target`` and the rejected lines at ``target``.NA out."""
-    sizes = sequence_table.select("name", F.length("seq").alias("length"))
+    sizes = sequence_table if "length" in sequence_table.columns else sequence_table.select("name", F.length("seq").alias("length"))
     regions, bad = readers.prediction_regions(spark, bed, sizes, length)
     writers.score_text(predict_windows(regions, sequence_table, scorer), target, ["line", "name", "start", "end", "strand"], "prediction", list(features))
     writers.rejected(bad, target)

@@ -39,9 +39,10 @@ def performance(per_feature: DataFrame, path: str, names: list[str]) -> None:
     metrics.performance_text(per_feature, names).coalesce(1).write.csv(path, sep="\t", header=True)
 
 
-def fasta(df: DataFrame, path: str) -> None:
-    """One record per row of (name, seq)."""
-    df.select(F.concat(F.lit(">"), F.col("name").cast("string"), F.lit("\n"), F.col("seq"))).write.text(path)
+def fasta(df: DataFrame, path: str, width: int | None = None) -> None:
+    """One record per row of (name, seq), in lines of ``width`` symbols where one is given."""
+    seq = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n") if width else F.col("seq")
+    df.select(F.concat(F.lit(">"), F.col("name").cast("string"), F.lit("\n"), seq)).write.text(path)
 
 
 def dataset(df: DataFrame, path: str, split: str = "split") -> None:
