@@ -1,6 +1,7 @@
 """Metrics per feature over long (feature, target, score) tables, by ranks and running sums.
 
-Scores are first grouped by value, so windows run over distinct values and ties are handled together.
+Scores are first counted by value, and running sums go over distinct values in buckets (``ranks``), so ties are handled together and no
+task holds a feature.
 """
 
 from __future__ import annotations
@@ -8,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators import ranks
+from seqloom.sources import tables
+
 
 def eligible(df: DataFrame, key: str = "feature", target: str = "target", above: int = 10) -> DataFrame:
     """Rows of features whose number of nonzero targets, NaN left out, is above a threshold."""
@@ -24,22 +28,19 @@ def positives(df: DataFrame, key: str = "feature", target: str = "target") -> Da
     return df.groupBy(key).agg(F.sum((F.col(target) != 0).cast("int")).alias("positives"))
 
 
-def _levels(df, key, target, score):
-    """Per feature and distinct score: positives and rows, with sums from the highest score down to it."""
-    groups = df.groupBy(key, score).agg(F.sum((F.col(target) != 0).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(key).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return groups.withColumn("tp", F.sum("p").over(down)).withColumn("seen", F.sum("n").over(down))
+def _levels(df: DataFrame, key: str, target: str, score: str) -> DataFrame:
+    """Per feature and distinct score: positives p and rows n, tp and seen from the highest score down to it, and the feature's sums."""
+    rows = ranks.running(df, [key], score, F.col(target) != 0)
+    down = {"tp": F.col("p_all") - F.col("p_upto") + F.col("p"), "seen": F.col("n_all") - F.col("n_upto") + F.col("n")}
+    return rows.withColumns(down).withColumnsRenamed({"p_all": "positives", "n_all": "rows"})
 
 
 def roc_auc(df: DataFrame, key: str = "feature", target: str = "target", score: str = "score") -> DataFrame:
     """By the rank sum with average ranks; null where only one class is present."""
     levels = _levels(df, key, target, score)
-    totals = Window.partitionBy(key)
-    levels = levels.withColumn("positives", F.sum("p").over(totals)).withColumn("rows", F.sum("n").over(totals))
-    # The average rank of a level, from the lowest score: N - seen + (n + 1) / 2.
-    ranks = levels.groupBy(key).agg(F.sum(F.col("p") * (F.col("rows") - F.col("seen") + (F.col("n") + 1) / 2)).alias("r"), F.max("positives").alias("positives"), F.max("rows").alias("rows"))
+    found = levels.groupBy(key).agg(F.sum(F.col("p") * ranks.average_rank()).alias("r"), F.max("positives").alias("positives"), F.max("rows").alias("rows"))
     pairs = F.col("positives") * (F.col("rows") - F.col("positives"))
-    return ranks.select(key, F.when(pairs > 0, (F.col("r") - F.col("positives") * (F.col("positives") + 1) / 2) / F.nullif(pairs, F.lit(0))).alias("roc_auc"))
+    return found.select(key, F.when(pairs > 0, (F.col("r") - F.col("positives") * (F.col("positives") + 1) / 2) / F.nullif(pairs, F.lit(0))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, key: str = "feature", target: str = "target", score: str = "score") -> DataFrame:
@@ -51,8 +52,7 @@ def average_precision(df: DataFrame, key: str = "feature", target: str = "target
 
 def roc_points(df: DataFrame, key: str = "feature", target: str = "target", score: str = "score") -> DataFrame:
     """False and true positive rates at each distinct score."""
-    totals = Window.partitionBy(key)
-    levels = _levels(df, key, target, score).withColumn("positives", F.sum("p").over(totals)).withColumn("rows", F.sum("n").over(totals))
+    levels = _levels(df, key, target, score)
     return levels.select(
         key, F.col(score).alias("threshold"), F.try_divide(F.col("seen") - F.col("tp"), F.col("rows") - F.col("positives")).alias("fpr"), F.try_divide("tp", "positives").alias("tpr")
     )
@@ -60,27 +60,30 @@ def roc_points(df: DataFrame, key: str = "feature", target: str = "target", scor
 
 def precision_recall_points(df: DataFrame, key: str = "feature", target: str = "target", score: str = "score") -> DataFrame:
     """A13."""
-    levels = _levels(df, key, target, score).withColumn("positives", F.sum("p").over(Window.partitionBy(key)))
+    levels = _levels(df, key, target, score)
     return levels.select(key, F.col(score).alias("threshold"), F.try_divide("tp", "seen").alias("precision"), F.try_divide("tp", "positives").alias("recall"))
 
 
 def average_ranks(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Ranks from 1 with ties averaged."""
-    groups = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = groups.withColumn(out, F.sum("_n").over(up) - (F.col("_n") - 1) / 2).drop("_n")
-    return df.join(ranks, [key, value])
+    return df.join(ranks.running(df, [key], value).select(key, value, ranks.average_rank().alias(out)), [key, value])
+
+
+def _correlation(x: Column, y: Column) -> Column:
+    """Null where one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def pearson(df: DataFrame, key: str = "feature", target: str = "target", score: str = "score") -> DataFrame:
     """A8."""
-    return df.groupBy(key).agg(F.corr(F.col(target).cast("double"), F.col(score)).alias("pearson"))
+    return df.groupBy(key).agg(_correlation(F.col(target).cast("double"), F.col(score)).alias("pearson"))
 
 
 def spearman(df: DataFrame, key: str = "feature", target: str = "target", score: str = "score") -> DataFrame:
     """The correlation of average ranks."""
-    ranked = average_ranks(average_ranks(df.select(key, target, score), key, score, "_rs"), key, target, "_rt")
-    return ranked.groupBy(key).agg(F.corr("_rs", "_rt").alias("spearman"))
+    both = df.select(key, target, score).filter(F.col(target).isNotNull() & F.col(score).isNotNull())
+    ranked = average_ranks(average_ranks(both, key, score, "_rs"), key, target, "_rt")
+    return ranked.groupBy(key).agg(_correlation(F.col("_rs"), F.col("_rt")).alias("spearman"))
 
 
 def r_squared(df: DataFrame, key: str = "feature", target: str = "target", score: str = "score") -> DataFrame:
@@ -146,10 +149,11 @@ class Metrics:
 
     def compute(self, df: DataFrame) -> DataFrame:
         """One row per feature, one column per metric; null where a feature has too few positives."""
-        rows = eligible(df, above=self.above)
+        rows = tables.written(eligible(df, above=self.above), "eligible")
         out = df.select("feature").distinct()
         for name, metric in self.known.items():
-            out = out.join(metric(rows).select("feature", F.col(list(metric(rows).columns)[-1]).alias(name)), "feature", "left")
+            found = metric(rows)
+            out = out.join(found.select("feature", F.col(found.columns[-1]).alias(name)), "feature", "left")
         return out
 
 

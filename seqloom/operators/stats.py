@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.metrics import average_ranks
+from seqloom.operators import ranks
 
 
 def rank_sum(df: DataFrame, key: str, value: str, group: str) -> DataFrame:
-    """U of the rows where ``group`` is true, with the tie-corrected normal score for 'greater'."""
-    ranked = average_ranks(df.select(key, value, group), key, value, "_rank")
-    ties = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("t")).groupBy(key).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    sums = ranked.groupBy(key).agg(F.sum(F.when(F.col(group), F.col("_rank"))).alias("r"), F.sum(F.col(group).cast("long")).alias("n1"), F.count(F.lit(1)).alias("n"))
-    s = sums.join(ties, key).withColumn("n2", F.col("n") - F.col("n1"))
+    """U of the rows where ``group`` is true, with the tie-corrected normal score for 'greater'; from counts by value alone."""
+    levels = ranks.running(df, [key], value, F.col(group))
+    sums = levels.groupBy(key).agg(
+        F.sum(F.col("p") * ranks.average_rank()).alias("r"), F.max("p_all").alias("n1"), F.max("n_all").alias("n"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties")
+    )
+    s = sums.withColumn("n2", F.col("n") - F.col("n1"))
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n2") / 12 * (F.col("n") + 1 - F.try_divide(F.col("ties"), F.col("n") * (F.col("n") - 1)))
     z = F.try_divide(u - F.col("n1") * F.col("n2") / 2 - 0.5, F.sqrt(var))
@@ -58,16 +59,16 @@ def false_discovery(df: DataFrame, p: str, out: str = "q", buckets: int = 1024)
 
 def normal_scores(df: DataFrame, key: str, value: str, out: str = "normal") -> DataFrame:
     """Each value's quantile, by average rank, mapped to a standard normal."""
-    ranked = average_ranks(df, key, value, "_rank")
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    share = ranked.withColumn("_share", F.least(F.greatest(F.try_divide(F.col("_rank") - 1, n - 1), F.lit(1e-7)), F.lit(1 - 1e-7)))
+    place = F.try_divide(ranks.average_rank() - 1, F.col("n_all") - 1)
+    shares = ranks.running(df, [key], value).select(key, value, F.least(F.greatest(place, F.lit(1e-7)), F.lit(1 - 1e-7)).alias("_share"))
+    share = df.join(shares, [key, value])
 
     @F.pandas_udf("double")
     def inverse(x: pd.Series) -> pd.Series:
         quantile = NormalDist().inv_cdf
         return x.map(lambda v: None if v is None or v != v else quantile(v))
 
-    return share.withColumn(out, inverse(F.col("_share"))).drop("_rank", "_share")
+    return share.withColumn(out, inverse(F.col("_share"))).drop("_share")
 
 
 def _t_quantile(df: float, p: float = 0.975) -> float:

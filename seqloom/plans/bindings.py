@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
-DIMS = 4  # prediction features: the first dimensions of the vectors
+DIMS = 64  # prediction features: the dimensions of the vectors
 SEED = 1337
 
 
@@ -51,10 +51,10 @@ def names(spark, sf_dir) -> DataFrame:
 
 
 def scores(spark, sf_dir) -> DataFrame:
-    """feature, id, target, score: a logistic score of each vector's first dimensions; the target is its label's parity."""
+    """feature, id, target, score: a logistic score of each vector's dimensions; the target is its label's parity."""
     e = read(spark, sf_dir, "embeddings")
-    long = e.select(F.col("vec_id").alias("id"), "label", F.posexplode(F.slice("embedding", 1, DIMS)).alias("ix", "x"))
-    score = F.round(1 / (1 + F.exp(-8 * F.col("x").cast("double"))), 3)
+    long = e.select(F.col("vec_id").alias("id"), "label", F.posexplode("embedding").alias("ix", "x"))
+    score = F.round(1 / (1 + F.exp(-8 * F.col("x").cast("double"))), 5)
     return long.select(F.concat(F.lit("f"), F.col("ix")).alias("feature"), "id", (F.col("label") % 2).alias("target"), score.alias("score"), "ix")
 
 
@@ -104,8 +104,8 @@ SQL = {
     "win": """SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) AS chrom,
         floor(o_totalprice)::BIGINT % 105000 - 100 AS qs, floor(o_totalprice)::BIGINT % 105000 + 100 AS qe FROM orders""",
     "names": "SELECT DISTINCT l_returnflag || l_linestatus AS feature, 0.5::FLOAT AS threshold FROM lineitem",
-    "scores": """SELECT 'f' || ix AS feature, vec_id AS id, label % 2 AS target, round(1 / (1 + exp(-8 * embedding[ix + 1]::DOUBLE)), 3) AS score, ix
-        FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS ix)""",
+    "scores": """SELECT 'f' || ix AS feature, vec_id AS id, label % 2 AS target, round(1 / (1 + exp(-8 * embedding[ix + 1]::DOUBLE)), 5) AS score, ix
+        FROM embeddings, (SELECT unnest(range(64)) AS ix)""",
     "ref_alt": """SELECT a.id, a.feature, a.score AS ref, b.score AS alt FROM scores a JOIN scores b ON b.id = a.id + 1 AND a.feature = b.feature""",
 }
 NEEDS = {"ref_alt": ("scores",)}
