@@ -58,8 +58,9 @@ def test_metrics_and_statistics_do_not_depend_on_the_buckets(spark, scored, monk
 
 
 def test_no_window_by_feature_alone(spark, scored, monkeypatch):
+    scored = scored.withColumn("positive", F.col("target") == 1)
     monkeypatch.setattr(ranks, "LEVELS", 11)
-    for df in (metrics.roc_auc(scored), metrics.roc_points(scored), metrics.spearman(scored), stats.normal_scores(scored, "feature", "score")):
+    for df in (metrics.roc_auc(scored), metrics.roc_points(scored), stats.normal_scores(scored, "feature", "score"), stats.rank_sum(scored, "feature", "score", "positive")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan)
         assert windows and all("_bucket" in w for w in windows), plan
