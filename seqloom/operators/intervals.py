@@ -1,8 +1,9 @@
 """Interval joins and aggregates: overlap labels, presence, coverage, anti join, merge, nearest.
 
-Intervals are half-open from 0. Overlap joins are equi-joins on (chrom, bin): each side stands in
-every bin it touches, and a pair is kept in one bin only, the later of both first bins. That turns a
-range join into a hash or sort-merge join which the adaptive planner can split where a chromosome is hot.
+Intervals are half-open from 0. Overlap joins are equi-joins on (chrom, level, bin). The bins of a level are ``STEP`` times as wide as those of the
+level below; an interval stands at the level that fits its length and looks into the higher levels that the other side uses, in two bins at
+most each, so rows are linear in the intervals whatever their lengths. A pair is kept in one bin only, the later of both first
+bins. That turns a range join into a hash or sort-merge join which the adaptive planner can split where a chromosome is hot.
 """
 
 from __future__ import annotations
@@ -13,26 +14,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 1000
+from seqloom.sources import tables
+
+BIN = 1000  # width of the lowest level's bins
+STEP = 8
+LEVELS = 9  # the highest one's bins are 1.7e10 wide
 WIDTH = 1 << 16  # coordinates of a bucket, the most rows that a window holds here
 
 
-def _binned(df: DataFrame, start: str, end: str, name: str, size: int) -> DataFrame:
-    first = F.floor(F.col(start) / size)
-    last = F.greatest(F.floor((F.col(end) - 1) / size), first)
-    return df.withColumn(f"{name}_bin", first).withColumn("bin", F.explode(F.sequence(first, last)))
+def _widths(bin_size: int) -> list[int]:
+    return [bin_size * STEP**level for level in range(LEVELS)]
+
+
+def _level(start: str, end: str, bin_size: int) -> Column:
+    """The first level whose bins are as wide as the interval is long, so that it touches two of them at most."""
+    return sum(((F.col(end) - F.col(start)) > w).cast("int") for w in _widths(bin_size)[:-1])
+
+
+def _present(df: DataFrame, level: Column) -> list[int]:
+    """The levels that occur; one number comes back."""
+    mask = df.agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << k) for k in range(LEVELS)]), level + 1)).alias("m")).first()["m"] or 0
+    return [k for k in range(LEVELS) if mask >> k & 1]
+
+
+def _binned(df: DataFrame, start: str, end: str, name: str, bin_size: int, others: Sequence[int]) -> DataFrame:
+    """A row for each bin that the interval touches at its own level, and at each higher level that occurs among ``others``."""
+    widths = F.array(*[F.lit(w).cast("long") for w in _widths(bin_size)])
+    own = _level(start, end, bin_size)
+    higher = F.filter(F.array(*[F.lit(k) for k in others]), lambda k: k > F.col(f"{name}_level")) if others else F.array().cast("array<int>")
+
+    def bins(level: Column) -> Column:
+        width = F.element_at(widths, level + 1)
+        first = F.floor(F.col(start) / width)
+        last = F.greatest(F.floor((F.col(end) - 1) / width), first)
+        return F.transform(F.sequence(first, last), lambda b: F.struct(level.alias("level"), b.alias("bin"), first.alias("first")))
+
+    rows = df.withColumn(f"{name}_level", own)
+    rows = rows.withColumn("_at", F.explode(F.flatten(F.transform(F.concat(F.array(f"{name}_level"), higher), bins))))
+    return rows.withColumns({"level": F.col("_at.level"), "bin": F.col("_at.bin"), f"{name}_first": F.col("_at.first")}).drop("_at")
 
 
 def overlaps(queries: DataFrame, features: DataFrame, bin_size: int = BIN, stranded: bool = False) -> DataFrame:
     """Pairs with ``fs < qe and fe > qs`` on the same chromosome (and strand).
 
-    ``queries`` has chrom, qs, qe, ``features`` chrom, fs, fe, and each any other columns of its own.
+    ``queries`` has chrom, qs, qe, ``features`` chrom, fs, fe, and each any other columns of its own. A pair meets at the higher one of both
+    intervals' levels, where each of them touches two bins at most.
     """
-    keys = ["chrom", "strand", "bin"] if stranded else ["chrom", "bin"]
-    q = _binned(queries, "qs", "qe", "_q", bin_size)
-    f = _binned(features, "fs", "fe", "_f", bin_size)
+    keys = ["chrom", "strand", "level", "bin"] if stranded else ["chrom", "level", "bin"]
+    found = _present(queries, _level("qs", "qe", bin_size)), _present(features, _level("fs", "fe", bin_size))
+    q = _binned(queries, "qs", "qe", "_q", bin_size, found[1])
+    f = _binned(features, "fs", "fe", "_f", bin_size, found[0])
     pairs = q.join(f, keys).filter((F.col("fs") < F.col("qe")) & (F.col("fe") > F.col("qs")))
-    return pairs.filter(F.col("bin") == F.greatest("_q_bin", "_f_bin")).drop("bin", "_q_bin", "_f_bin")
+    once = (F.col("level") == F.greatest("_q_level", "_f_level")) & (F.col("bin") == F.greatest("_q_first", "_f_first"))
+    return pairs.filter(once).drop("level", "bin", "_q_level", "_f_level", "_q_first", "_f_first")
 
 
 def without_overlap(queries: DataFrame, features: DataFrame, bin_size: int = BIN) -> DataFrame:
@@ -69,7 +103,7 @@ def label(queries: DataFrame, features: DataFrame, names: DataFrame, key: Sequen
     are null any covered base counts (A2).
     """
     covered = coverage(queries, features, key, bin_size)
-    every = queries.select(*key, (F.col("qe") - F.col("qs")).alias("length")).crossJoin(F.broadcast(names))
+    every = queries.select(*key, (F.col("qe") - F.col("qs")).alias("length")).crossJoin(tables.small(names))
     out = every.join(covered, [*key, "feature"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     needed = F.when(F.col("threshold").isNull(), F.lit(0)).otherwise(threshold_bases(F.col("length"), F.col("threshold")))
     return out.select(*key, "feature", "covered", (F.col("covered") > needed).cast("int").alias("label"))
@@ -77,7 +111,7 @@ def label(queries: DataFrame, features: DataFrame, names: DataFrame, key: Sequen
 
 def any_positive(queries: DataFrame, features: DataFrame, names: DataFrame, key: Sequence[str], bin_size: int = BIN) -> DataFrame:
     """Queries that some single row overlaps by more than its name's threshold, in double precision."""
-    pairs = overlaps(queries, features, bin_size).join(F.broadcast(names), "feature")
+    pairs = overlaps(queries, features, bin_size).join(tables.small(names), "feature")
     overlap = F.least("fe", "qe") - F.greatest("fs", "qs")
     needed = F.greatest(((F.col("qe") - F.col("qs")) * F.col("threshold").cast("double") - 1).cast("int"), F.lit(0))
     return pairs.filter(overlap > needed).select(*key).distinct()

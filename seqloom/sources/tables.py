@@ -7,6 +7,7 @@ import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for Spark to join as it can."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
