@@ -13,7 +13,7 @@ from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep,
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
 from seqloom.plans import runs, training
-from seqloom.sources import fasta, tables, writers
+from seqloom.sources import fasta, lines, tables, writers
 from seqloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,16 @@ def fasta_windows(spark, d):
     return fasta.fetch(w, _fasta(spark, d), padded=True, block=4096).withColumn("name", F.col("name").cast("long"))
 
 
+@query("numbered_lines", """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line, concat_ws(chr(9), 'c' || o_custkey, o_orderkey, o_orderkey + 200) AS value FROM orders""")
+def numbered_lines(spark, d):
+    """Orders written as regions in order over several files, and read again with the numbers of their lines."""
+    o = B.read(spark, d, "orders")
+    text = o.select("o_orderkey", F.concat_ws("\t", F.concat(F.lit("c"), "o_custkey"), "o_orderkey", F.col("o_orderkey") + 200).alias("value"))
+    path = tables.folder(spark, "lines")
+    lines.in_order(text, "o_orderkey").select("value").write.text(path)
+    return lines.numbered(spark, path).select("line", "value")
+
+
 @query("seq_catalogue", "SELECT name, length(seq) AS length FROM seq", ("seq",))
 def seq_catalogue(spark, d):
     return sequences.catalogue(B.seq(spark, d))

@@ -47,7 +47,7 @@ def predict_regions(spark: SparkSession, bed: str, sequence_table: DataFrame, le
     """Regions of a BED file in; a score table at ``target`` and the rejected lines at ``target``.NA out."""
     sizes = sequence_table if "length" in sequence_table.columns else sequence_table.select("name", F.length("seq").alias("length"))
     regions, bad = readers.prediction_regions(spark, bed, sizes, length)
-    writers.score_text(predict_windows(regions, sequence_table, scorer), target, ["line", "name", "start", "end", "strand"], "prediction", list(features))
+    writers.score_text(predict_windows(regions, sequence_table, scorer), target, ["line", "name", "start", "end", "strand"], "prediction", list(features), ["line"])
     writers.rejected(bad, target)
 
 

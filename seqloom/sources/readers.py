@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import sequences, variants
+from seqloom.sources import lines as numbered_lines
 
 BED3 = "chrom string, start int, end int"
 FEATURES = "chrom string, start int, end int, feature string"
@@ -49,9 +50,8 @@ def labelled_bed(spark: SparkSession, path: str, features: int | None = None) ->
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """A short list, one name per line, with its line number from 0."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("line", "feature")).filter(F.trim("feature") != "")
+    """A list, one name per line, with its line number from 0."""
+    return numbered_lines.numbered(spark, path).filter(F.trim("value") != "").select("line", F.col("value").alias("feature"))
 
 
 def vcf(spark: SparkSession, path: str, sequences_table: DataFrame | None = None, length: int | None = None, require_strand: bool = False, strand_column: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +89,8 @@ def vcf(spark: SparkSession, path: str, sequences_table: DataFrame | None = None
 
 
 def prediction_regions(spark: SparkSession, path: str, sizes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Regions of a BED file, re-centred to ``length``, with a number that grows with their line; and the malformed lines."""
-    text = spark.read.text(path).filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("feature"))
+    """Regions of a BED file, re-centred to ``length``, with the number of their line; and the malformed lines."""
+    text = numbered_lines.numbered(spark, path).filter(F.trim("value") != "").select("line", F.col("value").alias("feature"))
     row = text.withColumn("c", F.split("feature", "\t"))
     good = (F.size("c") >= 3) & F.get("c", F.lit(1)).rlike("^[0-9]+$") & F.get("c", F.lit(2)).rlike("^[0-9]+$")
     parsed = row.withColumn("name", F.get("c", F.lit(0))).join(sizes.select("name", "length"), "name", "left")

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import metrics, scores
+from seqloom.sources import lines
 
 
-def score_text(df: DataFrame, path: str, ids: list[str], array: str, features: list[str]) -> None:
-    """K1: ids and one column per feature, two decimals in scientific form."""
-    scores.wide_text(df, ids, array, features).write.csv(path, sep="\t", header=True)
+def score_text(df: DataFrame, path: str, ids: list[str], array: str, features: list[str], order: Sequence[str] = ()) -> None:
+    """K1: ids and one column per feature, two decimals in scientific form; in the order of the input where ``order`` names its columns."""
+    scores.wide_text(lines.in_order(df, *order) if order else df, ids, array, features).write.csv(path, sep="\t", header=True)
 
 
-def score_matrix(df: DataFrame, path: str, ids: list[str], array: str) -> None:
-    """K2, K8: row labels and scores together, in row order within files."""
-    df.select("row_id", *ids, F.col(array).cast("array<double>").alias("scores")).sortWithinPartitions("row_id").write.parquet(path)
+def score_matrix(df: DataFrame, path: str, ids: list[str], array: str, labels: bool = True) -> None:
+    """K2, K8: row_id and scores in row order over all files, and the row labels (ids, as text, in the same order) at ``path``.row_labels."""
+    ordered = lines.in_order(df.select("row_id", *ids, F.col(array).cast("array<double>").alias("scores")), "row_id")
+    ordered.select("row_id", "scores").write.parquet(path)
+    if labels:
+        ordered.select(*ids).write.csv(f"{path}.row_labels", sep="\t", header=True, emptyValue="")
 
 
 def both_alleles(df: DataFrame, path: str, ids: list[str], ref: str, alt: str) -> None:

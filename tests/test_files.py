@@ -44,7 +44,8 @@ def test_writers(spark, tmp_path):
     writers.score_text(df, str(tmp_path / "t"), ["name"], "ref", ["f", "g"])
     assert rows(readers.score_table(spark, str(tmp_path / "t"))) == [("a", "5.00e-01", "2.50e-01"), ("b", "1.25e-01", "0.00e+00")]
     writers.score_matrix(df, str(tmp_path / "m"), ["name"], "ref")
-    assert rows(spark.read.parquet(str(tmp_path / "m"))) == [(0, "a", [0.5, 0.25]), (1, "b", [0.125, 0.0])]
+    assert rows(spark.read.parquet(str(tmp_path / "m"))) == [(0, [0.5, 0.25]), (1, [0.125, 0.0])]
+    assert rows(readers.score_table(spark, str(tmp_path / "m.row_labels"))) == [("a",), ("b",)]
     writers.both_alleles(df, str(tmp_path / "both"), ["name"], "ref", "alt")
     both = spark.read.parquet(str(tmp_path / "both"))
     assert rows(both.filter("allele = 'alt'").select("name", "scores")) == [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
