@@ -13,7 +13,7 @@ from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep,
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
 from seqloom.plans import runs, training
-from seqloom.sources import fasta, lines, tables, writers
+from seqloom.sources import blocks, fasta, lines, tables, writers
 from seqloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,22 @@ def interval_labels(spark, d):
     return intervals.label(B.win(spark, d), B.feat(spark, d), B.names(spark, d), ["id"])
 
 
+def _marked_file(spark, d):
+    """The features as block-compressed files in order of their places, and the index of the blocks."""
+    f = B.feat(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "fs", "fe", "feature")
+    path = tables.folder(spark, "marks")
+    blocks.write(lines.in_order(f, "chrom", "fs", "fe", "feature").select(F.concat_ws("\t", "chrom", "fs", "fe", "feature").alias("value")), path)
+    return blocks.index(spark, path)
+
+
+@query("block_regions", """SELECT w.id, f.fs, f.fe, f.feature, count(*) AS n FROM win w JOIN feat f ON w.chrom = f.chrom AND f.fs < w.qe AND f.fe > w.qs
+WHERE w.chrom < 5 AND w.qs < 20000 GROUP BY ALL""", ("feat", "win"))
+def block_regions(spark, d):
+    """Regions at the start of a few chromosomes: only the blocks that touch them are read."""
+    w = B.win(spark, d).filter("chrom < 5 and qs < 20000").withColumn("chrom", F.col("chrom").cast("string"))
+    return blocks.overlaps(w, _marked_file(spark, d)).groupBy("id", "fs", "fe", "feature").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("interval_presence", "SELECT DISTINCT w.id, f.feature, 1 AS present FROM win w JOIN feat f ON w.chrom = f.chrom AND f.fs < w.qe AND f.fe > w.qs", ("feat", "win"))
 def interval_presence(spark, d):
     pairs = intervals.overlaps(B.win(spark, d), B.feat(spark, d))
