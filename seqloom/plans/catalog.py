@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import alphabet as A
-from seqloom.operators import interpret, intervals, metrics, mutagenesis, prep, samplers, sampling, sequences, stats, variants
+from seqloom.operators import interpret, intervals, layers, metrics, mutagenesis, prep, samplers, sampling, sequences, stats, variants
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
 from seqloom.plans import runs, training
@@ -930,3 +930,38 @@ def convolution_scores(spark, d):
     v = variants.windows(_snvs(spark, d), B.seq(spark, d), 20)
     both = S.predict(S.predict(v, scorer, "ref_seq", "ref_scores"), scorer, "alt_seq", "alt_scores")
     return both.select("variant", S.vector(F.col("ref_scores"), F.col("alt_scores"), "diffs").alias("diffs"))
+
+
+# A small network whose scores SQL can follow: the best match of CGT and of AA in a sequence, over a threshold, then a dense layer.
+_MOTIFS = layers.Network((("convolution", {"name": "motif"}), ("relu", {"threshold": 1.5}), ("pool_all", {}), ("dense", {"name": "sum"}), ("sigmoid", {})))
+
+
+def _motif_weights():
+    motif = np.zeros((2, 4, 3))
+    for place, symbol in enumerate("CGT"):
+        motif[0, "ACGT".index(symbol), place] = 1.0
+    motif[1, 0, :2] = 1.0
+    return _MOTIFS.loaded([("0", motif), ("1", np.zeros(2)), ("2", np.array([[0.5, -0.25]])), ("3", np.array([-0.5]))])
+
+
+@query("layered_scores", """WITH s AS (SELECT name, upper(seq) AS seq FROM dense WHERE length(seq) >= 3),
+m AS (SELECT name, CASE WHEN contains(seq, 'CGT') THEN 3 WHEN regexp_matches(seq, 'CG.|C.T|.GT') THEN 2 ELSE 0 END AS a, CASE WHEN regexp_matches(seq, 'AA.') THEN 2 ELSE 0 END AS b FROM s)
+SELECT name, round(1 / (1 + exp(-(0.5 * a - 0.25 * b - 0.5))), 6) AS score FROM m""", ("dense",))
+def layered_scores(spark, d):
+    s = B.dense(spark, d).filter("length(seq) >= 3")
+    scored = layers.predict(s, _MOTIFS, _motif_weights())
+    return scored.select("name", F.round(F.get("prediction", F.lit(0)), 6).alias("score"))
+
+
+@query("layered_training")
+def layered_training(spark, d):
+    """A convolutional network learns from stretches of 40 letters, which cover the sequences, whether CG occurs; stopped, resumed, one row per step."""
+    s = B.dense(spark, d).filter("length(seq) >= 40").select("name", F.explode(A.chunks(F.upper("seq"), 40)).alias("seq")).filter("length(seq) = 40")
+    samples = s.select("seq", F.array(F.contains("seq", F.lit("CG")).cast("double")).alias("targets"), (F.col("name") % 4).alias("batch"))
+    rng = np.random.default_rng(B.SEED)
+    net = layers.Network((("convolution", {"name": "c"}), ("relu", {}), ("pool_all", {}), ("dense", {"name": "d"}), ("sigmoid", {})))
+    start = net.loaded([(n, rng.normal(0, 0.3, shape)) for n, shape in zip(net.names(), ((6, 4, 3), (6,), (1, 6), (1,)), strict=True)])
+    path = tables.folder(spark, "weights")
+    losses = layers.train(samples, layers.Descent(net, start, 0.5), 3, path, every=3)
+    losses += layers.train(samples, layers.Descent.resumed(spark, path, net), 6)
+    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
