@@ -82,10 +82,32 @@ def convolution_scorer(filters: np.ndarray, bias: np.ndarray, symbols: str = "AC
     return score
 
 
+def _once(scorer: Callable[[pd.Series], pd.Series], seqs: pd.Series) -> dict:
+    """The scores of the distinct sequences of a batch."""
+    known = pd.Series(seqs.dropna().unique(), dtype=object)
+    return dict(zip(known, scorer(known), strict=True)) if len(known) else {}
+
+
 def predict(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], seq: str = "seq", out: str = "prediction") -> DataFrame:
-    """Predictions as arrays, in Arrow batches; the scorer sees each distinct row once."""
-    udf = F.pandas_udf(scorer, "array<double>")
-    return df.withColumn(out, udf(F.col(seq)))
+    """Predictions as arrays, in Arrow batches; of each batch the scorer sees each distinct sequence once, and no null."""
+
+    @F.pandas_udf("array<double>")
+    def score(seqs: pd.Series) -> pd.Series:
+        return seqs.map(_once(scorer, seqs).get)
+
+    return df.withColumn(out, score(F.col(seq)))
+
+
+def predict_both(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], seqs: tuple[str, str], outs: tuple[str, str]) -> DataFrame:
+    """Two predictions per row from one pass over both sequences."""
+
+    @F.pandas_udf("first array<double>, second array<double>")
+    def score(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+        known = _once(scorer, pd.concat([first, second]))
+        return pd.DataFrame({"first": first.map(known.get), "second": second.map(known.get)})
+
+    scored = df.withColumn("_both", score(*map(F.col, seqs)))
+    return scored.withColumns({outs[0]: F.col("_both.first"), outs[1]: F.col("_both.second")}).drop("_both")
 
 
 def long_form(df: DataFrame, ids: list[str], array: str, features: list[str]) -> DataFrame:

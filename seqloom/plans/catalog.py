@@ -633,6 +633,24 @@ _SHARE = "(length({0}) - length(replace({0}, l, ''))) / greatest(length({0}), 1)
 ORACLES["variant_effects"] = f"{_head},\ne AS (SELECT variant,{_tail}) SELECT variant, l AS feature, round({_SHARE.format('alt_seq')} - {_SHARE.format('ref_seq')}, 6) AS score FROM e, (SELECT unnest(['A', 'C', 'G', 'T']) AS l)"
 
 
+@query("variant_stream", ORACLES["variant_effects"])
+def variant_stream(spark, d):
+    """Variants that arrive in two deliveries, a third of them in both; the stream is started for each and scores every variant once."""
+    source, target = tables.folder(spark, "variants"), tables.folder(spark, "effects")
+    part = F.pmod(F.xxhash64("variant"), F.lit(3))
+    letters = B.seq(spark, d)
+
+    def effects(rows):
+        found = runs.variant_effects(rows, letters, 20, runs.letter_shares(), ("diffs",))
+        return S.long_form(found, ["variant"], "diffs", list("ACGT"))
+
+    for delivery in ((0, 1), (1, 2)):
+        rows = _snvs(spark, d)
+        rows.filter(part.isin(*delivery)).write.mode("append").parquet(source)
+        live.score_new(spark, source, rows.schema, ["variant"], effects, target).awaitTermination()
+    return live.scored(spark, target).withColumn("score", F.round("score", 6))
+
+
 @query("variant_order", """SELECT id, chrom, pos, row_number() OVER (ORDER BY CASE WHEN chrom IN ('chrX') THEN 23 WHEN chrom = 'chrY' THEN 24 WHEN chrom = 'chrM' THEN 25 WHEN try_cast(substr(chrom, 4) AS INT) BETWEEN 1 AND 22 THEN substr(chrom, 4)::INT ELSE 26 END, chrom, pos, id) AS place
 FROM (SELECT id, qs AS pos, 'chr' || CASE chrom % 30 WHEN 23 THEN 'X' WHEN 24 THEN 'Y' WHEN 25 THEN 'M' ELSE (chrom % 30)::VARCHAR END AS chrom FROM win)""", ("win",))
 def variant_order(spark, d):
@@ -928,7 +946,7 @@ def convolution_scores(spark, d):
     filters = np.random.default_rng(B.SEED).normal(size=(3, 4, 6))
     scorer = S.convolution_scorer(filters, np.zeros(3))
     v = variants.windows(_snvs(spark, d), B.seq(spark, d), 20)
-    both = S.predict(S.predict(v, scorer, "ref_seq", "ref_scores"), scorer, "alt_seq", "alt_scores")
+    both = S.predict_both(v, scorer, ("ref_seq", "alt_seq"), ("ref_scores", "alt_scores"))
     return both.select("variant", S.vector(F.col("ref_scores"), F.col("alt_scores"), "diffs").alias("diffs"))
 
 

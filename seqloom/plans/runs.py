@@ -54,7 +54,7 @@ def predict_regions(spark: SparkSession, bed: str, sequence_table: DataFrame, le
 def variant_effects(rows: DataFrame, sequence_table: DataFrame, length: int, scorer: Callable, wanted: Sequence[str] = ("diffs",)) -> DataFrame:
     """Variants (chrom, pos, ref, alt, strand and any ids) with ref and alt predictions and an array for each wanted score."""
     both = variants.windows(rows, sequence_table, length)
-    both = scores.predict(scores.predict(both, scorer, "ref_seq", "ref_prediction"), scorer, "alt_seq", "alt_prediction")
+    both = scores.predict_both(both, scorer, ("ref_seq", "alt_seq"), ("ref_prediction", "alt_prediction"))
     for name in scores.chosen(wanted):
         both = both.withColumn(name, scores.vector(F.col("ref_prediction"), F.col("alt_prediction"), name))
     return both

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,3 +23,34 @@ def windowed_counts(events: DataFrame, time: str, key: Column, width: str = "10
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("start"), "key", "n"
     )
+
+
+def unseen(stream: DataFrame, key: Sequence[str], time: str | None = None, late: str = "1 day") -> DataFrame:
+    """Rows whose key has not come before. With ``time`` a key is forgotten, and a row left out, when it is older than the watermark;
+    without it keys are kept for good, on disk."""
+    if time:
+        return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
+    return stream.dropDuplicates(list(key))
+
+
+def score_new(
+    spark: SparkSession, source: str, schema, key: Sequence[str], score: Callable[[DataFrame], DataFrame], target: str, time: str | None = None, late: str = "1 day"
+) -> StreamingQuery:
+    """Score the rows of new Parquet files whose key was not scored before, whatever file brings it again; ``score`` is a batch operator.
+
+    A micro-batch has a folder of its own below ``target``, written again if it runs again, so nothing is scored twice or lost when the
+    driver or an executor is. State and progress are below ``target`` too; the call after a stop goes on from there.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    rows = unseen(spark.readStream.schema(schema).parquet(source), key, time, late)
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{target}/scored/epoch={epoch}")
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{target}/progress").trigger(availableNow=True).start()
+
+
+def scored(spark: SparkSession, target: str) -> DataFrame:
+    """What ``score_new`` has written so far."""
+    return spark.read.parquet(f"{target}/scored").drop("epoch")
