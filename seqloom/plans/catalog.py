@@ -637,7 +637,7 @@ ORACLES["variant_effects"] = f"{_head},\ne AS (SELECT variant,{_tail}) SELECT va
 def variant_stream(spark, d):
     """Variants that arrive in two deliveries, a third of them in both; the stream is started for each and scores every variant once."""
     source, target = tables.folder(spark, "variants"), tables.folder(spark, "effects")
-    part = F.pmod(F.xxhash64("variant"), F.lit(3))
+    part = F.pmod(F.xxhash64("variant", "alt"), F.lit(3))
     letters = B.seq(spark, d)
 
     def effects(rows):
@@ -647,7 +647,7 @@ def variant_stream(spark, d):
     for delivery in ((0, 1), (1, 2)):
         rows = _snvs(spark, d)
         rows.filter(part.isin(*delivery)).write.mode("append").parquet(source)
-        live.score_new(spark, source, rows.schema, ["variant"], effects, target).awaitTermination()
+        live.score_new(spark, source, rows.schema, rows.columns, effects, target).awaitTermination()
     return live.scored(spark, target).withColumn("score", F.round("score", 6))
 
 
