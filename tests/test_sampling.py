@@ -87,3 +87,18 @@ def test_variant_places_follow_the_sorted_order(spark):
     got = [r["id"] for r in placed.orderBy("place").collect()]
     expected = [r["id"] for r in v.orderBy(interpret.chromosome_key(F.col("chrom")), "chrom", "pos", "id").collect()]
     assert got == expected and sorted(r["place"] for r in placed.collect()) == list(range(1, 9))
+
+
+def test_weights_below_the_floor_go_and_the_rest_is_renormalised(spark):
+    rows = [(1, 10**6), (2, 3 * 10**6), (3, 1), (4, 10**17), (5, 0), (6, 10**8)]
+    got = {r["k"]: r["weight"] for r in sampling.weights(spark.createDataFrame(rows, "k int, n long"), F.col("n")).collect()}
+    assert set(got) == {4, 6} and abs(sum(got.values()) - 1) < 1e-12 and got[6] == pytest.approx(1e8 / (1e17 + 1e8))
+    assert sampling.weights(spark.createDataFrame([], "k int, n long"), F.col("n")).count() == 0
+
+
+def test_mutations_check_their_arguments(spark):
+    df = spark.createDataFrame([("ACGT",), ("AC",)], "seq string")
+    for wrong in ({"n": 0}, {"n": 3, "start": 1, "end": 3}, {"start": 3, "end": 3}, {"start": -1}):
+        with pytest.raises(ValueError):
+            mutagenesis.mutations(df, **wrong)
+    assert mutagenesis.mutations(df, n=3).count() == 4 * 27
