@@ -7,10 +7,14 @@ only the labelers fix, estimates how reliable each labeler is; its posteriors tr
 classifier, and candidates it accepts are added.
 
 Spans are offsets in code points, end exclusive. The patterns start only where no longer match
-could have started and never give back what they took, so every text takes linear time.
-
-Defined cases: null text counts as empty; a document without spans has zeros and empty lists;
-candidates that overlap a base span are not added; repeated rows give repeated results; an empty table gives no rows; very long texts are read whole; extra columns are ignored.
+could have started and never give back what they took, so every text takes linear time; spans are merged by running
+maxima in blocks and the text is cut once, so a text of any length with many spans stays cheap. Secrets have no greatest length;
+bracketed e-mail addresses keep those of the address format (64 before the sign, 63 a label).
+
+Defined cases: null text counts as empty; a document without spans has zeros and empty lists; candidates that overlap a base
+span are not added; candidates that overlap each other are all added, and masked as one; ties in place go by kind; repeated rows give
+repeated results; an empty table gives no rows; very long texts are read whole; extra columns are ignored. The counts behind the
+classifier are those of the whole table, so what is added to one document depends on the others; base spans do not.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ MORE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]{19,199}+(?![A-Za-z0-9_/+=-])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]{19,}+(?![A-Za-z0-9_/+=-])",
 }
 # Cheap tests that a text can hold a base span or a further candidate of the kind at all; an empty one asks for a digit.
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
@@ -70,18 +74,34 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _sums(lengths: Column) -> Column:
-    """Sums of all earlier numbers, for each; by blocks, so that long arrays stay cheap."""
+def _running(values: Column, op, start: int = 0) -> Column:
+    """``op`` over all earlier numbers, for each (``start`` for the first); by blocks, so that long arrays stay cheap."""
     width = 256
-    blocks = lambda n: F.transform(F.sequence(F.lit(0), ((n - 1) / width).cast("int")), lambda b: F.slice(lengths, b * width + 1, width))
-    add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    fold = lambda a: F.aggregate(a, F.lit(start), op)
+
+    def over(held):
+        starts = F.sequence(F.lit(0), ((F.size(held) - 1) / width).cast("int"))
+        return let(F.transform(starts, lambda b: F.slice(held, b * width + 1, width)), within)
+
+    def within(blocks):
+        def earlier(totals):
+            return F.transform(totals, lambda _, i: fold(F.slice(totals, F.lit(1), i)))
+
+        def placed(firsts):
+            inner = lambda b, i: F.transform(b, lambda _, j: op(F.get(firsts, i), fold(F.slice(b, F.lit(1), j))))
+            return F.flatten(F.transform(blocks, inner))
+
+        return let(F.transform(blocks, fold), lambda totals: let(earlier(totals), placed))
 
-    def over(bs):
-        totals = F.transform(bs, add)
-        firsts = F.transform(bs, lambda _, i: add(F.slice(totals, F.lit(1), i)))
-        return F.flatten(F.transform(bs, lambda b, i: F.transform(b, lambda _, j: F.get(firsts, i) + add(F.slice(b, F.lit(1), j)))))
+    return let(values, lambda held: F.when(F.size(held) == 0, F.array().cast("array<int>")).otherwise(over(held)))
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(blocks(F.size(lengths)), over))
+
+def _sums(lengths: Column) -> Column:
+    return _running(lengths, lambda s, x: s + x)
+
+
+def _greatest_before(values: Column) -> Column:
+    return _running(values, lambda s, x: F.greatest(s, x))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -153,7 +173,7 @@ def _votes(kind: str, base: bool, x: Column) -> list[Column]:
     m, never = x["m"], F.lit(False)
     if kind == "secret":
         # A digest of a file looks like a secret: form alone has no opinion on digits and letters at random.
-        form = _vote(m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9]"), m.rlike(r"([A-Za-z0-9_/+=-])\1{5}|^[a-z]+(?:[-_/][a-z0-9]+)+$"))
+        form = _vote(m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9]"), m.rlike(r"([A-Za-z0-9_/+=-])\1{5}|^[a-z]++(?:[-_/][a-z0-9]++)++$"))
         gazetteer = _vote(m.rlike(SECRET_STARTS), m.rlike(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"))
         before = _vote(x["before"].rlike(GOOD_BEFORE[kind]), x["before"].rlike(BAD_BEFORE_SECRET))
         edges = _vote(x["before"].rlike(r"[=:]\s*[\"'`]?$") & x["after"].rlike(r"^(?:[\"'`;,\s]|$)"), x["after"].rlike(r"^[.@]") | x["before"].rlike(r"[.@]$"))
@@ -264,13 +284,22 @@ def find(docs: DataFrame) -> DataFrame:
 
     scored = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), score(x).alias("score")))
 
-    def final(spans):
-        base = F.filter(spans, lambda x: x["base"])
-        clear = F.filter(spans, lambda x: ~x["base"] & (x["score"] >= ACCEPTED))
-        added = let(base, lambda b: F.filter(clear, lambda c: ~F.exists(b, lambda y: (y["start"] < c["end"]) & (c["start"] < y["end"]))))
-        return F.array_sort(F.concat(base, added))
+    return table.select("doc_id", let(scored, settled).alias("spans"))
+
+
+def settled(spans: Column) -> Column:
+    """The base spans, and the candidates accepted by score that overlap none of them, by kind and start."""
+    # A base span counts from its start, a candidate asks at its end (first of equals): it is clear if no base span that
+    # starts before its end reaches beyond its start.
+    held = F.filter(spans, lambda x: x["base"] | (x["score"] >= ACCEPTED))
+    asked = F.array_sort(F.transform(held, lambda x: F.struct(F.when(x["base"], x["start"]).otherwise(x["end"]).alias("at"), x["base"].alias("base"), x.alias("x"))))
 
-    return table.select("doc_id", let(scored, final).alias("spans"))
+    def clear(events):
+        reach = _greatest_before(F.transform(events, lambda e: F.when(e["base"], e["x"]["end"]).otherwise(0)))
+        marked = let(reach, lambda r: F.transform(events, lambda e, i: F.when(e["base"] | (F.get(r, i) <= e["x"]["start"]), e["x"])))
+        return F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
+
+    return let(asked, clear)
 
 
 def _written_out(spans: Column) -> Column:
@@ -291,26 +320,37 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind; a span that starts inside an earlier one is merged into it. Linear in text and spans."""
+    width = 256
+    names = F.array(*map(F.lit, KINDS))
+    placed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def cut(x):
+        def between(start, end):
+            # From the touched pieces of the text only.
+            first = F.floor(start / width).cast("int")
+            touched = F.slice(x["pieces"], first + 1, F.floor((end - 1) / width).cast("int") - first + 1)
+            return F.when(end > start, F.substring(F.array_join(touched, ""), start - first * width + 1, end - start)).otherwise("")
+
+        def written_out(reach):
+            parts = F.transform(x["placed"], lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(between(F.get(reach, i), s["start"]), F.lit("<"), F.get(names, s["kind"]), F.lit(">"))).otherwise(""))
+            return let(F.array_max(F.transform(x["placed"], lambda s: s["end"])), lambda last: F.concat(F.array_join(parts, ""), between(last, x["length"])))
+
+        return let(_greatest_before(F.transform(x["placed"], lambda s: s["end"])), written_out)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    held = F.struct(placed.alias("placed"), pieces.alias("pieces"), F.length(text).alias("length"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(held, cut))
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in angle brackets; columns stay, n_chars follows the text."""
     table = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text"))
     spans = find(table)
 
-    def replaced(x):
-        # Spans by place; one that starts inside an earlier one is merged into it.
-        placed = F.array_sort(F.transform(x["spans"], lambda s: F.struct(s["start"], s["end"], s["kind"])))
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        names = F.array(*map(F.lit, KINDS))
-        done = F.aggregate(
-            placed, none,
-            lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-                F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(x["text"], acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.get(names, s["kind"]), F.lit(">")))).alias("out"))
-            ),
-        )
-        return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(x["text"], d["at"] + 1, F.length(x["text"]))))
-
     out = spans.select(F.col("doc_id").alias("row"), "spans")
-    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(let(F.struct(F.col("row.text").alias("text"), F.col("spans").alias("spans")), replaced))
+    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(replaced(F.col("row.text"), F.col("spans")))
     columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     new = out.select(*columns)
     return new.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else new

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -124,6 +126,52 @@ def test_pii_candidates_are_added_by_their_context(spark):
     assert added[1] == 1 and added[0] == 0
 
 
+def test_pii_secrets_of_any_length(spark):
+    rng = random.Random(3)
+    token = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    lengths = [20, 199, 200, 201, 1000, 5000]
+    lines = [f'word token = "{token(n)}" word' for n in lengths * 10] + [f"word commit {token(40)} word" for _ in range(60)]
+    lines.append("see " + "part-of_a/path-" * 20000 + "1 now")
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in pii.find(d).collect()}
+    for i, n in enumerate(lengths * 10):
+        assert got[i] == [(14, 14 + n)], n
+    assert got[len(lines) - 1] == []
+
+
+def test_pii_settled_and_replaced_equal_plain_loops(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab \U0001F600é\n") for _ in range(rng.choice([0, 5, 255, 256, 257, 700, 3000])))
+        spans = []
+        for _ in range(rng.choice([0, 1, 3, 40, 600]) if len(text) > 1 else 0):
+            a = rng.randrange(len(text))
+            spans.append((rng.randrange(5), a, min(len(text), a + rng.randint(1, 12)), rng.random() < 0.4, rng.random()))
+        rows.append((i, text, spans))
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<kind:int,start:int,end:int,base:boolean,score:double>>")
+    got = {r["doc_id"]: r for r in d.select("doc_id", pii.settled(F.col("spans")).alias("settled"), pii.replaced(F.col("text"), F.col("spans")).alias("replaced")).collect()}
+    for i, text, spans in rows:
+        base = [s for s in spans if s[3]]
+        added = [s for s in spans if not s[3] and s[4] >= pii.ACCEPTED and not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+        assert [tuple(x) for x in got[i]["settled"]] == sorted(base + added)
+        out, at = [], 0
+        for start, end, kind in sorted((s[1], s[2], s[0]) for s in spans):
+            if start >= at:
+                out += [text[at:start], f"<{pii.KINDS[kind]}>"]
+            at = max(at, end)
+        assert got[i]["replaced"] == "".join(out) + text[at:]
+
+
+def test_pii_masks_a_long_text_with_many_spans(spark):
+    text = "mail a.b@c.com from 10.0.0.1 or call 212-555-1234 " * 20000  # 1 MB, 60 000 spans
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    got = pii.masked(d).first()["text"]
+    assert got == "mail <email> from <ip> or call <phone> " * 20000
+    assert time.monotonic() - began < 60
+
+
 def test_pii_phones_do_not_depend_on_other_hyphens(spark):
     phones = ["(212) 555 1234", "(212)555.1234", "212.555.1234", "212 555 1234", "(212) 555-1234", "212-555-1234"]
     rows = [(i, f"Call {p} now") for i, p in enumerate(phones)] + [(10 + i, f"Call {p} now - please") for i, p in enumerate(phones)]
