@@ -35,16 +35,24 @@ SENTENCES = {
     22: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     23: "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     24: "see the gnu general public license for more details",
+    25: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    26: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    27: "see the gnu lesser general public license for more details",
+    28: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    29: "see the gnu affero general public license for more details",
     30: "licensed under cc by nc 4 0",
     31: "licensed under cc by 4 0",
     32: "licensed under cc by sa 4 0",
     33: "this work is licensed under a creative commons attribution 4 0 international license",
     34: "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    35: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    36: "this work is licensed under a creative commons attribution 3 0 unported license",
     40: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     41: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     42: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     43: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    50: "this source code form is subject to the terms of the mozilla public license v 2 0",
+    50: "this source code form is subject to the terms of the mozilla public license v",
+    51: "2 0",
     60: "this is free and unencumbered software released into the public domain",
     70: "spdx license identifier mit",
     71: "spdx license identifier apache 2 0",
@@ -59,12 +67,35 @@ SENTENCES = {
     80: "spdx license identifier isc",
     81: "spdx license identifier cc by 4 0",
     82: "spdx license identifier cc by sa 4 0",
+    83: "spdx license identifier mit or apache 2 0",
+    84: "spdx license identifier lgpl 2 1 only",
+    85: "spdx license identifier lgpl 2 1 or later",
+    86: "spdx license identifier agpl 3 0 only",
+    87: "spdx license identifier agpl 3 0 or later",
+    88: "spdx license identifier bsl 1 0",
+    89: "spdx license identifier zlib",
     90: "licensed under cc by nc sa 4 0",
     91: "licensed under cc by nd 4 0",
     92: "licensed under cc by nc nd 4 0",
     93: "licensed under cc0 1 0",
     100: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    101: "distributed under the boost software license version 1 0",
 }
+# Further published forms of a sentence, under its number.
+FORMS = (
+    (5, "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement"),
+    (12, "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    (33, "this work is licensed under the creative commons attribution 4 0 international license"),
+    (35, "this work is licensed under the creative commons attribution sharealike 4 0 international license"),
+    (43, "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (43, "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (43, "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (43, "neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (43, "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    (83, "spdx license identifier apache 2 0 or mit"),
+    (100, "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+)
+KNOWN = (*SENTENCES.items(), *FORMS)
 # Ordered rules, licence and the run of sentence numbers that it asks for.
 RULES = (
     ("mit", (1,)), ("mit", (2,)), ("mit", (3, 4, 5)),
@@ -72,10 +103,12 @@ RULES = (
     ("gpl-3.0", (20,)), ("gpl-3.0", (21, 23, 24)), ("gpl-2.0", (22, 23, 24)),
     ("cc-by-nc-4.0", (30,)), ("cc-by-nc-4.0", (34,)), ("cc-by-4.0", (31,)), ("cc-by-4.0", (33,)), ("cc-by-sa-4.0", (32,)),
     ("bsd-3-clause", (40, 41, 42, 43)), ("bsd-2-clause", (40, 41, 42)),
-    ("mpl-2.0", (50,)), ("unlicense", (60,)),
+    ("mpl-2.0", (50, 51)), ("unlicense", (60,)),
     ("mit", (70,)), ("apache-2.0", (71,)), ("gpl-3.0", (72,)), ("gpl-3.0", (73,)), ("gpl-2.0", (74,)), ("gpl-2.0", (75,)),
     ("bsd-3-clause", (76,)), ("bsd-2-clause", (77,)), ("mpl-2.0", (78,)), ("unlicense", (79,)), ("isc", (80,)), ("isc", (100,)),
     ("cc-by-4.0", (81,)), ("cc-by-sa-4.0", (82,)), ("cc-by-nc-sa-4.0", (90,)), ("cc-by-nd-4.0", (91,)), ("cc-by-nc-nd-4.0", (92,)), ("cc0-1.0", (93,)),
+    ("lgpl-2.1", (25, 26, 27)), ("lgpl-2.1", (84,)), ("lgpl-2.1", (85,)), ("agpl-3.0", (28, 23, 29)), ("agpl-3.0", (86,)), ("agpl-3.0", (87,)),
+    ("cc-by-sa-4.0", (35,)), ("cc-by-3.0", (36,)), ("mit", (83,)), ("apache-2.0", (83,)), ("bsl-1.0", (88,)), ("bsl-1.0", (101,)), ("zlib", (89,)),
 )
 LICENCES = tuple(dict.fromkeys(name for name, _ in RULES))
 
@@ -113,7 +146,7 @@ def unwrapped_sentences(text: Column) -> Column:
 
 def numbers(found: Column) -> Column:
     """The number of each sentence: known ones theirs, others 0."""
-    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(n)) for n, s in SENTENCES.items()))
+    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(n)) for n, s in KNOWN))
     return F.transform(found, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0)))
 
 

@@ -73,7 +73,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    known = ", ".join(f"('{s}', {n})" for n, s in licences.SENTENCES.items())
+    known = ", ".join(f"('{s}', {n})" for n, s in licences.KNOWN)
     longer = [licences.longer_runs(name, run) for name, run in licences.RULES]
     assert max(map(len, longer)) == 1  # the SQL cuts out one longer run
     rules = ", ".join(f"('{name}', '{licences.written_run(run)}', '{''.join(cut)}', {licences.LICENCES.index(name)})" for (name, run), cut in zip(licences.RULES, longer, strict=True))

@@ -571,6 +571,26 @@ BSD3 = BSD + """
 """
 
 
+def test_licence_notices_name_exactly_their_licence(spark):
+    bsd = [licences.SENTENCES[k].capitalize() + "." for k in (40, 41, 42)]
+    endorse = "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details."
+    affero = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Affero General Public License for more details."
+    notices = {
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "mpl-2.0",
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */": "mpl-2.0",
+        "\n".join([*bsd, endorse]): "bsd-3-clause", "\n".join(bsd): "bsd-2-clause", lesser: "lgpl-2.1", affero: "agpl-3.0",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "mit,apache-2.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "cc-by-3.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": "bsl-1.0",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "The version is 2.0. See above.": "",
+    }
+    d = spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(d).collect()}
+    assert [got[i] for i in range(len(notices))] == list(notices.values())
+
+
 def test_licences_in_their_published_wrapped_form(spark):
     commented = "/*\n" + "".join(f" * {line}\n".replace("  \n", "\n") for line in APACHE.split("\n")) + " */"
     expected = {
