@@ -13,7 +13,7 @@ from seqloom.operators import interpret, intervals, layers, metrics, mutagenesis
 from seqloom.operators import scores as S
 from seqloom.plans import bindings as B
 from seqloom.plans import runs, training
-from seqloom.sources import blocks, fasta, lines, tables, writers
+from seqloom.sources import blocks, fasta, lines, rows, tables, writers
 from seqloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,6 +262,42 @@ def bits_pack_unpack(spark, d):
     return packed.select("name", "same", F.posexplode("packed").alias("ix", "byte"))
 
 
+_CHUNK_BITS = """WITH c AS (SELECT name, unnest(range((length(seq) + 63) // 64)) AS ix, seq FROM letters WHERE length(seq) > 0),
+r AS (SELECT row_number() OVER (ORDER BY name, ix) - 1 AS row_id, rpad(substring(seq, (ix * 64 + 1)::INT, 64), 64, 'N') AS q FROM c)
+"""
+_CHUNK_COLUMNS = """substring(q, 26, 20) AS seq, (contains(q, 'A'))::INT AS has_a, (contains(q, 'C'))::INT AS has_c,
+  (contains(q, 'G'))::INT AS has_g, (contains(q, 'T'))::INT AS has_t"""
+
+
+def _packed_chunks(spark, d):
+    """Every sequence in chunks of 64 letters as a packed dataset, whose targets say which letters a chunk has; its path and number of rows."""
+    filled = B.letters(spark, d).select("name", F.posexplode(A.chunks(F.col("seq"), 64)).alias("ix", "seq")).withColumn("seq", F.rpad("seq", 64, "N"))
+    whole = tables.written(rows.numbered(filled, "name", "ix"), "chunks")
+    path = tables.folder(spark, "packed")
+    rows.write(whole.withColumn("targets", F.array(*[F.contains("seq", F.lit(b)).cast("int") for b in "ACGT"])), path, 64, 4)
+    return path, whole.count()
+
+
+def _cropped(read):
+    return read.select("row_id", A.decode(F.col("sequence")).alias("seq"), *[F.get("targets", F.lit(k)).alias(f"has_{b}") for k, b in enumerate("acgt")])
+
+
+@query("packed_rows", _CHUNK_BITS + f"SELECT row_id, {_CHUNK_COLUMNS} FROM r", ("letters",))
+def packed_rows(spark, d):
+    """Written packed, read back, and cropped to 20 letters around the middle, moved by 3."""
+    path, _ = _packed_chunks(spark, d)
+    return _cropped(rows.read(spark, path, 64, 4, use=20, shift=3))
+
+
+@query("packed_lookup", _CHUNK_BITS + f"""SELECT row_id, {_CHUNK_COLUMNS} FROM r
+WHERE row_id IN (SELECT (o_totalprice * 100)::BIGINT % (SELECT count(*) FROM r) FROM orders)""", ("letters",))
+def packed_lookup(spark, d):
+    """The rows that the orders name by their prices, counted round the dataset."""
+    path, number = _packed_chunks(spark, d)
+    wanted = B.read(spark, d, "orders").select(F.round(F.col("o_totalprice") * 100).cast("long").alias("row_id"))
+    return _cropped(rows.lookup(wanted, path, 64, 4, number, use=20, shift=3))
+
+
 @query("center_crop", """SELECT name, array_to_string(list_slice(l, len(l) // 2 - 11 + 2 + 1, len(l) // 2 - 11 + 2 + 21), '') AS seq
 FROM (SELECT name, string_split(seq, '') AS l FROM seq WHERE length(seq) >= 100 AND length(seq) % 2 = 0)""", ("seq",))
 def center_crop(spark, d):
