@@ -481,6 +481,35 @@ def test_pieces_equal_the_library(docs, by_id):
         assert r["text"] == by_id[r["doc_id"]].replace("▁", " ")
 
 
+def test_quality_scores_equal_a_plain_loop(spark):
+    rng = random.Random(12)
+    words = ["Alpha", "beta", "GAMMA", "delta7", "eps-ilon", "z.eta", "42", "#tag", "naïve", "theta,", "Iota!"]
+    texts = [" ".join(rng.choice(words[rng.randrange(4) :]) for _ in range(rng.randint(3, 60))) for _ in range(200)] + ["", "x" * 30000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(d, labels)
+    held_out = {r["doc_id"] for r in d.filter(~quality.in_training(F.col("doc_id"))).collect()}
+    assert len(model["y"]) == len(set(range(120)) - held_out)
+    got = {r["id"]: r["score"] for r in quality.scored(d, labels).select(F.col("row.doc_id").alias("id"), "score").collect()}
+    for i, text in enumerate(texts):
+        kinds = [int(quality.CLASS_OF_BYTE[b]) for b in text.encode()]
+        row = np.zeros(quality.TERMS)
+        for a, b in zip(kinds, kinds[1:]):
+            row[a * quality._CLASSES + b] += 1 / (len(kinds) - 1)
+        parts = text.split()
+        if len(parts) > 1:
+            row[-2] = sum(a == b for a, b in zip(parts, parts[1:])) / (len(parts) - 1)
+            row[-1] = sum(a == b for a, b in zip(parts, parts[2:])) / len(parts)
+        vector = (np.sqrt(row) * model["weight"]) @ model["projection"].astype(np.float64)
+        if not vector.any():  # empty, or only terms that no labelled text has
+            assert got[i] == pytest.approx(model["empty"])
+            continue
+        vector /= np.linalg.norm(vector)
+        near = sorted(((float(vector @ k), y) for k, y in zip(model["known"].astype(np.float64), model["y"])), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 0) ** 4 for c, _ in near]
+        assert got[i] == pytest.approx(sum(w * float(y) for w, (_, y) in zip(weights, near)) / sum(weights), abs=1e-3), text[:40]
+
+
 def test_quality_votes(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "other", "nation", "reading", "is"]) for _ in range(60))
