@@ -76,6 +76,55 @@ def test_exact_dedup_collisions_are_told_apart(spark, docs, by_id, tmp_path, mon
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(g), len(g), i == max(g)), t[:30]
 
 
+def stages(spark):
+    """The shuffle bytes that each stage wrote, by stage."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+
+def test_exact_dedup_moves_the_texts_of_hits_only(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    rng = random.Random(11)
+    rows = [(i, rng.randbytes(20000).hex()) for i in range(200)]
+    rows += [(1000 + i, rows[i][1].upper()) for i in range(4)] + [(2000 + i, "x") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(lower(t), []).append(i)
+    before = max(stages(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables above it
+    try:
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+    assert 0 < sum(n for s, n in stages(spark).items() if s > before) < 1 << 20  # of 8 MB of texts; the hits have 320 KB
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_exact_dedup_in_rounds(spark, docs, by_id, tmp_path, monkeypatch, collide):
+    path = str(tmp_path / "documents.parquet")
+    docs.repartition(7).write.parquet(path)
+    if collide:
+        monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(F.concat(F.hex(F.length(c)), F.lit("x")), 1, 1))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(spark, path, round_bytes=4).collect()}
+    groups = {}
+    for i, t in by_id.items():
+        groups.setdefault(lower(t), []).append(i)
+    assert got == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+
+
+def test_exact_dedup_reads_hits_of_many_blocks(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    docs = spark.range(0, 70000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 7, F.lit("Same")).otherwise(F.col("id").cast("string")).alias("text"))
+    docs.write.parquet(path)  # one file, three blocks of 2^15 rows
+    docs = spark.read.parquet(path)
+    rows = exact_dedup._digested(docs).join(exact_dedup.keyed_state(spark, path), "digest")
+    got = {(r["doc_id"], r["at"]["row"], r["kept"]) for r in exact_dedup.hit_texts(docs, rows).collect()}
+    assert got == {(i, i, i == 69007) for i in range(7, 70000, 1000)}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
