@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,18 +83,22 @@ def convolution_scorer(filters: np.ndarray, bias: np.ndarray, symbols: str = "AC
     return score
 
 
-def _once(scorer: Callable[[pd.Series], pd.Series], seqs: pd.Series) -> dict:
-    """The scores of the distinct sequences of a batch."""
-    known = pd.Series(seqs.dropna().unique(), dtype=object)
-    return dict(zip(known, scorer(known), strict=True)) if len(known) else {}
+def _once(scorer: Callable[[pd.Series], pd.Series], *columns: pa.Array) -> list[pa.Array]:
+    """The scores of some columns of sequences, null where the sequence is; the scorer sees each distinct sequence once, and no null."""
+    seqs = pa.chunked_array([c.cast(pa.string()) for c in columns]).combine_chunks().dictionary_encode()
+    found = [] if not len(seqs.dictionary) else [np.asarray(x, dtype=np.float64) for x in scorer(pd.Series(seqs.dictionary.to_pylist(), dtype=object))]
+    offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0)))
+    ends = np.cumsum([0, *map(len, columns)])
+    return [known.take(seqs.indices.slice(a, b - a)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def predict(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], seq: str = "seq", out: str = "prediction") -> DataFrame:
     """Predictions as arrays, in Arrow batches; of each batch the scorer sees each distinct sequence once, and no null."""
 
-    @F.pandas_udf("array<double>")
-    def score(seqs: pd.Series) -> pd.Series:
-        return seqs.map(_once(scorer, seqs).get)
+    @F.arrow_udf("array<double>")
+    def score(seqs: pa.Array) -> pa.Array:
+        return _once(scorer, seqs)[0]
 
     return df.withColumn(out, score(F.col(seq)))
 
@@ -101,10 +106,9 @@ def predict(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], seq: str =
 def predict_both(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], seqs: tuple[str, str], outs: tuple[str, str]) -> DataFrame:
     """Two predictions per row from one pass over both sequences."""
 
-    @F.pandas_udf("first array<double>, second array<double>")
-    def score(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-        known = _once(scorer, pd.concat([first, second]))
-        return pd.DataFrame({"first": first.map(known.get), "second": second.map(known.get)})
+    @F.arrow_udf("first array<double>, second array<double>")
+    def score(first: pa.Array, second: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_once(scorer, first, second), ["first", "second"])
 
     scored = df.withColumn("_both", score(*map(F.col, seqs)))
     return scored.withColumns({outs[0]: F.col("_both.first"), outs[1]: F.col("_both.second")}).drop("_both")

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +22,10 @@ def letter_shares(symbols: str = "ACGT") -> Callable[[pd.Series], pd.Series]:
     """A scorer that needs no training: the share of each symbol in the sequence."""
 
     def score(seqs: pd.Series) -> pd.Series:
-        upper = seqs.str.upper()
-        length = upper.str.len().clip(lower=1)
-        shares = pd.concat([upper.str.count(s) / length for s in symbols], axis=1)
-        return pd.Series(list(shares.to_numpy(dtype="float64")), index=seqs.index)
+        upper = pc.utf8_upper(pa.array(seqs, pa.string()))
+        length = np.maximum(pc.utf8_length(upper).to_numpy(), 1)
+        shares = np.stack([pc.count_substring(upper, s).to_numpy() / length for s in symbols], axis=1)
+        return pd.Series(list(shares), index=seqs.index)
 
     return score
 

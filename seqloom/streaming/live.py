@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqloom.operators import scores
+from seqloom.sources import tables
 
 
 def score_stream(spark: SparkSession, source: str, schema: str, scorer: Callable, target: str, checkpoint: str) -> StreamingQuery:
@@ -39,14 +40,16 @@ def score_new(
     """Score the rows of new Parquet files whose key was not scored before, whatever file brings it again; ``score`` is a batch operator.
 
     A micro-batch has a folder of its own below ``target``, written again if it runs again, so nothing is scored twice or lost when the
-    driver or an executor is. State and progress are below ``target`` too; the call after a stop goes on from there.
+    driver or an executor is. State and progress are below ``target`` too; the call after a stop goes on from there. The new rows of a
+    micro-batch are stored before they are scored, so the keys are looked up once however often ``score`` reads its rows.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")  # counting them reads each key once more
     rows = unseen(spark.readStream.schema(schema).parquet(source), key, time, late)
 
     def add(batch: DataFrame, epoch: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{target}/scored/epoch={epoch}")
+        score(tables.written(batch, "new")).write.mode("overwrite").parquet(f"{target}/scored/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{target}/progress").trigger(availableNow=True).start()
 
