@@ -8,7 +8,7 @@ next, so batches are the same whether the draws come at once, in micro-batches,
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,6 +50,17 @@ class Sampler:
         rows = self.places.filter(F.col("mode").isin(*sampling.MODES))
         return sampling.interval_index(rows, "place", F.col("end") - F.col("start"), group=_mode_number(), keep=lambda df: tables.written(df, "places"))
 
+    @cached_property
+    def stored(self) -> Sampler:
+        """This sampler over tables in the shared folder, for runs that read them again and again: its chunks, and its features with the
+        overlapping ones of a name merged, which cover the same symbols."""
+        proper = F.col("fe") > F.col("fs")
+        ranges = self.features.filter(proper).select("chrom", "feature", F.col("fs").alias("start"), F.col("fe").alias("end"))
+        merged = intervals.merge(ranges, ["chrom", "feature"]).withColumnsRenamed({"start": "fs", "end": "fe"})
+        features = merged.unionByName(self.features.filter(~proper).select("chrom", "feature", "fs", "fe"))
+        names = tables.written(self.names, "names")
+        return replace(self, chunks=tables.written(self.chunks, "chunks"), features=tables.written(features, "features"), names=names)
+
     def located(self, numbers: DataFrame, expected: int) -> DataFrame:
         """mode, draw_id, name, position, strand of the draws (mode, draw_id)."""
         seeds = {k: self.seed + MODE_STEP * k for k in range(len(sampling.MODES))}
@@ -85,7 +96,8 @@ class Sampler:
     def stream(self, spark: SparkSession, until: Mapping[str, int], size: int, target: str, step: int) -> DataFrame:
         """The same batches, drawn as a stream into ``target`` and read from there.
 
-        Each micro-batch writes its own folder of samples, then the count of samples so far; running one again writes the same again. A
+        Each micro-batch writes its own folder of samples, then the count of samples so far; running one again writes the same again. What all
+        of them read is stored first (``stored``), so that none goes through the sequences and features as they were given. A
         call with a greater ``until`` goes on where the last one ended, whether that one ended well or not.
         """
         reached = _last_carry(spark, target)
@@ -94,7 +106,7 @@ class Sampler:
         def add(micro: DataFrame, epoch: int) -> None:
             before = _carry(spark, target, epoch - 1)
             path = f"{target}/samples/epoch={epoch}"
-            self.batches(micro, step, size, {m: r["samples"] for m, r in before.items()}).write.mode("overwrite").parquet(path)
+            self.stored.batches(micro, step, size, {m: r["samples"] for m, r in before.items()}).write.mode("overwrite").parquet(path)
             done = {r["mode"]: r["n"] for r in spark.read.parquet(path).groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per mode
             came = {r["mode"]: r["n"] for r in micro.groupBy("mode").agg((F.max("draw_id") + 1).alias("n")).collect()}
             rows = [(m, before.get(m, {}).get("samples", 0) + done.get(m, 0), came.get(m, before.get(m, {}).get("reached", 0))) for m in sorted(until)]
